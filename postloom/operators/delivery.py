@@ -91,7 +91,7 @@ def settings_summary() -> Column:
         .when(tg, F.lit("только Telegram"))
         .otherwise(F.lit("—"))
     )
-    lines = [F.concat(F.lit("1) Источники: "), sources]
+    lines = [F.concat(F.lit("1) Источники: "), sources)]
     for number, (label, flag, yes, no) in enumerate(SUMMARY_LABELS, start=2):
         value = F.when(F.col(flag), F.lit(yes)).otherwise(F.lit(no))
         lines.append(F.concat(F.lit(f"{number}) {label}: "), value))

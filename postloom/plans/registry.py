@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postloom.plans import ingest
+from postloom.plans import delivery, ingest, learning, text
 
-MODULES = [ingest]
+MODULES = [ingest, text, delivery, learning]
 
 
 def registered() -> dict:
