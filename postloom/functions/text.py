@@ -53,25 +53,3 @@ def word_bigrams(tokens: Column) -> Column:
 def space_words(clean: Column) -> Column:
     """Words between single spaces of a cleaned text."""
     return F.filter(F.split(clean, " "), lambda w: w != "")
-
-
-def padded_ngrams(word: Column, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams of one word padded by a space on each side.
-
-    A padded word no longer than n gives itself once, and no longer n is tried.
-    """
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    size = F.length(padded)
-    lengths = F.filter(
-        F.array(*[F.lit(n) for n in range(low, high + 1)]),
-        lambda n: n <= F.greatest(F.lit(low), size),
-    )
-    return F.flatten(
-        F.transform(
-            lengths,
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)),
-                lambda i: F.substring(padded, i, n),
-            ),
-        )
-    )

@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.functions.text import clean_text, padded_ngrams, space_words, word_bigrams, word_tokens
+from postloom.functions.text import clean_text, space_words, word_bigrams, word_tokens
 
 
 def _clean_docs(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    spread = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).repartition("doc")
+    # a fixed number of partitions: the exploded rows far outweigh the input, by whose size
+    # AQE would merge partitions
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).repartition(parts, "doc")
     return spread.select("doc", clean_text(F.col("text")).alias("clean"))
 
 
@@ -25,6 +28,26 @@ def word_term_counts(docs: DataFrame, doc: str = "doc", text: str = "text") -> D
     return terms.groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
+def padded_ngrams(words: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
+    """Character n-grams (column `term`) of `word` padded by a space on each side.
+
+    A padded word no longer than n gives itself once, and no longer n is tried. Plain
+    generators, not nested lambdas: they stay inside code generation.
+    """
+    rest = [c for c in words.columns if c != "word"]
+    size = F.length("_padded")
+
+    def starts(n):
+        return F.greatest(F.lit(1), size - n + 1)
+
+    padded = words.select(*rest, F.concat(F.lit(" "), "word", F.lit(" ")).alias("_padded"))
+    placed = padded.select("*", F.explode(F.sequence(F.lit(1), starts(low))).alias("_at"))
+    sized = placed.select("*", F.explode(F.array(*[F.lit(n) for n in range(low, high + 1)])).alias("_n"))
+    n = F.col("_n")
+    valid = (n <= F.greatest(F.lit(low), size)) & (F.col("_at") <= starts(n))
+    return sized.where(valid).select(*rest, F.substring("_padded", F.col("_at"), n).alias("term"))
+
+
 def char_term_counts(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
     """Counts of padded character 3- to 5-grams per document.
 
@@ -32,8 +55,7 @@ def char_term_counts(docs: DataFrame, doc: str = "doc", text: str = "text") -> D
     """
     words = _clean_docs(docs, doc, text).select("doc", F.explode(space_words(F.col("clean"))).alias("word"))
     counted = words.groupBy("doc", "word").agg(F.count("*").alias("times"))
-    grams = counted.select("doc", "times", F.explode(padded_ngrams(F.col("word"))).alias("term"))
-    return grams.groupBy("doc", "term").agg(F.sum("times").alias("tf"))
+    return padded_ngrams(counted).groupBy("doc", "term").agg(F.sum("times").alias("tf"))
 
 
 def feature_union(words: DataFrame, chars: DataFrame) -> DataFrame:

@@ -33,6 +33,8 @@ from postloom.session import cut
 
 CANDIDATES = ["logreg", "svm", "nb"]
 MIN_TEXT_LENGTH = 30
+ROWS_PER_TASK = 1000
+PLATT_FOLDS = 3
 
 
 @dataclass
@@ -113,12 +115,12 @@ def to_vectors(features: DataFrame, labels: DataFrame, index: DataFrame, size: i
 def _logreg(c: float, n: int) -> LogisticRegression:
     # balanced weights sum to n, so 1 / (C n) is the same trade-off as C times a summed loss
     return LogisticRegression(
-        weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000
+        weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-4
     )
 
 
 def _svm(c: float, n: int) -> LinearSVC:
-    return LinearSVC(weightCol="weight", regParam=1.0 / (c * n), standardization=False, maxIter=100)
+    return LinearSVC(weightCol="weight", regParam=1.0 / (c * n), standardization=False, maxIter=50, tol=1e-4)
 
 
 def _margins(model, rows: DataFrame) -> DataFrame:
@@ -157,13 +159,16 @@ def train(name: str, counts: DataFrame, labels: DataFrame, c: float = 1.0, min_d
     index = cut(ranked.withColumn("i", (F.col("i") - 1).cast("int")))
     size = index.count()
     rows = to_vectors(tfidf(mine, index), labels, index.select("block", "term", "i"), size)
-    rows = cut(rows.withColumn("inner", F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(3)).cast("int")))
-    n = rows.count()
+    n = labels.count()
+    # every iteration of the solvers is a job over these rows: no more tasks than they fill
+    parts = max(1, min(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS_PER_TASK))
+    inner = F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(PLATT_FOLDS)).cast("int")
+    rows = cut(rows.withColumn("inner", inner).repartition(parts, "doc"))
     if name == "logreg":
         fitted = _logreg(c, n).fit(rows)
         coefficients, bias = fitted.coefficients.toArray(), float(fitted.intercept)
     else:
-        slope, offset = _platt(rows, c, n, 3)
+        slope, offset = _platt(rows, c, n, PLATT_FOLDS)
         fitted = _svm(c, n).fit(rows)
         coefficients = slope * fitted.coefficients.toArray()
         bias = slope * float(fitted.intercept) + offset

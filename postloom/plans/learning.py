@@ -231,11 +231,11 @@ def _fitted_scores(t: Tables, name: str):
 
 
 def benchmark(t: Tables):
-    return learn.benchmark_models(b.samples(t), k=3)
+    return learn.benchmark_models(b.samples(t), k=2)
 
 
 def tuned(t: Tables):
-    model = learn.fit_and_tune(b.samples(t), "logreg", k=3)
+    model = learn.fit_and_tune(b.samples(t), "logreg", k=2)
     return model.terms.select("block", "term", "coef").withColumn("threshold", F.lit(model.threshold))
 
 

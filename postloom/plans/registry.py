@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postloom.plans import delivery, ingest, learning, text
+from postloom.plans import delivery, ingest, learning, streams, text
 
-MODULES = [ingest, text, delivery, learning]
+MODULES = [ingest, text, delivery, learning, streams]
 
 
 def registered() -> dict:

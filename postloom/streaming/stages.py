@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postloom.functions.parsing import decode_payload, encode_payload
 from postloom.functions.records import long_enough
+from postloom.operators.learn import LinearModel, ml_filter
 from postloom.operators.status import status_transition
 
 STAGES = ["new", "coarse", "ml", "prepared"]
@@ -113,6 +114,59 @@ def status_log(spark: SparkSession, root: str, stages: list[str] | None = None)
     return log
 
 
+def replacing_writer(path: str, transform: Callable[[DataFrame], DataFrame]):
+    """foreachBatch function: one folder per batch, written whole again when replayed."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
+def start_batches(
+    stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True, mode: str = "append"
+) -> StreamingQuery:
+    trigger = {"availableNow": True} if available_now else {"processingTime": "5 seconds"}
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
+    return writer.trigger(**trigger).start()
+
+
+def run_scored_stage(
+    spark: SparkSession, root: str, source: str, target: str, model: LinearModel, available_now: bool = True
+) -> StreamingQuery:
+    """The classifier stage. Scoring joins and aggregates, so it runs once per micro-batch.
+
+    A batch folder that is complete is left as it is on a replay: its files may have been read
+    by the next stage already.
+    """
+    path = f"{root}/{target}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        folder = f"{path}/batch_id={batch_id}"
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+            return
+        batch = batch.persist()
+        good = batch.where("error IS NULL").select("payload", F.col("post.id").alias("post_id"), F.col("post.text").alias("text"))
+        scored = ml_filter(good, model)
+        decided = scored.select(
+            "payload",
+            "post_id",
+            status_transition(F.col("relevant"), "ml_filter").alias("status"),
+            F.col("relevant").alias("passed"),
+        )
+        bad = batch.where("error IS NOT NULL").select(
+            "payload",
+            F.lit(None).cast("bigint").alias("post_id"),
+            F.lit("quarantined").alias("status"),
+            F.lit(False).alias("passed"),
+        )
+        decided.unionByName(bad).write.mode("overwrite").partitionBy("passed").parquet(folder)
+        batch.unpersist()
+
+    return start_batches(read_stage(spark, root, source), write, f"{root}/_checkpoints/{target}", available_now)
+
+
 def fan_out(
     spark: SparkSession,
     root: str,
@@ -122,12 +176,15 @@ def fan_out(
 ) -> dict[str, StreamingQuery]:
     """Independent readers of one stage, each with its own checkpoint and output table.
 
-    Every consumer sees every post; one that fails does not hold up the others.
+    Every consumer sees every post; one that fails does not hold up the others. A consumer is
+    called per micro-batch, so tables it reads, such as subscribers, are current.
     """
     started = {}
     for name, consume in consumers.items():
-        rows = consume(read_stage(spark, root, source).where("error IS NULL").select("post.*"))
-        started[name] = _start(rows, f"{root}/out/{name}", f"{root}/_checkpoints/out-{name}", available_now, None)
+        posts = read_stage(spark, root, source).where("error IS NULL").select("post.*")
+        started[name] = start_batches(
+            posts, replacing_writer(f"{root}/out/{name}", consume), f"{root}/_checkpoints/out-{name}", available_now
+        )
     return started
 
 
@@ -139,15 +196,6 @@ def dispatch_with_current_subscribers(
     checkpoint: str,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Stream–static join whose static side is read again for every micro-batch.
-
-    A batch writes its own folder and replaces it when replayed.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        deliver(batch, load_subscribers()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    trigger = {"availableNow": True} if available_now else {"processingTime": "5 seconds"}
-    return (
-        posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    )
+    """Stream–static join whose static side is read again for every micro-batch."""
+    write = replacing_writer(path, lambda batch: deliver(batch, load_subscribers()))
+    return start_batches(posts, write, checkpoint, available_now)
