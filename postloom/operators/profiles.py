@@ -76,13 +76,31 @@ def read_events(events: DataFrame) -> DataFrame:
     )
 
 
-def fold_status(events: DataFrame) -> DataFrame:
-    """Last pause or start per subscriber; null for one who never sent either."""
-    status = (
+def _status_set() -> Column:
+    """Status an event sets, null for most events."""
+    return (
         F.when(F.col("called") & (F.col("data") == "pause"), F.lit("paused"))
         .when(F.col("called") & (F.col("data") == "start"), F.lit("active"))
         .when(~F.col("called") & F.col("data").isin(START_WORDS), F.lit("active"))
     )
+
+
+def open_events(events: DataFrame) -> DataFrame:
+    """Events a later fold still needs: each subscriber's last reset and what follows it.
+
+    Of these only events that can change the wizard or the status are kept.
+    """
+    parsed = read_events(events)
+    last = parsed.groupBy(*KEYS).agg(F.max("reset.seq").alias("_last"))
+    useful = F.col("opened").isNotNull() | F.col("option").isNotNull() | _status_set().isNotNull()
+    rows = parsed.where(useful).join(last, KEYS).where(F.col("seq") >= F.coalesce("_last", F.lit(BEFORE_ALL)))
+    kind = F.when(F.col("called"), F.lit("callback")).otherwise(F.lit("message"))
+    return rows.select(*KEYS, "seq", kind.alias("kind"), "data")
+
+
+def fold_status(events: DataFrame) -> DataFrame:
+    """Last pause or start per subscriber; null for one who never sent either."""
+    status = _status_set()
     at = F.when(status.isNotNull(), F.col("seq"))
     return read_events(events).groupBy(*KEYS).agg(F.max_by(status, at).alias("status"))
 

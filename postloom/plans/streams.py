@@ -22,8 +22,8 @@ from postloom.schemas import FLAG_DEFAULTS, FLAGS
 from postloom.session import work_path
 from postloom.sources.files import read_stage_stream
 from postloom.streaming import stages
-from postloom.streaming.dedup import arrival_instant, stream_dedup_1h, stream_dedup_approximate
-from postloom.streaming.profiles import stream_profile_fold
+from postloom.streaming.dedup import arrival_instant, dedup_batches, stream_dedup_1h, stream_dedup_approximate
+from postloom.streaming.profiles import profile_batches, stream_profile_fold
 
 
 class StreamTables(Tables):
@@ -357,6 +357,34 @@ def replayed(t: Tables):
     return t.spark.read.parquet(f"{root}/out").select("post_id", "source")
 
 
+def _in_slices(t: Tables, rows: DataFrame, order: str, start, slices: int = 3) -> None:
+    """Feed `rows` to a streaming query in slices of `order`, restarting it for each slice."""
+    path = work_path(t.spark, "slices")
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    width = (high - low) // slices + 1
+    for i in range(slices):
+        from_, to = low + i * width, low + (i + 1) * width
+        rows.where((F.col(order) >= from_) & (F.col(order) < to)).write.mode("append").parquet(path)
+        _wait(start(t.spark.readStream.schema(rows.schema).parquet(path)))
+
+
+def dedup_in_batches(t: Tables):
+    rows = b.hashed_posts(t).select("text_hash", "at_us", F.col("post_id").alias("item_id"))
+    root = work_path(t.spark, "dedup")
+    _in_slices(t, rows, "at_us", lambda stream: dedup_batches(stream, root, f"{root}/checkpoint"))
+    kept = t.spark.read.parquet(f"{root}/kept")
+    return kept.select("text_hash", "at_us", F.col("item_id").alias("post_id"))
+
+
+def profiles_in_batches(t: Tables):
+    root = work_path(t.spark, "profiles")
+    users = b.subscribers(t)
+    _in_slices(t, b.bot_events(t), "seq", lambda stream: profile_batches(stream, users, root, f"{root}/checkpoint"))
+    done = t.spark.read.parquet(f"{root}/profiles")
+    last = done.agg(F.max("batch_id")).first()[0]
+    return _profile_rows(done.where(F.col("batch_id") == last))
+
+
 def stream_dedup(t: Tables):
     rows = b.hashed_posts(_streamed(t)).select("text_hash", arrival_instant(), "at_us", F.col("post_id").alias("item_id"))
     return _run_appended(t, stream_dedup_1h(rows), "dedup").withColumnRenamed("item_id", "post_id")
@@ -401,7 +429,9 @@ QUERIES = {
     "fan_out": (fanned_out, FAN_OUT_SQL),
     "stream_static_subscribers": (current_subscribers, CURRENT_SQL),
     "replay_uncommitted": (replayed, sql(b.POSTS_SQL, body="SELECT post_id, source FROM posts")),
-    "stream_dedup_1h": (stream_dedup, ig.suppress_sql((b.HASHED_SQL,), "hashed", "text_hash", "post_id")),
+    "stream_dedup_1h": (dedup_in_batches, ig.suppress_sql((b.HASHED_SQL,), "hashed", "text_hash", "post_id")),
+    "stream_dedup_1h_stateful": (stream_dedup, ig.suppress_sql((b.HASHED_SQL,), "hashed", "text_hash", "post_id")),
     "stream_dedup_approximate": (stream_dedup_within, sql(b.HASHED_SQL, body="SELECT DISTINCT text_hash FROM hashed")),
-    "stream_profile_fold": (stream_profiles, fold_sql(False)),
+    "stream_profile_fold": (profiles_in_batches, fold_sql(True)),
+    "stream_profile_fold_stateful": (stream_profiles, fold_sql(False)),
 }

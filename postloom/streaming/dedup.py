@@ -1,4 +1,10 @@
-"""Repeat suppression on an unbounded stream: one last-kept time per text hash."""
+"""Repeat suppression on an unbounded stream: one last-kept time per text hash.
+
+`dedup_batches` is the default: every micro-batch runs the batch operator, which splits hot
+hashes over tasks. `stream_dedup_1h` keeps the times in Spark's state store instead; there the
+rows a hash has in one micro-batch meet in one task, so bound the batch at the source.
+Arrival times must not fall between batches; a row not later than the last kept one is a repeat.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +13,53 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postloom.functions.times import HOUR_US
+from postloom.operators.suppress import suppress_repeats
+from postloom.streaming.stages import start_batches
 
 KEPT_SCHEMA = "text_hash STRING, at_us BIGINT, item_id BIGINT"
 
 
+def dedup_batches(
+    posts: DataFrame, path: str, checkpoint: str, span_us: int = HOUR_US, available_now: bool = True
+) -> StreamingQuery:
+    """Append kept rows of a stream (text_hash, at_us, item_id) to `path/kept`.
+
+    Rows within the span of an earlier batch's last kept row are dropped first; the fold on the
+    rest then equals one pass over everything, as dropped rows never lengthen a span. Both
+    folders of a batch are replaced when it is replayed.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("text_hash", "at_us", "item_id")
+        old = None
+        if batch_id > 0:
+            old = spark.read.parquet(f"{path}/state/batch_id={batch_id - 1}")
+            last = old.withColumnRenamed("at_us", "_last")
+            joined = rows.join(last, "text_hash", "left")
+            open_ = F.col("_last").isNull() | (F.col("at_us") > F.col("_last") + span_us)
+            rows = joined.where(open_).drop("_last")
+        kept_path = f"{path}/kept/batch_id={batch_id}"
+        suppress_repeats(rows, "text_hash", "at_us", "item_id", span_us).write.mode("overwrite").parquet(kept_path)
+        live = spark.read.parquet(kept_path).select("text_hash", "at_us")
+        live = live if old is None else live.unionByName(old)
+        # a span that ended before the newest arrival can drop nothing any more
+        newest = batch.agg(F.max("at_us")).scalar()
+        state = live.groupBy("text_hash").agg(F.max("at_us").alias("at_us"))
+        state.where(F.col("at_us") + span_us >= newest).write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
+
+    return start_batches(posts, write, checkpoint, available_now)
+
+
 def stream_dedup_1h(posts: DataFrame, lateness: str = "10 minutes", span_us: int = HOUR_US) -> DataFrame:
     """Kept rows of a stream with columns (text_hash, at, at_us, item_id).
 
-    Equal (hash, instant) rows of a batch collapse before the shuffle is folded, in the
-    order of time. The keep test compares times, so the watermark only frees state: the
-    timer fires once no later row of the batch order can fall into the open span.
+    The keep test compares times, so the watermark only frees state: the timer fires once no
+    later row can fall into the open span.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,10 @@
-"""Subscriber profiles as a stateful stream, one state per (platform, subscriber)."""
+"""Subscriber profiles kept up to date by a stream of bot events.
+
+`profile_batches` is the default: every micro-batch runs the relational fold, which spreads a
+busy subscriber over tasks. `stream_profile_fold` replays events against Spark's state store
+instead; there one subscriber's events of a micro-batch meet in one task, so bound the batch
+at the source.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +14,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from postloom.operators.profiles import CONFIRM, KEYS, QUESTIONS, RESETS, START_WORDS
+from postloom.operators.profiles import CONFIRM, KEYS, QUESTIONS, RESETS, START_WORDS, open_events, profile_fold
 from postloom.schemas import FLAG_DEFAULTS, FLAGS
+from postloom.streaming.stages import start_batches
 
 PROFILE_SCHEMA = (
     "platform STRING, external_id BIGINT, seq BIGINT, status STRING, "
@@ -22,6 +30,27 @@ STATE_SCHEMA = "profile STRING"
 _NUMBERED = re.compile(r"(f|opt)([0-9]+)")
 
 
+def profile_batches(
+    events: DataFrame, profiles: DataFrame, path: str, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """Write all profiles after each micro-batch to `path/profiles/batch_id=N`.
+
+    A batch starts from the stored flags and the events since each subscriber's last reset,
+    from which the open wizard follows. Both folders are replaced when a batch is replayed.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        history, known = batch.select(*KEYS, "seq", "kind", "data"), profiles
+        if batch_id > 0:
+            known = spark.read.parquet(f"{path}/profiles/batch_id={batch_id - 1}")
+            history = history.unionByName(spark.read.parquet(f"{path}/open/batch_id={batch_id - 1}"))
+        profile_fold(history, known).write.mode("overwrite").parquet(f"{path}/profiles/batch_id={batch_id}")
+        open_events(history).write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
+
+    return start_batches(events, write, checkpoint, available_now)
+
+
 def new_profile() -> dict:
     return {"status": "active", "flags": dict(FLAG_DEFAULTS), "step": None, "mode": None, "draft": None}
 
