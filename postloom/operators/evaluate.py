@@ -10,6 +10,7 @@ from postloom.operators.ordered import RUN, row_numbers, scan, split_runs
 DEFAULT_THRESHOLD = 0.5
 # 91 thresholds from 0.05 in steps of 0.01.
 THRESHOLDS = 91
+METRICS = ["precision", "recall", "f1"]
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:
@@ -57,43 +58,49 @@ def classification_report(scored: DataFrame) -> DataFrame:
         F.count_if((y == 1) & (p == 0)).alias("fn"),
         F.count_if((y == 0) & (p == 0)).alias("tn"),
     )
+    # step by step, so that no ratio is written out more than once
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-
-    def one_class(hit: Column, false: Column, missed: Column) -> dict[str, Column]:
-        return {
-            "precision": _ratio(hit, hit + false),
-            "recall": _ratio(hit, hit + missed),
-            "f1": _ratio(2 * hit, 2 * hit + false + missed),
-            "support": hit + missed,
-        }
-
-    neg, pos = one_class(tn, fn, fp), one_class(tp, fp, fn)
-    total = tp + fp + fn + tn
-
-    def average(weights: tuple[Column, Column]) -> dict[str, Column]:
-        both = {
-            m: _ratio(neg[m] * weights[0] + pos[m] * weights[1], weights[0] + weights[1])
-            for m in ("precision", "recall", "f1")
-        }
-        return {**both, "support": total}
-
-    accuracy = _ratio(tp + tn, total)
-    rows = {
-        "0": neg,
-        "1": pos,
-        "accuracy": {"precision": accuracy, "recall": accuracy, "f1": accuracy, "support": total},
-        "macro avg": average((F.lit(1), F.lit(1))),
-        "weighted avg": average((neg["support"], pos["support"])),
+    per_class = cells.select(
+        *_class_metrics("0", hit=tn, false=fn, missed=fp),
+        *_class_metrics("1", hit=tp, false=fp, missed=fn),
+        _ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
+        (tp + fp + fn + tn).alias("total"),
+    )
+    averages = per_class.select(
+        "*",
+        *[((F.col(f"{m}_0") + F.col(f"{m}_1")) / 2).alias(f"macro_{m}") for m in METRICS],
+        *[
+            _ratio(
+                F.col(f"{m}_0") * F.col("support_0") + F.col(f"{m}_1") * F.col("support_1"), F.col("total")
+            ).alias(f"weighted_{m}")
+            for m in METRICS
+        ],
+    )
+    names = {
+        "0": [f"{m}_0" for m in METRICS] + ["support_0"],
+        "1": [f"{m}_1" for m in METRICS] + ["support_1"],
+        "accuracy": ["accuracy"] * 3 + ["total"],
+        "macro avg": [f"macro_{m}" for m in METRICS] + ["total"],
+        "weighted avg": [f"weighted_{m}" for m in METRICS] + ["total"],
     }
-    structs = [
+    rows = [
         F.struct(
-            F.lit(name).alias("row"),
-            *[F.round(m[c], 3).alias(c) for c in ("precision", "recall", "f1")],
-            m["support"].cast("bigint").alias("support"),
+            F.lit(row).alias("row"),
+            *[F.round(c, 3).alias(m) for c, m in zip(columns, METRICS)],
+            F.col(columns[3]).cast("bigint").alias("support"),
         )
-        for name, m in rows.items()
+        for row, columns in names.items()
+    ]
+    return averages.select(F.inline(F.array(*rows)))
+
+
+def _class_metrics(name: str, hit: Column, false: Column, missed: Column) -> list[Column]:
+    return [
+        _ratio(hit, hit + false).alias(f"precision_{name}"),
+        _ratio(hit, hit + missed).alias(f"recall_{name}"),
+        _ratio(2 * hit, 2 * hit + false + missed).alias(f"f1_{name}"),
+        (hit + missed).alias(f"support_{name}"),
     ]
-    return cells.select(F.inline(F.array(*structs)))
 
 
 def threshold_macro_f1(scored: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ term that occurs in every document makes one skewed partition, which AQE splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions.text import clean_text, space_words, word_bigrams, word_tokens
@@ -85,6 +85,6 @@ def tfidf(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     raw = counts.join(vocabulary.select(*keys, "idf"), keys).withColumn(
         "raw", (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")
     )
-    # a window over one document: bounded by its length
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*groups)))
-    return raw.select(*groups, "term", (F.col("raw") / norm).alias("value"))
+    # two numbers per document come back to the rows, instead of all rows going to the documents
+    norms = raw.groupBy(*groups).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return raw.join(norms, groups).select(*groups, "term", (F.col("raw") / F.col("norm")).alias("value"))

@@ -195,13 +195,18 @@ def dedup_source_key(batch: DataFrame, seen: DataFrame, keys: list[str], first_b
     return one.select(*keys, "row.*").join(seen.select(*keys), keys, "left_anti")
 
 
+def _slot(at_us: Column, span_us: int) -> Column:
+    """Number of the span-long bucket a time lies in (integer arithmetic, no rounding)."""
+    return ((at_us - F.pmod(at_us, F.lit(span_us))) / span_us).cast("bigint")
+
+
 def recent_repeat_index(history: DataFrame, span_us: int = HOUR_US) -> DataFrame:
     """History reduced to one row per (hash, span-long bucket).
 
     For a post in bucket b, a stored equal text lies within the span before it iff the
     earliest of bucket b is not later, or the latest of bucket b-1 is at most a span older.
     """
-    slot = F.floor(F.col("at_us") / span_us).cast("bigint")
+    slot = _slot(F.col("at_us"), span_us)
     shares = F.array(
         F.struct(slot.alias("slot"), F.col("at_us").alias("here"), F.lit(None).cast("bigint").alias("before")),
         F.struct((slot + 1).alias("slot"), F.lit(None).cast("bigint").alias("here"), F.col("at_us").alias("before")),
@@ -220,7 +225,7 @@ def dedup_text_lookback(batch: DataFrame, history: DataFrame, span_us: int = HOU
     the index makes it an equality join against one row per (hash, bucket).
     """
     at = F.col("at_us")
-    probe = batch.withColumn("slot", F.floor(at / span_us).cast("bigint"))
+    probe = batch.withColumn("slot", _slot(at, span_us))
     joined = probe.join(recent_repeat_index(history, span_us), ["text_hash", "slot"], "left")
     repeat = F.coalesce(F.col("here_first") <= at, F.lit(False)) | F.coalesce(
         F.col("before_last") >= at - span_us, F.lit(False)

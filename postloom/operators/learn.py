@@ -58,6 +58,7 @@ def naive_bayes(features: DataFrame, labels: DataFrame) -> DataFrame:
             F.sum(F.when(F.col("label") == 0, F.col("value")).otherwise(0.0)).alias("s0"),
         )
     )
+    sums = cut(sums)  # one row per term; the totals need all of them first
     totals = sums.agg(
         F.sum("s1").alias("t1"), F.sum("s0").alias("t0"), F.count("*").alias("v")
     )

@@ -17,6 +17,7 @@ from postloom.functions.parsing import callback_number
 from postloom.functions.text import strip_spaces
 from postloom.operators.ordered import scan, split_runs
 from postloom.schemas import FLAG_DEFAULTS, FLAGS
+from postloom.session import cut
 
 KEYS = ["platform", "external_id"]
 # Events that decide the wizard state alone, start words, filter order, answers.
@@ -45,15 +46,25 @@ def read_events(events: DataFrame) -> DataFrame:
 
     `f<N>` beyond the last question fails as a whole in the dialogue and leaves no trace.
     """
-    data = strip_spaces(F.coalesce(F.col("data"), F.lit("")))
-    called = F.col("kind") == "callback"
+    return _parse(_trimmed(events))
+
+
+def _trimmed(events: DataFrame) -> DataFrame:
+    return events.select(*KEYS, "seq", "kind", strip_spaces(F.coalesce(F.col("data"), F.lit(""))).alias("data"))
+
+
+def _parse(events: DataFrame) -> DataFrame:
+    """Parsed events; further columns of `events` are kept."""
+    data, called = F.col("data"), F.col("kind") == "callback"
+    more = [c for c in events.columns if c not in (*KEYS, "seq", "kind", "data")]
     parsed = events.select(
         *KEYS,
+        *more,
         F.col("seq").cast("bigint").alias("seq"),
         called.alias("called"),
         F.when(called, data).otherwise(F.lower(data)).alias("data"),
-        F.when(called, callback_number(data, "f")).alias("question"),
-        F.when(called, callback_number(data, "opt")).alias("option"),
+        F.when(called & data.startswith("f"), callback_number(data, "f")).alias("question"),
+        F.when(called & data.startswith("opt"), callback_number(data, "opt")).alias("option"),
     )
     parsed = parsed.where(F.coalesce(F.col("question") < CONFIRM, F.lit(True)))
     is_reset = F.col("called") & F.col("data").isin(RESETS)
@@ -98,11 +109,15 @@ def open_events(events: DataFrame) -> DataFrame:
     return rows.select(*KEYS, "seq", kind.alias("kind"), "data")
 
 
-def fold_status(events: DataFrame) -> DataFrame:
-    """Last pause or start per subscriber; null for one who never sent either."""
+def _status(parsed: DataFrame) -> DataFrame:
     status = _status_set()
     at = F.when(status.isNotNull(), F.col("seq"))
-    return read_events(events).groupBy(*KEYS).agg(F.max_by(status, at).alias("status"))
+    return parsed.groupBy(*KEYS).agg(F.max_by(status, at).alias("status"))
+
+
+def fold_status(events: DataFrame) -> DataFrame:
+    """Last pause or start per subscriber; null for one who never sent either."""
+    return _status(read_events(events))
 
 
 def command_fold(events: DataFrame) -> DataFrame:
@@ -178,8 +193,8 @@ def _last_per_flag(order: Column) -> list[Column]:
 
 def profile_fold(events: DataFrame, profiles: DataFrame) -> DataFrame:
     """Profiles after all events, wizard state included; `profiles` holds none open."""
-    history = read_events(events)
-    runs = split_runs(history, KEYS, ["seq"])
+    # trimmed text is cut and written first: parsing it refers to it many times
+    runs = _parse(split_runs(_trimmed(events), KEYS, ["seq"]))
     rows = scan(
         runs,
         KEYS,
@@ -187,7 +202,9 @@ def profile_fold(events: DataFrame, profiles: DataFrame) -> DataFrame:
         {"last_reset": ("max", F.col("reset")), "last_open": ("max", F.col("opened"))},
         inclusive=False,
     )
-    writes = _answers(rows).select("*", F.inline(_assignments()))
+    # read several times below; only answers and saves matter from here on
+    rows = cut(rows.where(F.col("option").isNotNull() | (F.col("called") & (F.col("data") == "save"))))
+    writes = cut(_answers(rows).select("*", F.inline(_assignments())))
     saves = rows.where(F.col("called") & (F.col("data") == "save")).select(
         *KEYS, F.coalesce("last_reset.seq", F.lit(BEFORE_ALL)).alias("session"), F.col("seq").alias("saved")
     )
@@ -205,7 +222,6 @@ def profile_fold(events: DataFrame, profiles: DataFrame) -> DataFrame:
         writes.join(ends.select(*KEYS, "session", F.col("opened.seq").alias("current")), [*KEYS, "session"])
         .groupBy(*KEYS)
         .agg(
-            F.count_if(F.col("opener") == F.col("current")).alias("answers"),
             F.count_distinct(F.when(F.col("opener") == F.col("current"), F.col("step"))).alias("answered"),
             F.map_from_entries(
                 F.array_compact(
@@ -228,7 +244,7 @@ def profile_fold(events: DataFrame, profiles: DataFrame) -> DataFrame:
     out = (
         profiles.select(*KEYS, F.col("status").alias("old_status"), *FLAGS)
         .join(ends, KEYS, "full_outer")
-        .join(fold_status(events).withColumnRenamed("status", "new_status"), KEYS, "left")
+        .join(_status(runs).withColumnRenamed("status", "new_status"), KEYS, "left")
         .join(stored, KEYS, "left")
         .join(drafts, KEYS, "left")
     )
