@@ -36,13 +36,18 @@ def scan(
 ) -> DataFrame:
     """Add running `sum` or `max` columns: `{name: ("sum" | "max", value)}`.
 
-    With `inclusive=False` a row sees only the rows before it.
+    With `inclusive=False` a row sees only the rows before it. Null is a key like any other:
+    inside a struct it joins to itself.
     """
-    inputs = runs.select("*", *[v.alias(f"_in_{n}") for n, (_, v) in values.items()])
-    group = [*keys, RUN]
+    inputs = runs.select(
+        "*",
+        F.struct(F.lit(0).alias("_"), *keys).alias("_key"),
+        *[v.alias(f"_in_{n}") for n, (_, v) in values.items()],
+    )
+    group = ["_key", RUN]
     end = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    across = Window.partitionBy(*keys).orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("_key").orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
     functions = {"sum": F.sum, "max": F.max}
 
     carried = inputs.groupBy(*group).agg(
@@ -53,6 +58,7 @@ def scan(
     )
     local = inputs.select(
         *runs.columns,
+        "_key",
         *[functions[f](f"_in_{n}").over(inside).alias(f"_local_{n}") for n, (f, _) in values.items()],
     )
 

@@ -172,14 +172,14 @@ STATUS_SQL = sql(
 def _run_appended(t: Tables, rows: DataFrame, label: str) -> DataFrame:
     """A stream appended to a Parquet table until its input is used up."""
     root = work_path(t.spark, label)
-    _wait(stages._start(rows, f"{root}/out", f"{root}/checkpoint", True, None))
+    _wait(stages.start_append(rows, f"{root}/out", f"{root}/checkpoint", True, None))
     return t.spark.read.parquet(f"{root}/out")
 
 
 def stage_source(t: Tables):
     root = work_path(t.spark, "stage")
     posts = b.posts(_streamed(t)).select("post_id", "source", "text")
-    _wait(stages._start(posts, f"{root}/in", f"{root}/checkpoint", True, None))
+    _wait(stages.start_append(posts, f"{root}/in", f"{root}/checkpoint", True, None))
     read = read_stage_stream(t.spark, f"{root}/in", "post_id BIGINT, source STRING, text STRING")
     out = _run_appended(t, read, "stage-read")
     return out.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))

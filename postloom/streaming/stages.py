@@ -23,7 +23,8 @@ STAGES = ["new", "coarse", "ml", "prepared"]
 DECISION_SCHEMA = "payload STRING, post_id BIGINT, status STRING, passed BOOLEAN"
 
 
-def _start(df: DataFrame, path: str, checkpoint: str, available_now: bool, partition: str | None) -> StreamingQuery:
+def start_append(df: DataFrame, path: str, checkpoint: str, available_now: bool, partition: str | None) -> StreamingQuery:
+    """Append a stream to a Parquet table through the file sink's commit log."""
     writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     if partition:
         writer = writer.partitionBy(partition)
@@ -39,7 +40,7 @@ def publish_stage(posts: DataFrame, root: str, available_now: bool = True) -> St
         F.lit("new").alias("status"),
         F.lit(True).alias("passed"),
     )
-    return _start(rows, f"{root}/new", f"{root}/_checkpoints/new", available_now, "passed")
+    return start_append(rows, f"{root}/new", f"{root}/_checkpoints/new", available_now, "passed")
 
 
 def read_stage(spark: SparkSession, root: str, stage: str, files_per_trigger: int = 10) -> DataFrame:
@@ -75,7 +76,7 @@ def run_stage(
         F.when(good, F.col("status")).otherwise(F.lit("quarantined")).alias("status"),
         (good & F.coalesce("passed", F.lit(False))).alias("passed"),
     )
-    return _start(rows, f"{root}/{target}", f"{root}/_checkpoints/{target}", available_now, "passed")
+    return start_append(rows, f"{root}/{target}", f"{root}/_checkpoints/{target}", available_now, "passed")
 
 
 def coarse_decision(df: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def test_dedup_over_batches_equals_one_pass(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(source)
         dedup_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         timed = spark.readStream.schema(schema).parquet(source).select("*", arrival_instant())
-        stages._start(stream_dedup_1h(timed), stateful, str(tmp_path / "cp2"), True, None).awaitTermination()
+        stages.start_append(stream_dedup_1h(timed), stateful, str(tmp_path / "cp2"), True, None).awaitTermination()
     for path in (f"{tmp_path}/out/kept", stateful):
         out = [r.item_id for r in spark.read.parquet(path).collect()]
         assert len(out) == len(set(out)) and set(out) == want, path
