@@ -254,7 +254,7 @@ def chat(t: Tables) -> DataFrame:
         .otherwise(F.concat("event_type", F.lit(" "), "props"))
         .alias("raw_text"),
         F.concat(
-            F.date_format(F.col("ts") + F.expr("INTERVAL '3' HOUR"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+            F.replace((F.col("ts") + F.expr("INTERVAL '3' HOUR")).cast("string"), F.lit(" "), F.lit("T")),
             F.lit("+03:00"),
         ).alias("date"),
         F.expr("CASE WHEN event_id % 6 <> 0 THEN user_id END").alias("sender_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postloom.functions import records
-from postloom.functions.times import aware_to_utc, epoch_to_utc
+from postloom.functions.times import aware_to_utc, epoch_micros, epoch_to_utc
 from postloom.operators import ingest
 from postloom.operators.suppress import suppress_repeats
 from postloom.plans import bindings as b
@@ -13,10 +13,14 @@ from postloom.plans.bindings import Tables, sql
 from postloom.session import work_path
 from postloom.sources.files import clean_samples, scan_chat_json, scan_samples_csv, scan_wall_json
 
-SECOND = "yyyy-MM-dd HH:mm:ss"
 SECOND_SQL = "%Y-%m-%d %H:%M:%S"
 
 
+def _seconds(ts):
+    """A naive time as text; `date_format` would pass through the session time zone."""
+    return F.substring(ts.cast("string"), 1, 19)
+
+
 # ---- scans ---------------------------------------------------------------------------------
 
 
@@ -52,7 +56,7 @@ def scan_chat(t: Tables):
         "id",
         "chat_id",
         "raw_text",
-        F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("sent_at"),
+        epoch_micros(F.col("sent_at")).alias("sent_us"),
         "sender_id",
         "chat_username",
         F.col("has_action").cast("int").alias("has_action"),
@@ -62,7 +66,7 @@ def scan_chat(t: Tables):
 
 SCAN_CHAT_SQL = sql(
     b.CHAT_SQL,
-    body="""SELECT id, chat_id, raw_text, strftime(sent_at, '%Y-%m-%d %H:%M:%S.%f') AS sent_at, sender_id,
+    body="""SELECT id, chat_id, raw_text, epoch_us(sent_at) AS sent_us, sender_id,
       chat_username, CAST(has_action AS INT) AS has_action, CAST(has_video AS INT) AS has_video FROM chat""",
 )
 
@@ -234,7 +238,7 @@ def _flat(posts):
         "status",
         "source",
         "text",
-        F.date_format("post_datetime", SECOND).alias("post_datetime"),
+        _seconds(F.col("post_datetime")).alias("post_datetime"),
         "source_post_url",
         "source_chat_url",
         "text_hash",
@@ -298,11 +302,11 @@ def chat_urls(t: Tables):
 
 
 def epoch_times(t: Tables):
-    return b.wall(t).select("id", F.date_format(epoch_to_utc(F.col("date")), SECOND).alias("at"))
+    return b.wall(t).select("id", _seconds(epoch_to_utc(F.col("date"))).alias("at"))
 
 
 def zoned_times(t: Tables):
-    return b.chat(t).select("id", F.date_format(aware_to_utc(F.col("date")), SECOND).alias("at"))
+    return b.chat(t).select("id", _seconds(aware_to_utc(F.col("date"))).alias("at"))
 
 
 def best_photos(t: Tables):
