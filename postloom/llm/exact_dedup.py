@@ -50,8 +50,9 @@ class DigestIndex:
         """
         new = batch.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         new = saved(new.select("digest", "first_id", F.lit(label).alias("batch")), "admitted")
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))  # as the writer assigns them: one file each
         (
-            new.repartition(self.buckets, "digest")
+            new.repartition(self.buckets, bucket)
             .write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
         )
         return new
