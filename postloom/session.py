@@ -29,6 +29,18 @@ def build_session(app: str = "postloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers started from now on import this package from where the driver has it.
+
+    On a cluster that does not share the folder, submit the package with --py-files instead.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, named by spark.checkpoint.dir.
 
