@@ -28,8 +28,9 @@ FEATURES = 4096
 SAMPLE = 1000
 CENTROIDS = 4
 ROUNDS = 8
-#: A text is rejected below this share of the cosine that all but QUANTILE of a centroid's texts reach.
-MARGIN, QUANTILE = 0.5, 0.005
+#: A text is rejected below this share of the cosine that all but QUANTILE of a centroid's texts reach;
+#: texts of few distinct n-grams lie farther from any centroid, so their limit shrinks (half the square at FEW).
+MARGIN, QUANTILE, FEW = 0.5, 0.005, 200
 UNKNOWN = "und"
 _LETTER: list[np.ndarray] = []
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -140,7 +141,8 @@ class Centroids:
         close = vectors(counts, self.idf) @ self.centres.T
         best = close.argmax(axis=1)
         cosine = np.clip(close[np.arange(len(best)), best].astype(np.float64), 0, 1)
-        rejected = blank | (cosine < self.radius[best])
+        grams = (counts > 0).sum(axis=1)
+        rejected = blank | (cosine < self.radius[best] * np.sqrt(grams / (grams + FEW)))
         langs = [UNKNOWN if b else self.langs[k] for b, k in zip(blank, best)]
         return langs, np.where(blank, 0.0, cosine), rejected
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from postloom.llm import chat, exact_dedup, jaccard, language, mixing, secrets
+from postloom.llm import chat, exact_dedup, jaccard, language, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_language": (language.op1_language, None),
     "op3_secrets": (secrets.op3_secrets, None),
     "op4_jaccard": (jaccard.op4_jaccard, None),
+    "op5_toxicity": (toxicity.op5_toxicity, None),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.ORACLE),
     "op9_mixing": (mixing.op9_mixing, mixing.ORACLE),
     "op10_chat": (chat.op10_chat, chat.ORACLE),

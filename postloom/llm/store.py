@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.session import shared_dir, work_path
+from postloom.session import reachable, shared_dir, work_path
 
 #: Rows of a batch that Spark hands to Python at once; whole texts make larger batches costly.
 BATCH_ROWS = 1000
@@ -14,6 +14,7 @@ BROADCAST_IDS = 2_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
+    reachable(spark)
     shared_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

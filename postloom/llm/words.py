@@ -27,16 +27,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, number of words of every text)."""
+def word_hashes(texts: list[str | None], space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in order, number of words of every text); bytes of `space` separate words."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-    space = SPACE[raw]
-    inside = ~space
+    gap = space[raw]
+    inside = ~gap
     first = inside.copy()
-    first[1:] &= space[:-1]
+    first[1:] &= gap[:-1]
     starts = np.flatnonzero(first)
     ends = np.cumsum([len(p) + 1 for p in parts])
     counts = np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
@@ -45,7 +45,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     gaps = np.diff(np.append(starts, len(raw)))
     offset = np.arange(starts[0], len(raw)) - np.repeat(starts, gaps)
     power = np.cumprod(np.full(int(gaps.max()) + 1, _STEP, np.uint64))
-    values = _BYTE[raw[starts[0]:]] * power[offset]
+    values = np.where(gap[starts[0]:], np.uint64(0), _BYTE[raw[starts[0]:]] * power[offset])
     return mix(np.add.reduceat(values, starts - starts[0])), counts
 
 
