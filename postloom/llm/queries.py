@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from postloom.llm import chat, exact_dedup, jaccard, language, mixing, secrets, toxicity
+from postloom.llm import chat, exact_dedup, jaccard, language, lattice, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_language": (language.op1_language, None),
+    "op2_embeddings": (lattice.op2_embeddings, lattice.ORACLE),
     "op3_secrets": (secrets.op3_secrets, None),
-    "op4_jaccard": (jaccard.op4_jaccard, None),
+    "op4_jaccard": (jaccard.op4_jaccard, jaccard.ORACLE),
     "op5_toxicity": (toxicity.op5_toxicity, None),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.ORACLE),
     "op9_mixing": (mixing.op9_mixing, mixing.ORACLE),

@@ -31,11 +31,13 @@ from postloom.llm.words import chunks, word_hashes
 LABELS, FIT_ROWS, LEXICON = 1_000_000, 20_000, 4000
 #: A word enters the lexicon from this many toxic rows and this likelihood ratio statistic on.
 LEAST_ROWS, LEAST_G = 4, 20.0
+#: Besides whole words the lexicon holds their first so many bytes, for insults that are inflected.
+HEADS = (4, 5)
 RIDGE, STEPS, TOXIC_FROM = 0.02, 300, 0.7
 
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SEPARATORS = " .-_*"
-COST_LETTER, COST_SELF, COST_SILENT, COST_DOUBLE, COST_GAP = 1.0, 4.0, 0.3, 4.0, 0.5
+COST_LETTER, COST_SELF, COST_INSIDE, COST_SILENT, COST_DOUBLE, COST_GAP, COST_APART = 1.0, 4.0, 9.0, 0.3, 4.0, 0.5, 4.0
 LONGEST = 48
 BOUND, OTHER, CLASSES = 26, 27, 28
 
@@ -104,7 +106,8 @@ def decode(stretches: list[str], model: np.ndarray) -> list[str]:
                     thrice = run > 2 or s[j + 1:j + 2] == ch
                     silent[i, j] = COST_SILENT if thrice else COST_DOUBLE
             elif ch in LOOKALIKES:
-                cls[i, j, 0], cost[i, j, 0] = BOUND, COST_SELF
+                inside = 0 < j < len(s) - 1 and all(x.isalpha() or x in LOOKALIKES for x in (s[j - 1], s[j + 1]))
+                cls[i, j, 0], cost[i, j, 0] = BOUND, COST_INSIDE if inside else COST_SELF
                 for k, letter in enumerate(LOOKALIKES[ch], 1):
                     cls[i, j, k], cost[i, j, k] = ord(letter) - 97, COST_LETTER
                 if run > 1:
@@ -112,7 +115,7 @@ def decode(stretches: list[str], model: np.ndarray) -> list[str]:
             else:
                 cls[i, j, 0] = OTHER if ch.isalpha() else BOUND
                 if spaced and ch in SEPARATORS:
-                    silent[i, j] = COST_GAP
+                    silent[i, j], cost[i, j, 0] = COST_GAP, COST_APART
     lengths = np.array([len(s) for s in stretches])
     score = np.full((n, CLASSES), -np.inf, np.float32)
     score[:, BOUND] = 0
@@ -204,8 +207,9 @@ def restore(texts: list[str | None], model: np.ndarray) -> list[str]:
 
 
 def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    words, counts = word_hashes(texts, _GAP)
-    return words.view(np.int64), np.repeat(np.arange(len(texts)), counts)
+    """Words and heads of words with the number of their text."""
+    words, counts, heads = word_hashes(texts, _GAP, HEADS)
+    return np.concatenate([words, *heads]).view(np.int64), np.tile(np.repeat(np.arange(len(texts)), counts), 1 + len(HEADS))
 
 
 def _word_rows(batches):

@@ -27,11 +27,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(texts: list[str | None], space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, number of words of every text); bytes of `space` separate words."""
+def word_hashes(texts: list[str | None], space: np.ndarray = SPACE, heads: tuple[int, ...] = ()):
+    """(hash of every word in order, number of words of every text); bytes of `space` separate words.
+
+    With `heads`, a third item has the hashes of each word's first so many bytes, one array per head.
+    """
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    none = np.zeros(0, np.uint64)
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return (none, np.zeros(0, np.int64), [none] * len(heads)) if heads else (none, np.zeros(0, np.int64))
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     gap = space[raw]
     inside = ~gap
@@ -41,12 +45,17 @@ def word_hashes(texts: list[str | None], space: np.ndarray = SPACE) -> tuple[np.
     ends = np.cumsum([len(p) + 1 for p in parts])
     counts = np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return (none, counts, [none] * len(heads)) if heads else (none, counts)
     gaps = np.diff(np.append(starts, len(raw)))
     offset = np.arange(starts[0], len(raw)) - np.repeat(starts, gaps)
     power = np.cumprod(np.full(int(gaps.max()) + 1, _STEP, np.uint64))
     values = np.where(gap[starts[0]:], np.uint64(0), _BYTE[raw[starts[0]:]] * power[offset])
-    return mix(np.add.reduceat(values, starts - starts[0])), counts
+    words = mix(np.add.reduceat(values, starts - starts[0]))
+    if not heads:
+        return words, counts
+    # the head of a word is marked, so that it is not taken for a word of its own
+    cut = [np.add.reduceat(np.where(offset < h, values, np.uint64(0)), starts - starts[0]) for h in heads]
+    return words, counts, [mix(c + np.uint64(h)) for c, h in zip(cut, heads)]
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
