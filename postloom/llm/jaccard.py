@@ -11,9 +11,11 @@ differs from order to order), and a pair is verified only if its prefixes meet u
    and goes no further. Most documents end here, and their other tokens are never shuffled.
 2. The others are counted in full, which gives each its prefixes. Tokens of a single set lead every
    order and need no posting; only the shared tokens of a prefix are posted.
-3. Postings that meet under the first order are first tried against one pivot per set, the member of
-   its groups it meets most often. Sets linked so far are one class, and only pairs of different
-   classes within a group are tried next, so a group of near copies is never expanded into its pairs.
+3. Postings that meet under the first order are first tried against one pivot per set: each group's
+   pivot is its member with the fewest tokens of its own, and a set tries the pivot it meets most often.
+   Sets linked so far are one class, and only pairs of different classes within a group are tried next,
+   if enough tokens are left from the common token on in both. So a group of near copies is never
+   expanded into its pairs.
 4. Pairs must meet under the other orders too and are then verified exactly; linked sets are joined
    into components.
 
@@ -226,18 +228,24 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _links(sets: DataFrame) -> DataFrame:
     """Edges (a, b) between sets that give the components of all links."""
-    postings = sets.select("node", "n", F.explode("p1").alias("token"))
-    groups = postings.groupBy("token").agg(F.min("node").alias("pivot"), F.count("*").alias("held")).where("held > 1")
-    met = postings.join(groups, "token").where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("times"))
+    shared = F.size("tokens")
+    postings = sets.select("node", "n", (F.col("n") - shared).alias("alone"), shared.alias("m"), F.posexplode("p1").alias("rank", "token"))
+    # of a token on, in the first order: a set has this many tokens
+    postings = postings.withColumn("left", F.col("m") - F.col("rank")).drop("m", "rank")
+    groups = postings.groupBy("token").agg(F.min(F.struct("alone", "node"))["node"].alias("pivot"), F.count("*").alias("held"))
+    met = postings.join(groups.where("held > 1"), "token").where("node <> pivot")
+    met = met.groupBy("node", "pivot").agg(F.count("*").alias("times"))
     pairs = met.groupBy(F.col("node").alias("a")).agg(F.max_by("pivot", F.struct("times", "pivot")).alias("b"))
     near = saved(_verified(pairs, sets), "links")
     labels = saved(components(near), "labels")
-    labelled = postings.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    labelled = postings.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component", "alone")
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     open_ = saved(labelled.join(mixed.select("token"), "token", "left_semi"), "open")
-    a = open_.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-    b = open_.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-    fits = (100 * F.least("an", "bn") >= SIMILAR * F.greatest("an", "bn")) & (F.col("al") < F.col("bl"))
+    a = open_.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("left").alias("ar"), F.col("label").alias("al"))
+    b = open_.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("left").alias("br"), F.col("label").alias("bl"))
+    # at the first token that two sets share, neither has fewer tokens left than they must share
+    fits = (100 + SIMILAR) * F.least("ar", "br") >= SIMILAR * (F.col("an") + F.col("bn"))
+    fits &= (100 * F.least("an", "bn") >= SIMILAR * F.greatest("an", "bn")) & (F.col("al") < F.col("bl"))
     rest = a.join(b, "token").where(fits).select("a", "b").distinct()
     return near.union(_verified(rest, sets))
 
@@ -288,3 +296,26 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     dropped = saved(linked.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     named = with_ids(docs.where("doc_id IS NOT NULL"), dropped, "doc_id", "left_anti")
     return named.unionByName(docs.where("doc_id IS NULL"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END)) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS met FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+    GROUP BY x.doc_id, y.doc_id)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * met >= 75 * (na.n + nb.n - met)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(reach.b) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n"""
