@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postloom.llm import chat, exact_dedup, jaccard, language, lattice, mixing, secrets, toxicity
+from postloom.llm import chat, exact_dedup, jaccard, language, lattice, lm, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_language": (language.op1_language, None),
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_jaccard": (jaccard.op4_jaccard, jaccard.ORACLE),
     "op5_toxicity": (toxicity.op5_toxicity, None),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.ORACLE),
+    "op8_lm": (lm.op8_lm, None),
     "op9_mixing": (mixing.op9_mixing, mixing.ORACLE),
     "op10_chat": (chat.op10_chat, chat.ORACLE),
 }
