@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from postloom.llm import chat, exact_dedup, jaccard, language, lattice, lm, mixing, secrets, toxicity
+import corpus_pipeline
+from postloom.llm import chat, exact_dedup, jaccard, language, lattice, lm, mixing, pieces, secrets, toxicity
 
 QUERIES = {
     "op1_language": (language.op1_language, None),
@@ -10,8 +11,10 @@ QUERIES = {
     "op3_secrets": (secrets.op3_secrets, None),
     "op4_jaccard": (jaccard.op4_jaccard, jaccard.ORACLE),
     "op5_toxicity": (toxicity.op5_toxicity, None),
+    "op6_pieces": (pieces.op6_pieces, None),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.ORACLE),
     "op8_lm": (lm.op8_lm, None),
     "op9_mixing": (mixing.op9_mixing, mixing.ORACLE),
     "op10_chat": (chat.op10_chat, chat.ORACLE),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
