@@ -101,9 +101,9 @@ def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if docs.where("doc_id IS NULL").isEmpty():
         return with_ids(docs, dropped, "doc_id", "left_anti")
     # without an id the digest decides, one such row per text
-    bare = docs.where("doc_id IS NULL").withColumn("_digest", F.sha2(normalised(F.col("text")), 256))
-    kept = decided.where("kept AND doc_id IS NULL").select(F.col("text_sha256").alias("_digest")).distinct()
-    bare = bare.join(kept, "_digest", "left_semi").dropDuplicates(["_digest"]).drop("_digest")
+    bare = docs.where("doc_id IS NULL").select(F.struct("*").alias("row"), F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
+    kept = decided.where("kept AND doc_id IS NULL").select("text_sha256").distinct()
+    bare = bare.join(kept, "text_sha256", "left_semi").groupBy("text_sha256").agg(F.min("row").alias("row")).select("row.*")
     return with_ids(docs.where("doc_id IS NOT NULL"), dropped, "doc_id", "left_anti").unionByName(bare)
 
 

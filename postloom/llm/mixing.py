@@ -131,10 +131,10 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Every document as often as the mix takes it: not at all, once or twice."""
     sized = saved(hashed(docs.select("doc_id", "text", "source")).select("source", "size", "hash"), "sized")
     plan = thresholds(sized).select(F.col("source").alias("_s"), "passes", "threshold")
-    rows = docs.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    # whole rows in a struct, so that no column of theirs can clash
+    rows = hashed(docs.select(F.struct("*").alias("row"), "doc_id", F.lit("").alias("text"), "source"))
     rows = rows.join(plan, rows["source"].eqNullSafe(plan["_s"]))
-    times = F.array_repeat(F.lit(0), copies().cast("int"))
-    return rows.select(*[rows[c] for c in docs.columns], F.explode(times).alias("_n")).drop("_n")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), copies().cast("int")))).select("row.*")
 
 
 ORACLE = r"""

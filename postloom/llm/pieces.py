@@ -336,7 +336,7 @@ def loaded(path: str) -> Pieces:
     return _LOADED[path]
 
 
-SAMPLED = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, inclusion double, exact boolean, ids binary"
+SAMPLED = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, inclusion double, log_inclusion double, exact boolean, ids binary"
 
 
 def sample_segmentations(docs: DataFrame, k: int = SAMPLES, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,10 +359,12 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, model: str | None =
                 for d, (paths, bound) in enumerate(zip(found, least)):
                     for rank, (edges, log_prob, perturbed) in enumerate(paths, 1):
                         ids = batch.ids(edges)
-                        included = -np.expm1(-np.exp(min(log_prob - bound, 700.0)))
+                        above = min(log_prob - bound, 700.0)
+                        included = -np.expm1(-np.exp(above))
+                        log_included = float(np.log(included)) if above > -30 else above  # a long text's underflows
                         exact = pieces.decode(ids) == (texts[start + d] or "")
                         name = names[start + d]
-                        rows.append((None if pd.isna(name) else int(name), rank, len(ids), log_prob, perturbed, included, exact, ids.tobytes()))
+                        rows.append((None if pd.isna(name) else int(name), rank, len(ids), log_prob, perturbed, included, log_included, exact, ids.tobytes()))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in SAMPLED.split(", ")]).astype({"doc_id": "Int64"})
 
     key = F.coalesce(F.xxhash64(id_col), F.lit(0)) if id_col in docs.columns else F.lit(0)

@@ -45,6 +45,5 @@ def with_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi")
     The ids are counted; up to BROADCAST_IDS of them are broadcast (16 MB), more are shuffled and hashed
     against the rows. The result is the same.
     """
-    if ids.count() <= BROADCAST_IDS:
-        return rows.join(F.broadcast(ids), key, how)
-    return rows.join(ids.hint("shuffle_hash"), key, how)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    return rows.join(ids, key, how).select(*[F.col(f"`{c}`") for c in rows.columns])

@@ -290,6 +290,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     """Fit on texts (doc_id, text) and labels (doc_id, toxic)."""
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.select("doc_id", "text")
     counts = char_model(docs)
     labels = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003

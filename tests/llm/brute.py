@@ -50,3 +50,44 @@ def jaccard(rows):
         links += [(a, b) for b, n in met.items() if 100 * n >= 75 * (len(s) + len(sets[b]) - n)]
     found = components(sets, links)
     return {i: (len(s), found[i]) for i, s in sets.items()}
+
+
+def secret_spans(text):
+    """Strong spans as kind:start:end, by start and kind."""
+    text = text or ""
+    word = "|".join(re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", k) for k in ("password", "passwd", "secret", "token", "api_?key"))
+    found = []
+    for m in re.finditer(rf"""({word})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 8:
+            found.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    for kind, (name, pattern, least) in enumerate([("access", "AKIA[A-Z0-9]+", 16), ("hex", "[0-9a-f]+", 32)], 1):
+        found += [(m.start(), kind, f"{name}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return [s for _, _, s in sorted(found)]
+
+
+def mix(rows):
+    """Ids as often as the mix takes them, by reshare rounds and a sort by hash."""
+    import hashlib
+
+    sized = [(i, len(WORD.findall(t or "")), s) for i, t, s in rows]
+    names = sorted({s for _, _, s in sized}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, n, x in sized if x == s) for s in names}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, left, free = dict.fromkeys(names, 0.0), 1.5 * sum(size.values()), set(names)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] >= 2 * size[s]}
+        for s in over or free:
+            target[s] = 2.0 * size[s] if over else level * weight[s]
+        left -= sum(target[s] for s in over)
+        free = free - over if over else set()
+    taken = []
+    for s in names:
+        own = sorted((hashlib.md5(str("" if i is None else i).encode()).hexdigest(), n, i) for i, n, x in sized if x == s)
+        whole = int(target[s] // size[s]) if size[s] else 0
+        wanted, upto = target[s] - whole * size[s], 0
+        for _, n, i in own:
+            extra = wanted > 0 and (upto + n < wanted or (upto < wanted and upto + n - wanted <= wanted - upto))
+            upto += n
+            taken += [i] * (whole + extra)
+    return taken

@@ -1,0 +1,141 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from postloom.llm import chat, exact_dedup, jaccard, language, lattice, lm, mixing, pieces, secrets, toxicity
+
+LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 20_000
+SCHEMA = "doc_id long, text string, lang string, source string, key long, hash string, size long, digest string, row string, kept boolean"
+DOCS = [
+    (1, "the quick brown fox jumps over the lazy dog", "en", "a"), (2, None, "en", None), (3, "", None, "a"),
+    (None, "the quick brown fox jumps over the lazy dog", "en", "b"), (None, None, None, None),
+    (4, LONG, "en", "b"), (5, LONG, "en", "b"), (6, " \t\n ", "en", "b"), (7, "x" * 100_000, None, ""),
+    (8, "the quick  brown fox\njumps over the lazy dog", "en", "a"), (8, "the quick  brown fox\njumps over the lazy dog", "en", "a"),
+    (9, "12345 !!! \U0001f600", "de", "a"), (10, "one two", "en", "a"), (11, "ONE two", "en", "a"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, 1, "h", 2, "d", "r", True) for r in DOCS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_language(spark, docs, empty):
+    model = language.learn(docs)
+    found = language.identify(docs, model).collect()
+    assert len(found) == len(DOCS)
+    assert all((r.lang_pred == "und" and r.rejected and r.score == 0) == (r.doc_id in (2, 3, 6, 9)) for r in found if r.doc_id)
+    assert language.identify(empty, model).count() == 0
+    nothing = language.identify(docs, language.learn(empty)).collect()
+    assert {r.lang_pred for r in nothing} == {"und"}
+
+
+def test_secrets(docs, empty):
+    assert secrets.find_secrets(docs).count() == len(DOCS)
+    assert secrets.find_secrets(empty).count() == 0
+
+
+def test_jaccard(docs, empty):
+    found = jaccard.link_documents(docs).collect()
+    by = {(r.doc_id, r.n_shingles): r.component_id for r in found}
+    assert len(found) == len(DOCS)
+    assert by[(1, 5)] == by[(8, 5)] == 1 and by[(5, 10)] == by[(4, 10)] == 4
+    assert by[(2, 0)] == 2 and by[(3, 0)] == 3 and by[(10, 1)] == by[(11, 1)] == 10 and by[(None, 5)] is None
+    assert jaccard.link_documents(empty).count() == 0
+
+
+def test_toxicity(spark, docs, empty):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (4, 0), (None, 1), (9, None)], "doc_id long, toxic int")
+    assert toxicity.score(docs, toxicity.learn(docs, labels)).count() == len(DOCS)
+    assert {r.score for r in toxicity.score(docs, toxicity.learn(docs, labels.limit(0))).collect()} == {0.0}
+    assert toxicity.score(empty, toxicity.learn(empty, labels)).count() == 0
+
+
+def test_pieces(docs, empty):
+    found = pieces.sample_segmentations(docs, 3)
+    rows = found.collect()
+    assert all(r.exact for r in rows)
+    assert [r["rank"] for r in rows if r.doc_id == 2] == [1] and {r.inclusion for r in rows if r.doc_id == 3} == {1.0}
+    texts = pieces.decode_ids(found.where("rank = 1 AND doc_id IN (1, 6, 9)")).collect()
+    assert {r.text for r in texts} == {r[1] for r in DOCS if r[0] in (1, 6, 9)}
+    assert pieces.sample_segmentations(empty).count() == 0
+
+
+def test_exact_dedup(spark, docs, empty):
+    index = exact_dedup.fresh_index(spark)
+    found = exact_dedup.group_copies(docs, index).collect()
+    fox = [r for r in found if r.keep_id == 1]
+    assert len(fox) == 4 and {r.group_size for r in fox} == {4} and [r.doc_id for r in fox if r.kept] == [1]
+    assert {r.keep_id for r in found if r.doc_id in (2, 3)} == {2}
+    assert len(found) == len(DOCS)
+    again = exact_dedup.group_copies(docs, index).collect()
+    assert not any(r.kept for r in again) and all(r.seen_before for r in again)
+    assert index.rows().count() == len({r.text_sha256 for r in found})
+    assert exact_dedup.group_copies(empty, index).count() == 0
+    reopened = exact_dedup.DigestIndex(spark, index.path, index.buckets)
+    assert not any(r.kept for r in exact_dedup.group_copies(docs, reopened).collect())
+
+
+def test_language_model(docs, empty):
+    found = lm.score_documents(docs).collect()
+    assert len(found) == len(DOCS) and all(r.score < 0 and r.base_score < 0 for r in found)
+    assert {r.n_tokens for r in found if r.doc_id in (2, 3, 6)} == {1}
+    same = [r.score for r in found if r.doc_id == 8]
+    assert same[0] == pytest.approx(same[1], rel=1e-6)
+    assert lm.score_documents(empty).count() == 0
+
+
+def test_mixing(docs, empty):
+    found = mixing.mix_sources(docs).collect()
+    assert len(found) == len(DOCS) and all(0 <= r.taken <= 2 * r.size for r in found)
+    assert mixing.mix_sources(empty).count() == 0
+
+
+def test_embeddings(spark):
+    v = [1.0, 0.0, 2.0]
+    rows = [(1, v), (2, v), (3, None), (4, []), (5, [0.0] * 3), (6, [float("nan"), 1.0, 1.0]), (7, [1.0, None, 1.0]), (None, v), (8, [1.0, 0.0]), (9, [2.0, 0.0, 4.0]), (2, v)]
+    table = spark.createDataFrame([(*r, 1, 2.0, True) for r in rows], "vec_id long, embedding array<double>, node long, unit double, kept boolean")
+    found = lattice.link_vectors(table).collect()
+    assert len(found) == len(rows)
+    by = {r.vec_id: r for r in found}
+    assert by[9].component_id == by[2].component_id == 1 and by[1].n_links == 3
+    assert all(by[i].n_links == 0 and by[i].component_id == i and by[i].kept for i in (3, 4, 5, 6, 7, 8))
+    assert by[None].component_id is None and not by[None].kept
+    assert lattice.link_vectors(table.limit(0)).count() == 0
+
+
+def test_chat(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "a\\b<|x|>[INST]"), (1, 1, "assistant", None), (1, 1, "assistant", None), (1, None, None, "n"), (None, 0, "user", "u"), (2, 0, "assistant", "y" * 100_000)],
+        "conv_id long, turn long, role string, text string",
+    )
+    found = {r.conv_id: r for r in chat.digests(chat.format_log(chat.turns_as_log(turns))).collect()}
+    assert (found[1].n_turns, found[1].loss_chars, found[None].n_turns, found[2].loss_chars) == (4, 0, 1, 100_000)
+    assert chat.format_log(chat.turns_as_log(turns.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("rows", ["docs", "empty"])
+def test_stages(spark, rows, request):
+    now = request.getfixturevalue(rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, "")
+        assert out.columns == now.columns, name
+        now = spark.createDataFrame(out.collect(), out.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").where("NOT exact").count() == 0
+
+
+def test_near_copies_without_ids_stay(spark, docs):
+    kept = [r.doc_id for r in jaccard.stage_near_dedup(spark, docs, "").collect()]
+    assert kept.count(None) == 2 and 8 not in kept and 5 not in kept
+
+
+def test_lattice_keys_are_stable():
+    x = np.random.default_rng(1).normal(size=(5, 64))
+    assert (lattice.cells(x) == lattice.cells(np.concatenate([x, x]))[5:]).all()
