@@ -51,7 +51,9 @@ _CLASS[128:] = OTHER
 _CLASS[97:123] = np.arange(26)
 _CLASS[65:91] = np.arange(26)
 _SPACED = re.compile(rf"(?<!\S)(?:[a-z][{re.escape(SEPARATORS)}]){{2,}}[a-z](?!\S)")
-_HIDDEN = re.compile(r"[a-z][0-9@$!|+]|[0-9@$!|+][a-z]|([a-z])\1\1")
+# a run of one symbol at the end of a word hides nothing
+_HIDDEN = re.compile(r"[a-z][0-9]|[0-9@$!|+][a-z]|[a-z]([@$+])(?!\1)|([a-z])\2\2")
+_BEFORE, _AFTER = re.compile(r"\S*\Z"), re.compile(r"\S*")
 _EDGE = re.compile(r"^(?:[^\w@$|+]|_)+|(?:[^\w@$+]|_)+$|([@$|+])\1+$")
 
 
@@ -157,7 +159,8 @@ def suspicious(texts: list[str]) -> np.ndarray:
     raw = np.frombuffer(b"  ".join([b"", *parts, b""]), np.uint8)
     letter, leet = _LETTER[raw], _LEET[raw]
     flag = np.zeros(len(raw), bool)
-    flag[1:] = (letter[1:] & leet[:-1]) | (leet[1:] & letter[:-1])
+    flag[1:] = letter[1:] & leet[:-1]
+    flag[1:-1] |= leet[1:-1] & letter[:-2] & (raw[1:-1] != raw[2:])
     flag[2:] |= letter[2:] & (raw[2:] == raw[1:-1]) & (raw[2:] == raw[:-2])
     lone = letter.copy()
     lone[1:] &= ~letter[:-1]
@@ -171,9 +174,14 @@ def suspicious(texts: list[str]) -> np.ndarray:
 def stretches(text: str) -> list[tuple[int, int]]:
     """Places in a lower-case text that get a lattice."""
     found = [m.span() for m in _SPACED.finditer(text) if m.end() - m.start() <= LONGEST]
-    for m in re.finditer(r"\S+", text):
-        start, stop = m.span()
-        if stop - start > LONGEST + 16 or not _HIDDEN.search(m.group()):
+    done, most = 0, LONGEST + 16
+    for m in _HIDDEN.finditer(text):
+        if m.start() < done:
+            continue
+        low = max(0, m.start() - most)
+        start = low + _BEFORE.search(text[low:m.start()]).start()
+        stop = done = _AFTER.match(text, m.start(), m.start() + most).end()
+        if stop - start > most:
             continue
         for _ in range(3):
             core = _EDGE.sub("", text[start:stop])
@@ -206,34 +214,60 @@ def restore(texts: list[str | None], model: np.ndarray) -> list[str]:
     return texts
 
 
-def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Words and heads of words with the number of their text."""
+def _hashes(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the words and of each of their heads, and the number of the text of every word."""
     words, counts, heads = word_hashes(texts, _GAP, HEADS)
-    return np.concatenate([words, *heads]).view(np.int64), np.tile(np.repeat(np.arange(len(texts)), counts), 1 + len(HEADS))
+    return [h.view(np.int64) for h in (words, *heads)], np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+
+
+def _pairs(names: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (name, row), sorted by name."""
+    order = np.lexsort((row, names))
+    names, row = names[order], row[order]
+    new = np.ones(len(names), bool)
+    new[1:] = (names[1:] != names[:-1]) | (row[1:] != row[:-1])
+    return names[new], row[new]
+
+
+class Lookup:
+    """Places of hashes in a sorted lexicon; a bit per hash ending sends most words away early."""
+
+    def __init__(self, lexicon: np.ndarray):
+        self.lexicon = lexicon
+        self.ending = np.zeros(1 << 18, bool)
+        self.ending[lexicon & ((1 << 18) - 1)] = True
+
+    def found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text, place in the lexicon), sorted by text."""
+        names, row = _hashes(texts)
+        texts_of, places = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for hashes in names if len(self.lexicon) else []:
+            at = np.flatnonzero(self.ending[hashes & ((1 << 18) - 1)])
+            place = np.minimum(np.searchsorted(self.lexicon, hashes[at]), len(self.lexicon) - 1)
+            hit = self.lexicon[place] == hashes[at]
+            texts_of.append(row[at[hit]])
+            places.append(place[hit])
+        return _pairs(np.concatenate(texts_of), np.concatenate(places))
 
 
 def _word_rows(batches):
     """Per batch and word: rows and toxic rows that hold it; word 0 has the rows themselves."""
     for pdf in batches:
-        words, row = _hashes([(t or "").lower() for t in pdf["text"]])
-        pairs = np.unique(np.stack([words, row]), axis=1)
+        names, row = _hashes([(t or "").lower() for t in pdf["text"]])
+        words, row = _pairs(np.concatenate(names), np.tile(row, len(names)))
         toxic = pdf["toxic"].to_numpy(np.int64)
-        found, start = np.unique(pairs[0], return_index=True)
-        rows = np.diff(np.append(start, pairs.shape[1]))
-        bad = np.add.reduceat(toxic[pairs[1]], start) if len(start) else np.zeros(0, np.int64)
+        start = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
+        found, rows = words[start], np.diff(np.append(start, len(words)))
+        bad = np.add.reduceat(toxic[row], start) if len(start) else np.zeros(0, np.int64)
         yield pd.DataFrame({"word": np.append(found, 0), "docs": np.append(rows, len(pdf)), "bad": np.append(bad, toxic.sum())})
 
 
 def _features(batches, lexicon: np.ndarray):
+    lookup = Lookup(lexicon)
     for pdf in batches:
-        words, row = _hashes([(t or "").lower() for t in pdf["text"]])
-        at = np.searchsorted(lexicon, words)
-        hit = lexicon[np.minimum(at, len(lexicon) - 1)] == words
-        pairs = np.unique(np.stack([row[hit], at[hit]]), axis=1)
-        cut = np.searchsorted(pairs[0], np.arange(len(pdf) + 1))
-        yield pd.DataFrame({
-            "key": pdf["key"], "toxic": pdf["toxic"], "present": [pairs[1][a:b] for a, b in zip(cut[:-1], cut[1:])],
-        })
+        row, place = lookup.found([(t or "").lower() for t in pdf["text"]])
+        cut = np.searchsorted(row, np.arange(len(pdf) + 1))
+        yield pd.DataFrame({"key": pdf["key"], "toxic": pdf["toxic"], "present": [place[a:b] for a, b in zip(cut[:-1], cut[1:])]})
 
 
 def fit_logistic(present: list[np.ndarray], y: np.ndarray, width: int) -> np.ndarray:
@@ -272,17 +306,15 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, lexicon: np.ndarray, weights: np.ndarray | None):
         self.model, self.lexicon, self.weights = model, lexicon, weights
+        self.lookup = Lookup(lexicon)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(texts))
         z = np.full(len(texts), self.weights[-1])
         if len(self.lexicon):
-            words, row = _hashes(restore(texts, self.model))
-            at = np.searchsorted(self.lexicon, words)
-            hit = self.lexicon[np.minimum(at, len(self.lexicon) - 1)] == words
-            pairs = np.unique(np.stack([row[hit], at[hit]]), axis=1)
-            z += np.bincount(pairs[0], weights=self.weights[pairs[1]], minlength=len(texts))
+            row, place = self.lookup.found(restore(texts, self.model))
+            z += np.bincount(row, weights=self.weights[place], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 

@@ -48,14 +48,26 @@ def word_hashes(texts: list[str | None], space: np.ndarray = SPACE, heads: tuple
         return (none, counts, [none] * len(heads)) if heads else (none, counts)
     gaps = np.diff(np.append(starts, len(raw)))
     offset = np.arange(starts[0], len(raw)) - np.repeat(starts, gaps)
-    power = np.cumprod(np.full(int(gaps.max()) + 1, _STEP, np.uint64))
+    power = np.cumprod(np.full(max(int(gaps.max()), *heads, 0) + 1, _STEP, np.uint64))
     values = np.where(gap[starts[0]:], np.uint64(0), _BYTE[raw[starts[0]:]] * power[offset])
     words = mix(np.add.reduceat(values, starts - starts[0]))
     if not heads:
         return words, counts
     # the head of a word is marked, so that it is not taken for a word of its own
-    cut = [np.add.reduceat(np.where(offset < h, values, np.uint64(0)), starts - starts[0]) for h in heads]
-    return words, counts, [mix(c + np.uint64(h)) for c, h in zip(cut, heads)]
+    size = np.minimum(ends_of(gap, starts) - starts, max(heads))
+    total, cut = np.zeros(len(starts), np.uint64), {}
+    for k in range(max(heads)):
+        inside = size > k
+        total += np.where(inside, _BYTE[raw[np.where(inside, starts + k, 0)]] * power[k], np.uint64(0))
+        cut[k + 1] = total.copy() if k + 1 in heads else None
+    return words, counts, [mix(cut[h] + np.uint64(h)) for h in heads]
+
+
+def ends_of(gap: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where each word ends."""
+    last = ~gap
+    last[:-1] &= gap[1:]
+    return np.flatnonzero(last) + 1
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
