@@ -463,8 +463,8 @@ def suppress_events(t: Tables):
 
 
 def suppress_events_hot(t: Tables):
-    """Same result by the path for hot keys: every event type is cut into chunks of time."""
-    return suppress_repeats(b.items(t), "event_type", "at_us", "id", hot_rows=700)
+    """The same rows from many small range partitions: every event type is cut into chunks of time."""
+    return suppress_repeats(b.items(t), "event_type", "at_us", "id", parts=61)
 
 
 def suppress_sql(source: tuple[str, ...], table: str, key: str, item: str) -> str:
@@ -483,18 +483,14 @@ SUPPRESS_EVENTS_SQL = suppress_sql((b.EVENTS_SQL,), "items", "event_type", "id")
 
 def arrival_funnel(t: Tables):
     """Flagship: text present → long enough → repeats dropped, counted per source."""
-    posts = b.hashed_posts(t)
-    text = F.col("text")
-    checked = posts.where(records.has_text(text) & records.long_enough(text))
-    kept = suppress_repeats(checked, "text_hash", "at_us", "post_id").select("post_id", F.lit(1).alias("kept"))
-    marked = posts.join(kept, "post_id", "left").withColumn(
-        "long", (records.has_text(text) & records.long_enough(text)).cast("int")
-    )
-    return marked.groupBy("source", "source_id").agg(
-        F.count("*").alias("arrived"),
-        F.sum("long").alias("long_enough"),
-        F.count("kept").alias("kept"),
-    )
+    text, place = F.col("text"), ["source", "source_id"]
+    # the text ends in one flag and one hash where it is read
+    posts = b.hashed_posts(t).withColumn("long", records.has_text(text) & records.long_enough(text))
+    arrived = posts.groupBy(*place).agg(F.count("*").alias("arrived"), F.sum(F.col("long").cast("int")).alias("long_enough"))
+    item = F.struct("post_id", *place).alias("item")
+    kept = suppress_repeats(posts.where("long").select("text_hash", "at_us", item), "text_hash", "at_us", "item")
+    kept = kept.groupBy("item.source", "item.source_id").agg(F.count("*").alias("kept"))
+    return arrived.join(kept, place, "left").select(*place, "arrived", "long_enough", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
 FUNNEL_SQL = f"""WITH RECURSIVE {b.HASHED_SQL},

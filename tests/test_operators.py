@@ -11,12 +11,13 @@ from postloom.operators import evaluate as ev
 from postloom.operators import ingest, status
 from postloom.operators.ordered import RUN, row_numbers, scan, split_runs
 from postloom.operators.profiles import KEYS, profile_fold
-from postloom.operators.suppress import chain_exits, suppress_repeats
+from postloom.operators.suppress import SAME, chunk_steps, composed, suppress_repeats
 from postloom.schemas import DURATIONS, FLAG_DEFAULTS, FLAGS, WORK_TYPES
 from postloom.sources.files import scan_samples_csv
 from postloom.streaming.profiles import apply_event, new_profile
 
 MINUTE = 60_000_000
+HOUR_US = 60 * MINUTE
 
 
 def kept_by_loop(rows, span=HOUR_US):
@@ -31,9 +32,9 @@ def kept_by_loop(rows, span=HOUR_US):
 def test_suppression_bounds(spark):
     at = [0, 40 * MINUTE, 80 * MINUTE, 140 * MINUTE, 140 * MINUTE + 1_000_000]
     df = spark.createDataFrame([("h", us, i) for i, us in enumerate(at)], "k string, us bigint, i bigint")
-    for hot in (1000, 1):
-        got = {r.i for r in suppress_repeats(df, "k", "us", "i", hot_rows=hot).collect()}
-        assert got == {0, 2, 4}, hot
+    for parts in (1, 5):
+        got = {r.i for r in suppress_repeats(df, "k", "us", "i", parts=parts).collect()}
+        assert got == {0, 2, 4}, parts
 
 
 @pytest.mark.parametrize("seed,gap,hot", [(1, 3 * MINUTE, 7), (2, 25 * MINUTE, 3), (3, MINUTE // 60, 50), (4, 90 * MINUTE, 2)])
@@ -47,15 +48,39 @@ def test_suppression_equals_loop(spark, seed, gap, hot):
     df = spark.createDataFrame(rows, "k string, us bigint, i bigint")
     want = kept_by_loop(rows)
     assert {r.i for r in suppress_repeats(df, "k", "us", "i").collect()} == want
-    assert {r.i for r in suppress_repeats(df, "k", "us", "i", hot_rows=hot * 10).collect()} == want
+    assert {r.i for r in suppress_repeats(df, "k", "us", "i", parts=hot * 5).collect()} == want
 
 
-def test_chain_exits_follow_the_fold():
+def test_chunk_functions_compose_to_the_fold():
     import numpy as np
 
-    us = np.array([10, 15, 21, 26, 40])
-    last, kept = chain_exits(us, np.array([0, 6, 9]), 10)
-    assert last.tolist() == [40, 40, 40] and kept.tolist() == [3, 2, 2]
+    rng = np.random.default_rng(4)
+    for span in (10, 3, 40):
+        us = np.cumsum(rng.integers(1, 9, 60))
+        first, second, third = us[:25], us[25:27], us[27:]
+
+        def fold(part, last):
+            for x in part:
+                last = x if x > last + span else last
+            return last
+
+        f = composed(composed(chunk_steps(first, span), chunk_steps(second, span)), chunk_steps(third, span))
+        for entry in range(-60, int(us[0])):
+            found = f[1][np.searchsorted(f[0], entry, side="right")]
+            assert (entry if found == SAME else found) == fold(us, entry)
+
+
+@pytest.mark.parametrize("gap", [30 * MINUTE, HOUR_US // 7, HOUR_US, HOUR_US + 1])
+def test_suppression_of_fixed_gaps_and_any_key_type(spark, gap, monkeypatch):
+    from postloom.operators import suppress
+
+    rounds = []
+    monkeypatch.setattr(suppress, "cut", lambda df, keep=suppress.cut: rounds.append(1) or keep(df))
+    rows = [(k, i * gap, i + 1000 * j) for j, k in enumerate([7, None, 9]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k bigint, us bigint, i bigint")
+    got = {r.i for r in suppress_repeats(df, "k", "us", "i", parts=40).collect()}
+    assert got == kept_by_loop(rows)
+    assert len(rounds) <= 2 + 6  # two cuts and log2 of the chunks of a key
 
 
 def test_scan_is_split_and_exact(spark):
