@@ -37,6 +37,8 @@ TRAIN_ROWS, SHARDS, ROUNDS = 1200, 6, 3
 WINDOW, TRAIN_LANES, RATE = 16, 32, 0.01
 LANES, SCORE_WINDOW = 256, 128
 _LOG10 = np.log(10.0)
+#: Words are counted by power of two of their count, up to this many.
+LEVELS = 48
 
 TOKENS = "chunk long, ids array<long>, learn array<boolean>, held array<boolean>, sizes array<long>, words binary, places binary"
 
@@ -95,7 +97,7 @@ def _emit(buckets: int):
     return run
 
 
-COUNTED = "chunk long, bucket int, counts binary, head array<long>, head_counts array<long>, distinct long"
+COUNTED = "chunk long, bucket int, counts binary, head array<long>, head_counts array<long>, levels array<long>"
 
 
 def _count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,7 +119,7 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({
         "chunk": [-1, *pdf["chunk"]], "bucket": [pdf["bucket"].iat[0]] * (n + 1), "counts": [None, *replies],
         "head": [distinct[head].view(np.int64), *[None] * n], "head_counts": [totals[head], *[None] * n],
-        "distinct": [int((totals > 0).sum()), *[0] * n],
+        "levels": [[int((totals >= 1 << i).sum()) for i in range(LEVELS)], *[None] * n],
     })
 
 
@@ -380,9 +382,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     emitted = tokens.mapInPandas(_emit(buckets), "chunk long, bucket int, low binary, high binary, times binary, top binary")
     counted = saved(emitted.groupBy("bucket").applyInPandas(_count, COUNTED), "counts")
     heads = counted.where("chunk < 0")
-    top = heads.select(F.explode(F.arrays_zip("head", "head_counts")).alias("h")).select("h.*")
+    levels = heads.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n"))
+    levels = dict(levels.collect())  # LEVELS rows
+    distinct = levels.get(0, 0)
+    # the highest power of two that still leaves a full vocabulary; rarer words of the heads are not unpacked
+    least = 1 << max((i for i, n in levels.items() if n >= VOCABULARY), default=0)
+    often = F.filter(F.arrays_zip("head", "head_counts"), lambda h: h["head_counts"] >= least)
+    top = heads.select(F.explode(often).alias("h")).select("h.*")
     top = top.orderBy(F.col("head_counts").desc(), "head").limit(VOCABULARY).collect()
-    distinct = heads.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     learned = tokens.select(F.explode(F.arrays_zip("learn", "sizes")).alias("t")).where("t.learn")
     n_docs, n_words = learned.agg(F.count("*"), F.coalesce(F.sum("t.sizes"), F.lit(0))).first()
     vocabulary = Vocabulary(
