@@ -100,9 +100,9 @@ def decode_payload(payload: Column) -> Column:
 
 
 def callback_number(data: Column, prefix: str) -> Column:
-    """N of a `cat<N>`, `f<N>` or `opt<N>` callback, null for other data; huge numbers saturate."""
+    """N of a `cat<N>`, `f<N>` or `opt<N>` callback, null for other data and beyond 64 bits."""
     digits = F.regexp_extract(strip_spaces(F.coalesce(data, F.lit(""))), f"^{prefix}([0-9]+)$", 1)
-    return F.when(F.length(digits) > 9, F.lit(999_999_999)).otherwise(digits.try_cast("int"))
+    return digits.try_cast("bigint")
 
 
 def callback_data(payload: Column) -> Column:

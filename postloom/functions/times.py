@@ -33,6 +33,5 @@ def micros_to_utc(us: Column) -> Column:
 
 
 def aware_to_utc(text: Column) -> Column:
-    """ISO time with an offset to a naive UTC timestamp."""
-    zoned = F.to_timestamp(text)
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), zoned.cast("timestamp_ntz"))
+    """ISO time with an offset to a naive UTC timestamp, whatever the session's time zone."""
+    return micros_to_utc(F.unix_micros(F.to_timestamp(text)))

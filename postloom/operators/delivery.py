@@ -151,6 +151,20 @@ def _subscriber_classes() -> Column:
     )
 
 
+def match_summary(posts: DataFrame, subscribers: DataFrame, post_id: str = "post_id") -> DataFrame:
+    """Matched posts per active subscriber: number, first and last id.
+
+    Posts are counted per class first (at most 240 rows), so no pair of a post and a subscriber is made.
+    """
+    classes = posts.groupBy(post_class(F.col("source"), F.col("attributes")).alias("class")).agg(
+        F.count("*").alias("n"), F.min(post_id).alias("low"), F.max(post_id).alias("high")
+    )
+    wanted = subscribers.where("status = 'active'").select("platform", "external_id", F.explode(_subscriber_classes()).alias("class"))
+    return wanted.join(classes, "class").groupBy("platform", "external_id").agg(
+        F.sum("n").alias("posts"), F.min("low").alias("first_post"), F.max("high").alias("last_post")
+    )
+
+
 def match_subscribers(
     posts: DataFrame,
     subscribers: DataFrame,

@@ -58,29 +58,26 @@ def new_since_cursor_wall(df: DataFrame, page: int = PAGE, depth: int | None = N
     never new. With `depth`, at most that many rows per source are looked at, in whole pages.
     """
     pinned = F.coalesce(F.col("is_pinned"), F.lit(0)) != 0
-    first_page = newest_first(df.where("last_seen_id IS NULL"), page, pinned.desc()).drop("rn")
-    seen = df.where("last_seen_id IS NOT NULL")
     newer = F.col("id") > F.col("last_seen_id")
+    unread = F.col("last_seen_id").isNull()
     if depth is None:
-        later = seen.where(newer)
-    else:
-        reach = -(-depth // page) * page
-        # old rows other than pinned ones sort last, so they need no rank
-        later = newest_first(seen.where(newer | pinned), reach, pinned.desc()).where(newer).drop("rn")
-    return first_page.unionByName(later)
+        # all newer rows of a source that was read are new, so these need no rank and no shuffle
+        return newest_first(df.where(unread), page, pinned.desc()).drop("rn").unionByName(df.where(newer))
+    reach = -(-depth // page) * page
+    # one pass for both kinds of source; old rows other than pinned ones sort last and need no rank
+    ranked = newest_first(df.where(unread | newer | pinned), max(page, reach), pinned.desc())
+    return ranked.where(F.when(unread, F.col("rn") <= page).otherwise(newer & (F.col("rn") <= reach))).drop("rn")
 
 
 def new_since_cursor_chat(df: DataFrame, limit: int = PAGE) -> DataFrame:
-    """Newest `limit` messages of a chat never read, else the oldest `limit` after the cursor."""
-    fresh = newest_first(df.where("last_seen_id IS NULL"), limit).drop("rn")
-    oldest = Window.partitionBy("source_id").orderBy("id")
-    backlog = (
-        df.where(F.col("id") > F.col("last_seen_id"))
-        .withColumn("rn", F.row_number().over(oldest))
-        .where(F.col("rn") <= limit)
-        .drop("rn")
-    )
-    return fresh.unionByName(backlog)
+    """Newest `limit` messages of a chat never read, else the oldest `limit` after the cursor.
+
+    One ranked pass: the order is by id, downwards for chats never read.
+    """
+    unread = F.col("last_seen_id").isNull()
+    order = Window.partitionBy("source_id").orderBy(F.when(unread, -F.col("id")).otherwise(F.col("id")))
+    ranked = df.where(unread | (F.col("id") > F.col("last_seen_id"))).withColumn("rn", F.row_number().over(order))
+    return ranked.where(F.col("rn") <= limit).drop("rn")
 
 
 def latest_id_per_source(df: DataFrame) -> DataFrame:

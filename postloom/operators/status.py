@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.schemas import FLAG_DEFAULTS, FLAGS, STATUS_RANK, status_rank
+from postloom.schemas import FLAG_DEFAULTS, FLAGS, QUARANTINED, STATUS_RANK, status_rank
 
 
 def status_transition(passed: Column, stage: str) -> Column:
@@ -14,8 +14,14 @@ def status_transition(passed: Column, stage: str) -> Column:
 
 
 def status_latest(log: DataFrame) -> DataFrame:
-    """Furthest status per post; a replayed message cannot move a post back."""
-    return log.groupBy("post_id").agg(F.max_by("status", status_rank(F.col("status"))).alias("status"))
+    """Furthest status per post; a replayed message cannot move a post back.
+
+    Of two outcomes of one stage the rejection is the later word. Payloads that did not decode have no
+    post and so no row here; `stage_funnel` counts them.
+    """
+    order = F.struct(F.coalesce(status_rank(F.col("status")), F.lit(-1)), "status")
+    known = log.where("post_id IS NOT NULL")
+    return known.groupBy("post_id").agg(F.max_by("status", order).alias("status"))
 
 
 def latest_rows(changes: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -29,8 +35,8 @@ def latest_rows(changes: DataFrame, keys: list[str], version: str) -> DataFrame:
 
 
 def stage_funnel(posts: DataFrame) -> DataFrame:
-    """Posts per source and status, one column per status."""
-    counts = [F.count_if(F.col("status") == s).alias(s) for s in STATUS_RANK]
+    """Posts per source and status, one column per status; quarantined payloads may have a null source."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in [*STATUS_RANK, QUARANTINED]]
     return posts.groupBy("source").agg(*counts)
 
 

@@ -9,7 +9,7 @@ from postloom.operators import delivery as d
 from postloom.operators import status as st
 from postloom.plans import bindings as b
 from postloom.plans.bindings import Tables, sql
-from postloom.schemas import DURATIONS, FLAG_DEFAULTS, FLAGS, STATUS_RANK, WORK_TYPES
+from postloom.schemas import DURATIONS, FLAG_DEFAULTS, FLAGS, QUARANTINED, STATUS_RANK, WORK_TYPES
 
 _PA = (b.POSTS_SQL, b.ATTRIBUTES_SQL)
 
@@ -113,7 +113,7 @@ FUNNEL_SQL = sql(
         FROM posts WHERE length(text) >= 30
       UNION ALL SELECT source, 'attributes_extracted' FROM posts WHERE length(text) >= 30 AND post_id % 3 <> 0)""",
     body="SELECT source, "
-    + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in STATUS_RANK)
+    + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in [*STATUS_RANK, QUARANTINED])
     + " FROM log GROUP BY 1",
 )
 
@@ -185,9 +185,8 @@ def _matches(t: Tables):
 
 def match_counts(t: Tables):
     """Matched posts per subscriber: the predicate applied to every pair of classes."""
-    return _matches(t).groupBy("platform", "external_id").agg(
-        F.count("*").alias("posts"), F.min("post_id").alias("first_post"), F.max("post_id").alias("last_post")
-    )
+    posts = _posts(t).select("post_id", "source", "attributes")
+    return d.match_summary(posts, b.subscribers(t))
 
 
 # ---- outboxes ------------------------------------------------------------------------------

@@ -207,7 +207,7 @@ def published(t: Tables):
     root = _publish(t)
     rows = t.spark.read.parquet(f"{root}/new")
     return rows.select(
-        F.col("post_id").alias("id"),
+        F.col("post_id").cast("bigint").alias("id"),
         F.get_json_object("payload", "$.source").alias("source"),
         F.get_json_object("payload", "$.text").alias("text"),
     )
@@ -242,7 +242,8 @@ def _chain(t: Tables) -> str:
 
 
 def chain(t: Tables):
-    return st.status_latest(stages.status_log(t.spark, _chain(t)))
+    latest = st.status_latest(stages.status_log(t.spark, _chain(t)))
+    return latest.withColumn("post_id", F.col("post_id").cast("bigint"))
 
 
 CHAIN_SQL = """SELECT doc_id AS post_id, CASE WHEN length(text) < 30 THEN 'coarse_filter_rejected'
@@ -256,7 +257,7 @@ def scored_chain(t: Tables):
     root = _publish(t)
     _wait(stages.run_scored_stage(t.spark, root, "new", "ml", model))
     log = t.spark.read.parquet(f"{root}/ml")
-    return log.select("post_id", "status")
+    return log.select(F.col("post_id").cast("bigint").alias("post_id"), "status")
 
 
 SCORED_SQL = sql(
@@ -292,7 +293,9 @@ def fanned_out(t: Tables):
     _wait(*stages.fan_out(t.spark, root, consumers).values())
     out = None
     for name in consumers:
-        rows = t.spark.read.parquet(f"{root}/out/{name}").groupBy("post_id").agg(F.count("*").alias("deliveries"))
+        rows = t.spark.read.parquet(f"{root}/out/{name}").groupBy(F.col("post_id").cast("bigint").alias("post_id")).agg(
+            F.count("*").alias("deliveries")
+        )
         rows = rows.withColumn("consumer", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -198,7 +198,7 @@ def decoded(t: Tables):
     return rows.select(
         "id",
         F.col("d.error").alias("error"),
-        F.when(good, F.col("d.post.id")).alias("post_id"),
+        F.when(good, F.col("d.post.id")).cast("bigint").alias("post_id"),
         F.when(good, F.col("d.post.text")).alias("text"),
         F.when(good, F.col("d.post.attributes.work_type")).alias("work_type"),
         F.when(good, F.size("d.post.attachments")).cast("bigint").alias("photos"),

@@ -17,7 +17,7 @@ CHAT_SCHEMA = (
 )
 ATTRIBUTES_TYPE = "STRUCT<duration: STRING, work_type: STRING, payment: STRING, address: STRING>"
 PAYLOAD_SCHEMA = (
-    "id BIGINT, source STRING, text STRING, source_post_url STRING, source_chat_url STRING, "
+    "id STRING, source STRING, text STRING, source_post_url STRING, source_chat_url STRING, "
     f"attachments ARRAY<STRING>, attributes {ATTRIBUTES_TYPE}"
 )
 SAMPLES_SCHEMA = "post_id STRING, source_id STRING, source STRING, text STRING, label STRING"
@@ -34,6 +34,7 @@ STATUS_RANK = {
     "ml_filter_passed": 2,
     "attributes_extracted": 3,
 }
+QUARANTINED = "quarantined"  # status of a payload that does not decode
 FLAG_DEFAULTS = {
     "src_vk": True,
     "src_tg": True,

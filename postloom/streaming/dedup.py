@@ -24,13 +24,14 @@ KEPT_SCHEMA = "text_hash STRING, at_us BIGINT, item_id BIGINT"
 
 
 def dedup_batches(
-    posts: DataFrame, path: str, checkpoint: str, span_us: int = HOUR_US, available_now: bool = True
+    posts: DataFrame, path: str, checkpoint: str, span_us: int = HOUR_US, available_now: bool = True, lateness_us: int = HOUR_US
 ) -> StreamingQuery:
     """Append kept rows of a stream (text_hash, at_us, item_id) to `path/kept`.
 
     Rows within the span of an earlier batch's last kept row are dropped first; the fold on the
-    rest then equals one pass over everything, as dropped rows never lengthen a span. Both
-    folders of a batch are replaced when it is replayed.
+    rest then equals one pass over everything, as dropped rows never lengthen a span. A row that
+    arrives late, up to `lateness_us` behind the newest, is a repeat if it is not later than the span
+    of the last kept row. Both folders of a batch are replaced when it is replayed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -47,25 +48,24 @@ def dedup_batches(
         suppress_repeats(rows, "text_hash", "at_us", "item_id", span_us).write.mode("overwrite").parquet(kept_path)
         live = spark.read.parquet(kept_path).select("text_hash", "at_us")
         live = live if old is None else live.unionByName(old)
-        # a span that ended before the newest arrival can drop nothing any more
+        # a span that ended `lateness_us` before the newest arrival drops nothing any more; an empty batch ends none
         newest = batch.agg(F.max("at_us")).scalar()
         state = live.groupBy("text_hash").agg(F.max("at_us").alias("at_us"))
-        state.where(F.col("at_us") + span_us >= newest).write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
+        if newest is not None:
+            state = state.where(F.col("at_us") + span_us + lateness_us >= newest)
+        state.write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
 
     return start_batches(posts, write, checkpoint, available_now)
 
 
-def stream_dedup_1h(posts: DataFrame, lateness: str = "10 minutes", span_us: int = HOUR_US) -> DataFrame:
-    """Kept rows of a stream with columns (text_hash, at, at_us, item_id).
+def stream_dedup_1h(posts: DataFrame, span_us: int = HOUR_US) -> DataFrame:
+    """Kept rows of a stream with columns (text_hash, at_us, item_id).
 
-    The keep test compares times, so the watermark only frees state: the timer fires once no
-    later row can fall into the open span.
+    A watermark would make Spark drop late rows before the fold sees them, so there is none: a late row is
+    judged like any other, and one number per text hash stays in the state store for good.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["at_us", "item_id"])
         kept = []
@@ -74,14 +74,11 @@ def stream_dedup_1h(posts: DataFrame, lateness: str = "10 minutes", span_us: int
                 last = int(at_us)
                 kept.append((key[0], last, int(item_id)))
         state.update((last,))
-        expires_ms = (last + span_us) // 1000 + 1
-        state.setTimeoutTimestamp(max(expires_ms, state.getCurrentWatermarkMs() + 1))
         if kept:
             yield pd.DataFrame(kept, columns=["text_hash", "at_us", "item_id"])
 
-    marked = posts.withWatermark("at", lateness).select("text_hash", "at", "at_us", "item_id")
-    return marked.groupBy("text_hash").applyInPandasWithState(
-        fold, KEPT_SCHEMA, "last_kept BIGINT", "append", GroupStateTimeout.EventTimeTimeout
+    return posts.select("text_hash", "at_us", "item_id").groupBy("text_hash").applyInPandasWithState(
+        fold, KEPT_SCHEMA, "last_kept BIGINT", "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -18,9 +18,10 @@ from postloom.functions.parsing import decode_payload, encode_payload
 from postloom.functions.records import long_enough
 from postloom.operators.learn import LinearModel, ml_filter
 from postloom.operators.status import status_transition
+from postloom.schemas import QUARANTINED
 
 STAGES = ["new", "coarse", "ml", "prepared"]
-DECISION_SCHEMA = "payload STRING, post_id BIGINT, status STRING, passed BOOLEAN"
+DECISION_SCHEMA = "payload STRING, post_id STRING, status STRING, passed BOOLEAN"
 
 
 def start_append(df: DataFrame, path: str, checkpoint: str, available_now: bool, partition: str | None) -> StreamingQuery:
@@ -36,7 +37,7 @@ def publish_stage(posts: DataFrame, root: str, available_now: bool = True) -> St
     """Append a stream of post structs (column `post`) to the `new` stage as JSON payloads."""
     rows = posts.select(
         encode_payload(F.col("post")).alias("payload"),
-        F.col("post.id").alias("post_id"),
+        F.col("post.id").cast("string").alias("post_id"),
         F.lit("new").alias("status"),
         F.lit(True).alias("passed"),
     )
@@ -73,7 +74,7 @@ def run_stage(
     rows = decided.select(
         F.when(good, encode_payload(F.col("post"))).otherwise(F.col("payload")).alias("payload"),
         F.when(good, F.col("post.id")).alias("post_id"),
-        F.when(good, F.col("status")).otherwise(F.lit("quarantined")).alias("status"),
+        F.when(good, F.col("status")).otherwise(F.lit(QUARANTINED)).alias("status"),
         (good & F.coalesce("passed", F.lit(False))).alias("passed"),
     )
     return start_append(rows, f"{root}/{target}", f"{root}/_checkpoints/{target}", available_now, "passed")
@@ -158,8 +159,8 @@ def run_scored_stage(
         )
         bad = batch.where("error IS NOT NULL").select(
             "payload",
-            F.lit(None).cast("bigint").alias("post_id"),
-            F.lit("quarantined").alias("status"),
+            F.lit(None).cast("string").alias("post_id"),
+            F.lit(QUARANTINED).alias("status"),
             F.lit(False).alias("passed"),
         )
         decided.unionByName(bad).write.mode("overwrite").partitionBy("passed").parquet(folder)

@@ -171,10 +171,10 @@ def test_payload_round_trip_and_quarantine(spark):
 
 
 def test_callbacks(spark):
-    df = spark.createDataFrame([("cat3",), (" f11 ",), ("opt2",), ("optx",), ("f99999999999",), (None,)], "d string")
+    df = spark.createDataFrame([("cat3",), (" f11 ",), ("opt2",), ("optx",), ("f99999999999",), ("f" + "9" * 20,), (None,)], "d string")
     got = df.select(*[parsing.callback_number(F.col("d"), p) for p in ("cat", "f", "opt")]).collect()
     assert [tuple(r) for r in got] == [
-        (3, None, None), (None, 11, None), (None, None, 2), (None, None, None), (None, 999_999_999, None), (None, None, None),
+        (3, None, None), (None, 11, None), (None, None, 2), (None, None, None), (None, 99_999_999_999, None), (None, None, None), (None, None, None),
     ]
     start = ['{"command": "start"}', '{"command": "go"}', "[]", "x", None]
     assert values(spark, start, parsing.is_start_payload) == [True, False, False, False, False]

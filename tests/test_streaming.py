@@ -91,7 +91,7 @@ def test_chain_survives_restarts_and_bad_payloads(spark, tmp_path):
     log = stages.status_log(spark, root, ["new", "coarse"])
     assert log.count() == 60
     latest = {r.post_id: r.status for r in status_latest(log).collect()}
-    assert latest == {i: f"coarse_filter_{'rejected' if i % 5 == 0 else 'passed'}" for i in range(30)}
+    assert latest == {str(i): f"coarse_filter_{'rejected' if i % 5 == 0 else 'passed'}" for i in range(30)}
     stages.run_stage(spark, root, "bad", "bad_out", stages.coarse_decision).awaitTermination()
     quarantined = spark.read.parquet(f"{root}/bad_out").collect()
     assert [(r.status, r.payload, str(r.passed)) for r in quarantined] == [("quarantined", "not json", "false")]
@@ -140,4 +140,4 @@ def test_classifier_round_trip_and_stage(spark, tmp_path):
     _publish(spark, source, root)
     stages.run_scored_stage(spark, root, "new", "ml", loaded).awaitTermination()
     out = {r.post_id: r.status for r in spark.read.parquet(f"{root}/ml").collect()}
-    assert out == {1: "ml_filter_passed", 2: "ml_filter_rejected"}
+    assert out == {"1": "ml_filter_passed", "2": "ml_filter_rejected"}
