@@ -31,10 +31,14 @@ from postloom.operators.features import doc_frequency, term_counts, tfidf
 from postloom.operators.ordered import row_numbers
 from postloom.session import cut
 
+# The candidates and the shortest text of a sample.
 CANDIDATES = ["logreg", "svm", "nb"]
 MIN_TEXT_LENGTH = 30
+#: Term tables up to this many rows (some 60 bytes each) are broadcast for scoring; larger ones are shuffled.
+BROADCAST_TERMS = 1_000_000
 ROWS_PER_TASK = 1000
-PLATT_FOLDS = 3
+PLATT_FOLDS = 5
+CERTAIN = 30.0
 
 
 @dataclass
@@ -64,12 +68,20 @@ def naive_bayes(features: DataFrame, labels: DataFrame) -> DataFrame:
     )
     t1, t0 = totals.select(F.col("t1") + F.col("v")), totals.select(F.col("t0") + F.col("v"))
     coef = F.log((F.col("s1") + 1) / t1.scalar()) - F.log((F.col("s0") + 1) / t0.scalar())
-    prior = sizes.select(F.log(F.col("n1") / F.col("n0"))).scalar()
+    # with one class absent the other is certain
+    odds = F.when(F.col("n0") == 0, F.lit(CERTAIN)).when(F.col("n1") == 0, F.lit(-CERTAIN)).otherwise(F.log(F.col("n1") / F.col("n0")))
+    prior = sizes.select(odds).scalar()
     return sums.select("block", "term", coef.alias("coef"), prior.alias("bias"))
 
 
 def linear_scores(counts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc, z) for documents with a known term: the weighted sum of unit-length features."""
+    """(doc, z) for documents with a known term: the weighted sum of unit-length features.
+
+    The term table is measured. While it fits, the terms of a document meet it where the document lies, so no
+    n-gram moves; beyond that both sides are shuffled by term. The sums are the same.
+    """
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
     raw = (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")
     parts = (
         counts.join(terms, ["block", "term"])
@@ -121,7 +133,7 @@ def _logreg(c: float, n: int) -> LogisticRegression:
 
 
 def _svm(c: float, n: int) -> LinearSVC:
-    return LinearSVC(weightCol="weight", regParam=1.0 / (c * n), standardization=False, maxIter=50, tol=1e-4)
+    return LinearSVC(weightCol="weight", regParam=1.0 / (c * n), standardization=False, maxIter=100, tol=1e-4)
 
 
 def _margins(model, rows: DataFrame) -> DataFrame:

@@ -66,13 +66,13 @@ def _tfidf(t: Tables, counts):
 
 
 def tfidf_word(t: Tables):
-    rows = _tfidf(t, fe.word_term_counts(b.samples(t)))
+    rows = _tfidf(t, cut(fe.word_term_counts(b.samples(t))))  # counted once, read twice
     return rows.select("doc", "term", F.round("value", 6).alias("value"))
 
 
 def tfidf_char(t: Tables):
     """Per document: terms, largest and summed weight (one row per term would be millions)."""
-    rows = _tfidf(t, fe.char_term_counts(b.samples(t)))
+    rows = _tfidf(t, cut(fe.char_term_counts(b.samples(t))))
     return rows.groupBy("doc").agg(
         F.count("*").alias("terms"),
         F.round(F.max("value"), 6).alias("largest"),
@@ -235,7 +235,7 @@ def benchmark(t: Tables):
 
 
 def tuned(t: Tables):
-    model = learn.fit_and_tune(b.samples(t), "logreg", k=2)
+    model = learn.fit_and_tune(b.samples(t), "logreg")
     return model.terms.select("block", "term", "coef").withColumn("threshold", F.lit(model.threshold))
 
 
