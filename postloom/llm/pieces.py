@@ -35,7 +35,7 @@ from postloom.llm.store import small_batches
 from postloom.llm.words import chunks, mix
 
 OFFSET, SAMPLES = 10.0, 2
-CHUNK = 3_000_000
+CHUNK = 4_000_000
 MARK = 0x2581
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _MISS = -1
@@ -75,6 +75,7 @@ class Pieces:
         self.end = np.full(len(children) + 1, _MISS, np.int32)
         self.end[list(ends)] = list(ends.values())
         singles = {ord(self.text[i]) for i in usual if len(self.text[i]) == 1}
+        self.code_hash = mix(np.arange(1, 0x110001, dtype=np.uint64))
         self.single = np.zeros(0x110000, bool)
         self.single[list(singles)] = True
         keys = np.array([(n << 21) | c for n, c in children], np.uint64)
@@ -134,20 +135,26 @@ class Lattices:
             at, node, deep = at[alive], node[alive], deep + 1
             piece = pieces.end[node]
             ends = piece >= 0
-            found.append((at[ends], np.full(ends.sum(), deep, np.int32), piece[ends]))
+            found.append((at[ends], deep, piece[ends]))
             go = left[at] > deep
             at, node = at[go], node[go]
         lone = np.flatnonzero(forced).astype(np.int32)
         # a character without a piece is a unit: its byte piece, or a number that stands for several
         code = chars[lone]
         number = np.where(code < 128, pieces.byte_id[np.minimum(code, 127)], pieces.size + code).astype(np.int32)
-        found.append((lone, np.ones(len(lone), np.int32), number))
-        state, length, piece = (np.concatenate(x) for x in zip(*reversed(found)))
-        order = np.argsort(state, kind="stable")  # of a state's pieces the longest first, mostly the likeliest
-        state, length, piece = state[order], length[order], piece[order]
-        self.piece = piece
+        found.append((lone, 1, number))
+        self.fan = np.zeros(n, np.int32)
+        for at, _, _ in found:
+            self.fan[at] += 1
+        self.first = np.concatenate([[0], np.cumsum(self.fan)]).astype(np.int32)
+        self.state, length, self.piece = (np.empty(int(self.first[-1]), np.int32) for _ in range(3))
+        fill = self.first[:-1].copy()
+        for at, deep, piece in reversed(found):  # of a state's pieces the longest first, mostly the likeliest
+            place = fill[at]
+            self.state[place], length[place], self.piece[place] = at, deep, piece
+            fill[at] = place + 1
+        state, piece = self.state, self.piece
         self.to = np.where(left[state] == length, np.int32(-1), state + length)
-        self.first = np.searchsorted(state, np.arange(n + 1, dtype=np.int32)).astype(np.int32)
         # total weight below every state, from the ends of the units backwards
         rest = np.minimum(left[state], 65535)
         order = np.argsort(rest.astype(np.uint16) if rest.max(initial=0) < 65535 else left[state], kind="stable")
@@ -168,10 +175,10 @@ class Lattices:
             mass[a:b] = part - total[group]
         self.logp = np.empty(len(state))
         self.logp[order] = mass
-        self.p = np.exp(self.logp)
-        run = np.cumsum(self.p)
-        start = self.first[state]
-        self.upto = run - (run[start] - self.p[start])
+        del order, weight, from_, to, mass, rest
+        # the chance of a piece or one before it, for drawing the next piece of a state
+        run = np.concatenate([[0.0], np.cumsum(np.exp(self.logp))])
+        self.upto = (run[1:] - run[self.first[state]]).astype(np.float32)
         last = self.first[1:] - 1
         self.upto[last[last >= 0]] = 2.0
         self.root = offset
@@ -185,11 +192,13 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def draw(lattices: Lattices, state: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(edges, counts): a path drawn from every state to the end of its unit, one after another."""
+def draw(lattices: Lattices, state: np.ndarray, noise: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, counts): a path drawn from every state to the end of its unit, one after another.
+
+    `order` lists the places of `state` so that neighbours in the tables are drawn together.
+    """
     counts, steps = np.zeros(len(state), np.int64), []
-    who = np.argsort(state, kind="stable")  # neighbours in the tables stay neighbours
-    who, at, seed, step = who[state[who] >= 0], None, None, 0
+    who, step = order[state[order] >= 0], 0
     at, seed = state[who], noise[who]
     while len(who):
         u = uniform(seed + _scaled(step, 1))
@@ -238,11 +247,12 @@ class Batch:
         self.doc = np.repeat(np.arange(len(parts)), np.diff(self.units))
         inside = np.arange(len(codes)) - np.repeat(starts, lengths)
         power = np.cumprod(np.full(int(lengths.max(initial=0)) + 1, _K[2], np.uint64))
-        value = mix(codes.astype(np.uint64) + np.uint64(1)) * power[inside]
+        value = pieces.code_hash[codes] * power[inside]
         name = mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
         _, lead, kind = np.unique(name, return_index=True, return_inverse=True)
         self.lattices = Lattices(pieces, codes, starts[lead], lengths[lead])
         self.root = self.lattices.root[kind]
+        self.order = np.argsort(kind, kind="stable")
         number = np.arange(len(starts)) - np.repeat(self.units[:-1], np.diff(self.units))
         self.noise = mix(keys[self.doc] + number.astype(np.uint64) * _K[2])
 
@@ -276,14 +286,15 @@ class Batch:
                     edges, unit, at = node[2][0], node[2][1], node[3]
                     row = int(lat.to[edges[at - 1]]) if at and unit[at - 1] == unit[at] else int(self.root[unit[at]])
                     choices = [e for e in range(int(lat.first[row]), int(lat.first[row + 1])) if e not in node[4]]
-                    weight = np.cumsum(lat.p[choices])
+                    weight = np.cumsum(np.exp(lat.logp[choices]))
                     u = uniform(self.keys[d:d + 1] + _scaled(number, 3) + np.uint64(at))[0]
                     chosen = choices[min(int(np.searchsorted(weight, u * weight[-1])), len(choices) - 1)]
                     kept[d] = np.append(edges[:at], chosen)
                     skip[self.units[d]:unit[at]] = True
                     state[unit[at]] = lat.to[chosen]
             live = np.flatnonzero(~skip)
-            drawn, counts = draw(lat, state[live], mix(self.noise[live] + _scaled(number, 1)))
+            rank = np.cumsum(~skip) - 1
+            drawn, counts = draw(lat, state[live], mix(self.noise[live] + _scaled(number, 1)), rank[self.order[~skip[self.order]]])
             unit_of = np.repeat(live, counts)
             cut = np.searchsorted(unit_of, self.units)
             logp = lat.logp[drawn]
@@ -298,11 +309,10 @@ class Batch:
                 paths[d].append((edges, float(before[-1]), bound))
                 # a sibling at every step: what the other next pieces hold
                 from_ = max(fork, 0)
-                rest = 1.0 - lat.p[edges[from_:]]
+                rest = -np.expm1(steps[from_:])
                 if fork >= 0:
-                    rest[0] -= lat.p[list(node[4])].sum()
-                row = self._rows(edges, unit, from_)
-                single = lat.first[row + 1] - lat.first[row]
+                    rest[0] -= np.exp(lat.logp[list(node[4])]).sum()
+                single = lat.fan[lat.state[edges[from_:]]]
                 taken = np.ones(len(rest), np.int64)
                 if fork >= 0:
                     taken[0] += len(node[4])
@@ -318,14 +328,6 @@ class Batch:
                         heapq.heappush(frontier[d], (-float(values[i]), len(paths[d]) * 10**9 + i, (edges, unit), from_ + i, out))
         return paths, [-f[0][0] if f else -np.inf for f in frontier]
 
-    def _rows(self, edges: np.ndarray, unit: np.ndarray, from_: int) -> np.ndarray:
-        """The state that each edge of a path leaves."""
-        to = self.lattices.to[edges]
-        row = self.root[unit]
-        inner = np.flatnonzero(to[:-1] >= 0) + 1
-        row[inner] = to[inner - 1]
-        return row[from_:]
-
 
 _LOADED: dict[str, Pieces] = {}
 
