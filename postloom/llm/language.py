@@ -28,6 +28,8 @@ FEATURES = 4096
 SAMPLE = 1000
 CENTROIDS = 4
 ROUNDS = 8
+#: Characters that are counted at once.
+CHUNK = 1_000_000
 #: A text is rejected below this share of the cosine that all but QUANTILE of a centroid's texts reach;
 #: texts of few distinct n-grams lie farther from any centroid, so their limit shrinks (half the square at FEW).
 MARGIN, QUANTILE, FEW = 0.5, 0.005, 200
@@ -77,7 +79,7 @@ def _frequencies(batches):
     total, rows = np.zeros(FEATURES, np.int64), 0
     for pdf in batches:
         texts = pdf["text"].tolist()
-        for start, stop in chunks(texts):
+        for start, stop in chunks(texts, CHUNK):
             counts = gram_counts(texts[start:stop])
             total += (counts > 0).sum(axis=0)
             rows += stop - start
@@ -89,7 +91,7 @@ def _vectorise(idf):
     def run(batches):
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for start, stop in chunks(texts):
+            for start, stop in chunks(texts, CHUNK):
                 x = vectors(gram_counts(texts[start:stop]), idf)
                 part = pdf.iloc[start:stop]
                 yield pd.DataFrame({"lang": part["lang"].to_numpy(), "key": part["key"].to_numpy(), "vector": list(x)})
@@ -176,7 +178,7 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
     def run(batches):
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for start, stop in chunks(texts):
+            for start, stop in chunks(texts, CHUNK):
                 lang, score, rejected = model.predict(texts[start:stop])
                 yield pd.DataFrame({
                     "doc_id": pdf["doc_id"].iloc[start:stop].astype("Int64").to_numpy(), "lang_pred": lang, "score": score, "rejected": rejected,
@@ -205,7 +207,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     def kept(text: pd.Series) -> pd.Series:
         texts = text.tolist()
-        found = [~model.predict(texts[start:stop])[2] for start, stop in chunks(texts)]
+        found = [~model.predict(texts[start:stop])[2] for start, stop in chunks(texts, CHUNK)]
         return pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
 
     return docs.where(F.pandas_udf(kept, "boolean")(F.col("text")))
