@@ -35,7 +35,7 @@ from postloom.llm.store import small_batches
 from postloom.llm.words import chunks, mix
 
 OFFSET, SAMPLES = 10.0, 2
-CHUNK = 4_000_000
+CHUNK = 2_500_000
 MARK = 0x2581
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _MISS = -1
@@ -245,11 +245,12 @@ class Batch:
         lengths = np.diff(np.append(starts, len(codes)))
         self.units = np.searchsorted(starts, bounds)
         self.doc = np.repeat(np.arange(len(parts)), np.diff(self.units))
-        inside = np.arange(len(codes)) - np.repeat(starts, lengths)
+        inside = np.arange(len(codes), dtype=np.int32) - np.repeat(starts.astype(np.int32), lengths)
         power = np.cumprod(np.full(int(lengths.max(initial=0)) + 1, _K[2], np.uint64))
         value = pieces.code_hash[codes] * power[inside]
         name = mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
         _, lead, kind = np.unique(name, return_index=True, return_inverse=True)
+        del inside, value, power, name, space, forced, begins
         self.lattices = Lattices(pieces, codes, starts[lead], lengths[lead])
         self.root = self.lattices.root[kind]
         self.order = np.argsort(kind, kind="stable")

@@ -16,6 +16,7 @@ _BYTE[SPACE] = 0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 SHINGLE = 5
+AT_ONCE = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,8 +33,13 @@ def word_hashes(texts: list[str | None], space: np.ndarray = SPACE, heads: tuple
 
     With `heads`, a third item has the hashes of each word's first so many bytes, one array per head.
     """
-    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     none = np.zeros(0, np.uint64)
+    runs = list(chunks(texts, AT_ONCE))
+    if len(runs) > 1:  # some sixty bytes of work space a character
+        found = [word_hashes(texts[a:b], space, heads) for a, b in runs]
+        words, counts = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        return (words, counts, [np.concatenate(h) for h in zip(*(f[2] for f in found))]) if heads else (words, counts)
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     if not parts:
         return (none, np.zeros(0, np.int64), [none] * len(heads)) if heads else (none, np.zeros(0, np.int64))
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
