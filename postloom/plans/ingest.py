@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from postloom.functions import records
 from postloom.functions.times import aware_to_utc, epoch_micros, epoch_to_utc
 from postloom.operators import ingest
+from postloom.operators import ingest_job as job
 from postloom.operators.suppress import suppress_repeats
 from postloom.plans import bindings as b
 from postloom.plans.bindings import Tables, sql
@@ -511,7 +512,115 @@ def unpublished(t: Tables):
     return ingest.unpublished_posts(posts, posts.where("id % 9 <> 0"))
 
 
+# ---- the ingest job --------------------------------------------------------------------------
+
+
+def _run_wall(t: Tables):
+    """One poll into an empty store, and the same run repeated: its rows are replaced, not doubled."""
+    store = job.PostStore(t.spark, work_path(t.spark, "store"))
+    for _ in range(2):
+        job.ingest_wall(b.wall(t), b.registry(t), store, 1)
+    return store
+
+
+def _run_chat(t: Tables):
+    store = job.PostStore(t.spark, work_path(t.spark, "store"))
+    messages = b.chat(t).withColumn("sent_at", aware_to_utc(F.col("date")))
+    for _ in range(2):
+        job.ingest_chat(messages, b.registry(t), store, 1, limit=20)
+    return store
+
+
+def _stored(store):
+    photos = store.read("attachments").groupBy("post_id").agg(F.count("*").alias("photos"))
+    posts = store.read("posts").join(store.read("details").select("post_id"), "post_id").join(photos, "post_id", "left")
+    return posts.select("post_id", "source_post_url", "text_hash", "at_us", F.coalesce("photos", F.lit(0)).alias("photos"))
+
+
+def ingested_wall(t: Tables):
+    return _stored(_run_wall(t))
+
+
+def ingested_chat(t: Tables):
+    return _stored(_run_chat(t))
+
+
+def ingested_cursors(t: Tables):
+    return _run_chat(t).read("cursors").select("source_id", "last_seen_id")
+
+
+def ingested_then_staged(t: Tables):
+    """Stored posts published to the stage chain and decided by the coarse filter, by their own ids."""
+    from postloom.operators.status import status_latest
+    from postloom.streaming import stages
+
+    store, root = _run_wall(t), work_path(t.spark, "stages")
+    posts = t.spark.readStream.schema(f"{job.POST_SCHEMA}, run INT").parquet(f"{store.path}/posts")
+    post = F.struct(*ingest.domain_posts(posts).columns).alias("post")
+    stages.publish_stage(ingest.domain_posts(posts).select(post), root).awaitTermination()
+    stages.run_stage(t.spark, root, "new", "coarse", stages.coarse_decision).awaitTermination()
+    return status_latest(stages.status_log(t.spark, root, ["new", "coarse"]))
+
+
+_KEPT_SQL = """inst AS (SELECT text_hash AS k, at_us AS us, min(post_id) AS post_id FROM candidates GROUP BY 1, 2),
+  kept AS (
+    SELECT k, min(us) AS us FROM inst GROUP BY k
+    UNION ALL
+    SELECT i.k, min(i.us) FROM kept JOIN inst i ON i.k = kept.k AND i.us > kept.us + 3600000000 GROUP BY i.k),
+  stored AS (SELECT c.* FROM candidates c JOIN inst USING (post_id) JOIN kept ON kept.k = inst.k AND kept.us = inst.us)"""
+_STORED_SQL = "SELECT post_id, source_post_url, text_hash, at_us, len(urls) AS photos FROM stored"
+_INGEST_WALL_SQL = (
+    *_WALL,
+    """fetched AS (SELECT w.*, last_seen_id, row_number() OVER (PARTITION BY source_id
+        ORDER BY coalesce(is_pinned, 0) <> 0 DESC, w.id DESC) AS rn FROM wall w JOIN registry USING (source_id) WHERE is_active)""",
+    """usable AS (SELECT id, date FROM fetched WHERE (id > last_seen_id OR (last_seen_id IS NULL AND rn <= 50))
+      AND text <> '' AND coalesce(marked_as_ads, 0) <> 1)""",
+    f"""candidates AS (SELECT wall_posts.*, {_POST_ID_SQL} AS post_id, date * 1000000 AS at_us
+      FROM wall_posts JOIN usable ON usable.id = item_id)""",
+    _KEPT_SQL,
+)
+_CHAT_FETCHED_SQL = """ranked AS (SELECT c.*, last_seen_id, row_number() OVER (PARTITION BY source_id ORDER BY id DESC) AS newest,
+      row_number() OVER (PARTITION BY source_id, coalesce(id > last_seen_id, false) ORDER BY id) AS oldest
+    FROM chat c JOIN registry USING (source_id) WHERE is_active),
+  fetched AS (SELECT * FROM ranked WHERE (last_seen_id IS NULL AND newest <= 20) OR (id > last_seen_id AND oldest <= 20))"""
+_INGEST_CHAT_SQL = (
+    *_CHAT,
+    _CHAT_FETCHED_SQL,
+    """usable AS (SELECT id, sent_at FROM fetched WHERE trim(raw_text, ' ' || chr(160)) <> ''
+      AND NOT has_action AND NOT has_sticker AND (NOT has_document OR has_video))""",
+    f"""candidates AS (SELECT chat_posts.*, {_POST_ID_SQL} AS post_id, epoch_us(sent_at) AS at_us
+      FROM chat_posts JOIN usable ON usable.id = item_id)""",
+    _KEPT_SQL,
+)
+
+
+def recursive(*ctes: str, body: str) -> str:
+    return sql(*ctes, body=body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 QUERIES = {
+    "ingest_wall": (ingested_wall, recursive(*_INGEST_WALL_SQL, body=_STORED_SQL)),
+    "ingest_chat": (ingested_chat, recursive(*_INGEST_CHAT_SQL, body=_STORED_SQL)),
+    "ingest_cursors": (
+        ingested_cursors,
+        sql(
+            b.CHAT_SQL,
+            b.REGISTRY_SQL,
+            _CHAT_FETCHED_SQL,
+            body="""SELECT source_id, last_seen_id FROM (
+              SELECT r.source_id, greatest(any_value(r.last_seen_id), max(f.id)) AS last_seen_id
+              FROM registry r LEFT JOIN fetched f ON f.source_id = r.source_id WHERE r.is_active GROUP BY 1)
+              WHERE last_seen_id IS NOT NULL""",
+        ),
+    ),
+    "ingest_then_stage": (
+        ingested_then_staged,
+        recursive(
+            *_INGEST_WALL_SQL,
+            body="""SELECT post_id, CASE WHEN length(text) < 30 THEN 'coarse_filter_rejected' ELSE 'coarse_filter_passed' END AS status
+              FROM stored""",
+        ),
+    ),
     "scan_wall_json": (scan_wall, SCAN_WALL_SQL),
     "scan_chat_json": (scan_chat, SCAN_CHAT_SQL),
     "scan_samples_csv": (scan_samples, SCAN_SAMPLES_SQL),
