@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.store import saved, small_batches
-from postloom.llm.words import chunks, mix
+from postloom.llm.words import chunks, mix, release, released
 
 FEATURES = 4096
 #: Bound of the labelled rows that centroids are fitted on, for each language.
@@ -154,7 +154,7 @@ def learn(rows: DataFrame) -> Centroids:
     spark = rows.sparkSession
     small_batches(spark)
     rows = rows.where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    table = rows.select("text").mapInPandas(_frequencies, "feature int, docs long").groupBy("feature").agg(F.sum("docs").alias("docs"))
+    table = rows.select("text").mapInPandas(released(_frequencies), "feature int, docs long").groupBy("feature").agg(F.sum("docs").alias("docs"))
     counts = {r[0]: r[1] for r in table.collect()}  # at most FEATURES + 1 rows
     idf = np.full(FEATURES, np.log(1.0 + counts.get(-1, 0)), np.float32) + 1
     for feature, docs in counts.items():
@@ -164,7 +164,7 @@ def learn(rows: DataFrame) -> Centroids:
     chance = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003)) / 1_000_003
     sample = rows.join(F.broadcast(per_lang), "lang").where(chance < F.col("share"))  # one row per language
     sample = sample.select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
-    found = sample.mapInPandas(_vectorise(idf), "lang string, key long, vector array<float>")
+    found = sample.mapInPandas(released(_vectorise(idf)), "lang string, key long, vector array<float>")
     found = found.groupBy("lang").applyInPandas(_centroids, "lang string, centroid array<float>, radius double")
     found = sorted(found.collect(), key=lambda r: (r[0], -r[2]))
     centres = np.array([r[1] for r in found], np.float32).reshape(len(found), FEATURES)
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
                     "doc_id": pdf["doc_id"].iloc[start:stop].astype("Int64").to_numpy(), "lang_pred": lang, "score": score, "rejected": rejected,
                 })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInPandas(released(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def remainder(modulus: int) -> Column:
@@ -208,6 +208,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     def kept(text: pd.Series) -> pd.Series:
         texts = text.tolist()
         found = [~model.predict(texts[start:stop])[2] for start, stop in chunks(texts, CHUNK)]
+        release()
         return pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
 
     return docs.where(F.pandas_udf(kept, "boolean")(F.col("text")))

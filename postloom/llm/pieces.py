@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.store import small_batches
-from postloom.llm.words import chunks, mix
+from postloom.llm.words import chunks, mix, released
 
 OFFSET, SAMPLES = 10.0, 2
 CHUNK = 2_500_000
@@ -371,7 +371,7 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, model: str | None =
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in SAMPLED.split(", ")]).astype({"doc_id": "Int64"})
 
     key = F.coalesce(F.xxhash64(id_col), F.lit(0)) if id_col in docs.columns else F.lit(0)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key")).mapInPandas(run, SAMPLED)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key")).mapInPandas(released(run), SAMPLED)
 
 
 def decode_ids(encoded: DataFrame, model: str | None = None) -> DataFrame:

@@ -5,7 +5,10 @@ A word is `[^\\x20\\x09-\\x0D]+`; A-Z are lower-cased. Null texts count as empty
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -99,6 +102,26 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return sets
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker waits for its next task beside others."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def released(function):
+    """`function` over an iterator of batches, with `release` at the end of the partition."""
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return run
+
+
 def chunks(texts: list, size: int = 4_000_000):
     """(start, stop) of runs of rows whose texts together have about `size` characters."""
     start = held = 0
