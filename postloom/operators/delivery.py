@@ -82,8 +82,12 @@ def format_post(
     )
 
 
-def settings_summary() -> Column:
-    """Numbered lines describing the filters of a subscriber row."""
+# The filter categories and the places of their filters.
+CATEGORIES = {"Источник заявок": [0], "Оплата и адрес": [1, 2], "Характер работы": [3, 4, 5, 6], "Длительность": [7, 8, 9, 10, 11]}
+
+
+def _settings() -> list[Column]:
+    """`label: value` of every filter of a subscriber row, in order."""
     vk, tg = F.col("src_vk"), F.col("src_tg")
     sources = (
         F.when(vk & tg, F.lit("VK и Telegram"))
@@ -91,11 +95,25 @@ def settings_summary() -> Column:
         .when(tg, F.lit("только Telegram"))
         .otherwise(F.lit("—"))
     )
-    lines = [F.concat(F.lit("1) Источники: "), sources)]
-    for number, (label, flag, yes, no) in enumerate(SUMMARY_LABELS, start=2):
-        value = F.when(F.col(flag), F.lit(yes)).otherwise(F.lit(no))
-        lines.append(F.concat(F.lit(f"{number}) {label}: "), value))
-    return F.concat_ws("\n", *lines)
+    chosen = [F.concat(F.lit("Источники: "), sources)]
+    for label, flag, yes, no in SUMMARY_LABELS:
+        chosen.append(F.concat(F.lit(f"{label}: "), F.when(F.col(flag), F.lit(yes)).otherwise(F.lit(no))))
+    return chosen
+
+
+def _numbered(lines: list[Column]) -> Column:
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{i}) "), line) for i, line in enumerate(lines, start=1)])
+
+
+def settings_summary() -> Column:
+    """Numbered lines describing the filters of a subscriber row."""
+    return _numbered(_settings())
+
+
+def category_summary(category: str) -> Column:
+    """The numbered lines of one category of filters, counted from 1."""
+    lines = _settings()
+    return _numbered([lines[i] for i in CATEGORIES[category]])
 
 
 def post_class(source: Column, attributes: Column) -> Column:

@@ -57,6 +57,31 @@ def _summary_sql() -> str:
     return sql(b.SUBSCRIBERS_SQL, body="SELECT external_id, " + " || chr(10) || ".join(lines) + " AS summary FROM subscribers")
 
 
+def categories(t: Tables):
+    named = {"source": "Источник заявок", "pay": "Оплата и адрес", "work": "Характер работы", "time": "Длительность"}
+    return b.subscribers(t).select("external_id", *[d.category_summary(c).alias(k) for k, c in named.items()])
+
+
+def _yes(number: int, label: str, flag: str) -> str:
+    return f"'{number}) {label}: ' || CASE WHEN {flag} THEN 'да' ELSE 'нет' END"
+
+
+CATEGORIES_SQL = sql(
+    b.SUBSCRIBERS_SQL,
+    body=f"""SELECT external_id, '1) Источники: ' || CASE WHEN src_vk AND src_tg THEN 'VK и Telegram' WHEN src_vk THEN 'только VK'
+        WHEN src_tg THEN 'только Telegram' ELSE '—' END AS source,
+      '1) Оплата: ' || CASE WHEN payment_required THEN 'только с указанной оплатой' ELSE 'с оплатой и без' END || chr(10) ||
+        '2) Адрес: ' || CASE WHEN address_required THEN 'только с указанным адресом' ELSE 'с адресом и без' END AS pay,
+      {_yes(1, 'Заявки для разнорабочих', 'wt_handyman')} || chr(10) || {_yes(2, 'Заявки для грузчиков', 'wt_loader')} || chr(10) ||
+        {_yes(3, 'Заявки для узких специалистов', 'wt_specialist')} || chr(10) ||
+        {_yes(4, 'Заявки с неопределённым характером работы', 'wt_unknown')} AS work,
+      {_yes(1, 'Короткие разовые заявки', 'dur_short_task')} || chr(10) || {_yes(2, 'Разовые на целую смену', 'dur_full_shift')} || chr(10) ||
+        {_yes(3, 'Постоянная работа', 'dur_permanent')} || chr(10) || {_yes(4, 'Вахта', 'dur_vahta')} || chr(10) ||
+        {_yes(5, 'Заявки с неопределённой длительностью', 'dur_unknown')} AS time
+    FROM subscribers""",
+)
+
+
 def policy(t: Tables):
     return _posts(t).where(d.publish_policy(F.col("attributes.duration"))).select("post_id", "source")
 
@@ -278,6 +303,7 @@ def pace_sql(head: str, table: str, key: str, item: str, gap: int) -> str:
 QUERIES = {
     "format_post": (formatted, sql(*_PA, BODY_SQL, body="SELECT post_id, body FROM bodies")),
     "settings_summary": (summaries, _summary_sql()),
+    "settings_categories": (categories, CATEGORIES_SQL),
     "publish_policy": (policy, POLICY_SQL),
     "status_transition": (
         transitions,

@@ -5,21 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postloom.functions import parsing, text
-from postloom.operators.extract import (
-    ADDRESS,
-    FULL_SHIFT,
-    HANDYMAN,
-    LOADER,
-    PAYMENT,
-    PERMANENT,
-    SHORT_TASK,
-    SPECIALIST,
-    VAHTA,
-    extract_attributes,
-    extract_rules,
-    extract_stub,
-    normalise_replies,
-)
+from postloom.operators.extract import extract_attributes, extract_rules, extract_stub, normalise_replies
 from postloom.operators.evaluate import evaluate_extraction
 from postloom.operators.features import char_term_counts, feature_union, word_term_counts
 from postloom.plans import bindings as b
@@ -301,16 +287,15 @@ def rules(t: Tables):
 
 RULES_SQL = sql(
     b.ADS_SQL,
-    body=f"""SELECT post_id,
-      CASE WHEN regexp_matches(low, '{VAHTA}') THEN 'vahta' WHEN regexp_matches(low, '{PERMANENT}') THEN 'permanent'
-        WHEN regexp_matches(low, '{FULL_SHIFT}') THEN 'full_shift'
-        WHEN regexp_matches(low, '{SHORT_TASK}') THEN 'short_task' ELSE 'unknown' END AS duration,
-      CASE WHEN regexp_matches(low, '{SPECIALIST}') THEN 'specialist'
-        WHEN regexp_matches(low, '{LOADER}') AND NOT regexp_matches(low, '{HANDYMAN}') THEN 'loader'
-        WHEN regexp_matches(low, '{HANDYMAN}') AND NOT regexp_matches(low, '{LOADER}') THEN 'handyman'
-        ELSE 'unknown' END AS work_type,
-      nullif(trim(regexp_extract(text, '{PAYMENT}', 1)), '') AS payment,
-      nullif(trim(regexp_extract(text, '{ADDRESS}', 1)), '') AS address
+    body="""SELECT post_id,
+      CASE WHEN low LIKE '%вахт%' THEN 'vahta' WHEN regexp_matches(low, 'постоян|вакансия') THEN 'permanent'
+        WHEN TRY_CAST(regexp_extract(low, '([0-9]+) час', 1) AS INT) >= 6 THEN 'full_shift'
+        WHEN regexp_matches(low, '[0-9] час|[0-9]{3}/[0-5]($|[^0-9])') THEN 'short_task' ELSE 'unknown' END AS duration,
+      CASE WHEN low LIKE '%электрик%' THEN 'specialist'
+        WHEN regexp_matches(low, 'грузчик') AND NOT regexp_matches(low, 'уборка') THEN 'loader'
+        WHEN regexp_matches(low, 'разнорабоч') THEN 'handyman' ELSE 'unknown' END AS work_type,
+      nullif(trim(regexp_extract(text, '([0-9][0-9 .]*[0-9]{2} ?(₽|руб[а-я]*|р([^а-я]|$))[.]?|[0-9]{3,4}/[0-9]+)', 1)), '') AS payment,
+      nullif(trim(regexp_extract(text, '((ул[.]|район) ?[А-ЯЁA-Z][^,;]*)', 1)), '') AS address
     FROM (SELECT *, lower(text) AS low FROM ads)""",
 )
 

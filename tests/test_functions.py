@@ -167,7 +167,7 @@ def test_payload_round_trip_and_quarantine(spark):
         None, None, "unknown source", "missing key", "unknown duration", "missing key", "no attachments", "not a JSON object",
     ]
     again = values(spark, texts[:2], lambda c: parsing.encode_payload(parsing.decode_payload(c)["post"].dropFields("_corrupt")))
-    assert [json.loads(a) for a in again] == inputs[:2]
+    assert [json.loads(a) for a in again] == [{**i, "id": str(i["id"])} for i in inputs[:2]]
 
 
 def test_callbacks(spark):
@@ -212,3 +212,23 @@ def test_outboxes(spark):
     vk = {r.post_id: r for r in d.channel_outbox_vk(df, 5, True).collect()}
     assert len(vk[8].text) == 4098 and len(vk[9].photos) == 11 and vk[9].owner_id == -5
     assert all(r.photos == [] for r in d.channel_outbox_vk(df, 5, False).collect())
+
+
+def test_extraction_rules(spark):
+    from postloom.operators.extract import extract_rules
+
+    ads = {
+        "нужны люди, 3000/8": ("full_shift", "unknown"),
+        "работа 8-17, уборка": ("full_shift", "handyman"),
+        "надо успеть за три дня": ("full_shift", "unknown"),
+        "занести штукатурку на 3 этаж, 500/2": ("short_task", "loader"),
+        "16 часов подряд": ("full_shift", "unknown"),
+        "3-4 часа, вынести мусор": ("short_task", "loader"),
+        "нужен штукатур на постоянку": ("permanent", "specialist"),
+        "вахтой 30 дней, монолитчики": ("vahta", "specialist"),
+        "разгрузить и убрать": ("unknown", "unknown"),
+        "": ("unknown", "unknown"),
+    }
+    df = spark.createDataFrame(list(enumerate(ads)), "post_id long, text string")
+    got = {r.post_id: (r.duration, r.work_type) for r in extract_rules(df).collect()}
+    assert got == dict(enumerate(ads.values()))
