@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm.graph import components
 from postloom.llm.store import forget, partitions, saved, small_batches, with_ids
-from postloom.llm.words import chunks, mix, release, released, shingle_sets
+from postloom.llm.words import chunks, mix, released, released_group, shingle_sets
 
 #: Similarity in hundredths.
 SIMILAR = 75
@@ -210,7 +210,6 @@ def _prefixes(sets: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
             own, often = own[shared], often[shared]
             prefixes = [own[np.lexsort((mix(own ^ salt), often))[:wanted]].view(np.int64) for salt in _SALTS]
             rows.append((node, n, own.view(np.int64), *prefixes))
-        release()
     return pd.DataFrame(rows, columns=names)
 
 
@@ -258,15 +257,15 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = 2 * partitions(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.where("doc_id IS NOT NULL")
-    first = known.mapInPandas(released(_first_emit(buckets)), FIRST).groupBy("bucket").applyInPandas(_count_single, COUNTED)
-    settled = saved(first.groupBy("chunk").applyInPandas(_settle, SETTLED), "settled")
+    first = known.mapInPandas(released(_first_emit(buckets)), FIRST).groupBy("bucket").applyInPandas(released_group(_count_single), COUNTED)
+    settled = saved(first.groupBy("chunk").applyInPandas(released_group(_settle), SETTLED), "settled")
     classes = saved(settled.groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.bool_and("alive").alias("alive")), "classes")
     alive = saved(classes.where("alive").select(F.col("first_id").alias("doc_id")).distinct(), "alive")
     packed = saved(with_ids(known, alive, "doc_id").mapInPandas(released(_pack_sets), SETS), "sets")
     counts = packed.mapInPandas(released(_second_emit(buckets)), "chunk long, bucket int, tokens binary")
-    counts = counts.groupBy("bucket").applyInPandas(_frequencies, "chunk long, bucket int, df binary")
-    sets = packed.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(_prefixes, PREFIXED)
+    counts = counts.groupBy("bucket").applyInPandas(released_group(_frequencies), "chunk long, bucket int, df binary")
+    sets = packed.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(released_group(_prefixes), PREFIXED)
     sets = saved(sets, "prefixes")
     forget(packed)
     labels = saved(components(_links(sets)), "components")

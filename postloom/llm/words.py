@@ -6,6 +6,7 @@ A word is `[^\\x20\\x09-\\x0D]+`; A-Z are lower-cased. Null texts count as empty
 from __future__ import annotations
 
 import ctypes
+import inspect
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,18 @@ def released(function):
     return run
 
 
+def released_group(function):
+    """`function` of one group, with `release` once its own arrays are gone."""
+
+    def run(*groups):
+        out = function(*groups)
+        release()
+        return out
+
+    run.__signature__ = inspect.signature(function)
+    return run
+
+
 def chunks(texts: list, size: int = 4_000_000):
     """(start, stop) of runs of rows whose texts together have about `size` characters."""
     start = held = 0
