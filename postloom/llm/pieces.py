@@ -189,7 +189,10 @@ def _scaled(n: int, which: int) -> np.uint64:
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
-    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    """Numbers in (0, 1) from seeds that are mixed already, apart from a step."""
+    x = (x ^ (x >> np.uint64(32))) * _K[3]
+    x ^= x >> np.uint64(29)
+    return (((x * _K[0]) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def draw(lattices: Lattices, state: np.ndarray, noise: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,11 +252,16 @@ class Batch:
         power = np.cumprod(np.full(int(lengths.max(initial=0)) + 1, _K[2], np.uint64))
         value = pieces.code_hash[codes] * power[inside]
         name = mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
-        _, lead, kind = np.unique(name, return_index=True, return_inverse=True)
-        del inside, value, power, name, space, forced, begins
+        # units by name: equal ones share a lattice, and neighbours in the tables are drawn together
+        self.order = np.argsort(name, kind="stable")
+        ordered = name[self.order]
+        new = np.ones(len(ordered), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        lead, kind = self.order[new], np.empty(len(ordered), np.int64)
+        kind[self.order] = np.cumsum(new) - 1
+        del inside, value, power, name, ordered, new, space, forced, begins
         self.lattices = Lattices(pieces, codes, starts[lead], lengths[lead])
         self.root = self.lattices.root[kind]
-        self.order = np.argsort(kind, kind="stable")
         number = np.arange(len(starts)) - np.repeat(self.units[:-1], np.diff(self.units))
         self.noise = mix(keys[self.doc] + number.astype(np.uint64) * _K[2])
 
