@@ -2,12 +2,13 @@
 
 Tokens are the words of a text and one end. Every token's count over all training texts is found by one
 shuffle of the distinct words of each batch, packed by hash range; the reply goes back to the batch, whose
-words wait in the shared folder as numbers. The VOCABULARY most frequent words are symbols of the network,
-any other word is the symbol `rare` times its share among rare words, (c + 1) / (N + V + 1) over these.
+words wait in the shared folder as numbers. The most frequent words are symbols of the network, about as
+many as the square root of the number of training words (`symbols_for`); any other word is the symbol `rare`
+times its share among rare words, (c + 1) / (N + V + 1) over these.
 
-The network (HIDDEN gated units) is trained by truncated backpropagation on about TRAIN_ROWS training
-texts: SHARDS tasks train on their part from common weights, the driver averages the weights, ROUNDS
-times. To score, the documents of a batch are laid out in lanes, which step together; a document's state
+The network (HIDDEN gated units) is trained by truncated backpropagation on all training texts: shards of
+about SHARD_WORDS words, dealt by a hash of id and text, each train on all their texts from common weights,
+and the weights are averaged, ROUNDS times. To score, the documents of a batch are laid out in lanes, which step together; a document's state
 starts at zero and is carried from window to window to its end, so the score is that of the whole text.
 
 Defined cases: a null or empty text is the end alone; rows with a null id are scored but not learned
@@ -28,19 +29,24 @@ from pyspark.sql import functions as F
 
 from postloom.llm.language import remainder
 from postloom.llm.store import forget, partitions, saved, small_batches
-from postloom.llm.words import chunks, mix, word_hashes
+from postloom.llm.words import _LIBC, chunks, released_group, word_hashes
 
-VOCABULARY, CLASSES, HIDDEN = 1022, 32, 16
-SYMBOLS = VOCABULARY + 2  # and the rare word and the end
+HIDDEN = 16
+#: The least number of symbols, and their classes. The last two symbols are the rare word and the end.
+SYMBOLS, CLASSES = 1024, 32
 PER_CLASS = SYMBOLS // CLASSES
-TRAIN_ROWS, SHARDS, ROUNDS = 1200, 6, 3
+SHARD_WORDS, SHARDS, ROUNDS = 4_000_000, 6, 3
 WINDOW, TRAIN_LANES, RATE = 16, 32, 0.01
+#: A large shard has more lanes, one for so many words up to MOST_LANES.
+LANE_WORDS, MOST_LANES = 8192, 256
+#: Weights are averaged in slices of so many numbers.
+SLICE = 16_384
 LANES, SCORE_WINDOW = 256, 128
 _LOG10 = np.log(10.0)
 #: Words are counted by power of two of their count, up to this many.
 LEVELS = 48
 
-TOKENS = "chunk long, ids array<long>, learn array<boolean>, held array<boolean>, sizes array<long>, words binary, places binary"
+TOKENS = "chunk long, ids array<long>, keys array<long>, learn array<boolean>, held array<boolean>, sizes array<long>, words binary, places binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -64,7 +70,7 @@ def _tokenise(batches):
             part = pdf.iloc[start:stop]
             yield pd.DataFrame({
                 "chunk": [chunk], "ids": [[None if pd.isna(i) else int(i) for i in part["doc_id"]]],
-                "learn": [part["learn"].to_numpy(bool)], "held": [part["held"].to_numpy(bool)],
+                "keys": [part["key"].to_numpy(np.int64)], "learn": [part["learn"].to_numpy(bool)], "held": [part["held"].to_numpy(bool)],
                 "sizes": [sizes], "words": [distinct.tobytes()], "places": [_planes(places)],
             })
             chunk += 1
@@ -100,8 +106,8 @@ def _emit(buckets: int):
 COUNTED = "chunk long, bucket int, counts binary, head array<long>, head_counts array<long>, levels array<long>"
 
 
-def _count(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Training counts of the words of one hash range, given back to every batch that has them."""
+def _count(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Training counts of the words of one hash range, given back to every batch that has them; its `most` frequent words."""
     def joined(name, kind):
         return np.frombuffer(b"".join(pdf[name]), kind).astype(np.uint64)
 
@@ -112,7 +118,7 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     reply = totals[back]
     stops = np.cumsum([len(x) // 4 for x in pdf["low"]])
     starts = np.concatenate([[0], stops[:-1]])
-    head = np.lexsort((distinct, -totals))[:VOCABULARY]
+    head = np.lexsort((distinct, -totals))[:most]
     head = head[totals[head] > 0]
     replies = [_planes(reply[a:b]) for a, b in zip(starts.tolist(), stops.tolist())]
     n = len(replies)
@@ -123,39 +129,52 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-class Network:
-    """Weights of the network; symbols are ordered by frequency, PER_CLASS neighbours are a class."""
+def symbols_for(n_words: int) -> int:
+    """Number of symbols: the power of two nearest to the root of the number of training words."""
+    return max(SYMBOLS, 1 << round(np.log2(max(1, n_words)) / 2))
+
 
-    SHAPES = {
-        "E": (SYMBOLS, HIDDEN), "W": (HIDDEN, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
-        "C": (HIDDEN, CLASSES), "c": (CLASSES,), "O": (CLASSES, PER_CLASS, HIDDEN), "o": (CLASSES, PER_CLASS),
-    }
+class Network:
+    """Weights of the network; symbols are ordered by frequency, neighbours are a class."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
 
+    @staticmethod
+    def shapes(symbols: int) -> dict[str, tuple[int, ...]]:
+        classes = CLASSES << (symbols // SYMBOLS).bit_length() // 2
+        return {
+            "E": (symbols, HIDDEN), "W": (HIDDEN, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
+            "C": (HIDDEN, classes), "c": (classes,), "O": (classes, symbols // classes, HIDDEN), "o": (classes, symbols // classes),
+        }
+
     @classmethod
     def first(cls, frequencies: np.ndarray) -> "Network":
         """Small random weights, with biases that give each symbol its frequency."""
         rng = np.random.Generator(np.random.PCG64(7))
-        w = {k: rng.normal(0, 0.1, shape) for k, shape in cls.SHAPES.items()}
+        shapes = cls.shapes(len(frequencies))
+        w = {k: rng.normal(0, 0.1, shape) for k, shape in shapes.items()}
         w["b"][:] = 0
-        p = (frequencies + 0.1).reshape(CLASSES, PER_CLASS)
+        p = (frequencies + 0.1).reshape(shapes["o"])
         w["c"] = np.log(p.sum(axis=1) / p.sum())
         w["o"] = np.log(p / p.sum(axis=1, keepdims=True))
         return cls(w)
 
     def packed(self) -> bytes:
-        return np.concatenate([self.w[k].ravel() for k in self.SHAPES]).astype(np.float32).tobytes()
+        return np.concatenate([self.w[k].ravel() for k in self.shapes(len(self.w["E"]))]).astype(np.float32).tobytes()
 
     @classmethod
-    def unpacked(cls, packed: bytes) -> "Network":
-        flat, at, w = np.frombuffer(packed, np.float32), 0, {}
-        for k, shape in cls.SHAPES.items():
+    def unpacked(cls, packed: bytes, symbols: int) -> "Network":
+        return cls(cls.views(np.frombuffer(packed, np.float32), symbols))
+
+    @classmethod
+    def views(cls, flat: np.ndarray, symbols: int) -> dict[str, np.ndarray]:
+        at, w = 0, {}
+        for k, shape in cls.shapes(symbols).items():
             n = int(np.prod(shape))
-            w[k] = flat[at:at + n].reshape(shape).astype(np.float32)
+            w[k] = flat[at:at + n].reshape(shape)
             at += n
-        return cls(w)
+        return w
 
 
 def _sigmoid(x):
@@ -173,14 +192,14 @@ def lanes(sizes: np.ndarray, width: int) -> list[list[int]]:
     return dealt
 
 
-def layout(symbols: np.ndarray, sizes: np.ndarray, width: int):
+def layout(symbols: np.ndarray, sizes: np.ndarray, width: int, end: int):
     """(before, target, fresh, doc), each of shape (steps, lanes): documents one after another, -1 where none is."""
     stops = np.cumsum(sizes)
     dealt = lanes(sizes, width)
     steps = max(sum(int(sizes[i]) for i in lane) for lane in dealt)
-    target = np.zeros((steps, len(dealt)), np.int64)
-    doc = np.full((steps, len(dealt)), -1, np.int64)
-    before = np.full((steps, len(dealt)), SYMBOLS - 1, np.int64)
+    target = np.zeros((steps, len(dealt)), np.int32)
+    doc = np.full((steps, len(dealt)), -1, np.int32)
+    before = np.full((steps, len(dealt)), end, np.int32)
     fresh = np.zeros((steps, len(dealt)), bool)
     for k, lane in enumerate(dealt):
         at = 0
@@ -200,7 +219,8 @@ def log_likelihood(net: Network, symbols: np.ndarray, sizes: np.ndarray) -> np.n
     if not len(sizes):
         return out
     w = net.w
-    before, target, fresh, doc = layout(symbols, sizes, LANES)
+    classes, per_class = w["o"].shape
+    before, target, fresh, doc = layout(symbols, sizes, LANES, len(w["E"]) - 1)
     given = (w["E"] @ w["W"] + w["b"]).astype(np.float32)
     h = np.zeros((before.shape[1], HIDDEN), np.float32)
     for start in range(0, len(before), SCORE_WINDOW):
@@ -216,12 +236,12 @@ def log_likelihood(net: Network, symbols: np.ndarray, sizes: np.ndarray) -> np.n
             states[j] = h
         live = doc[part] >= 0
         s, t, d = states[live], target[part][live], doc[part][live]
-        of, place = t // PER_CLASS, t % PER_CLASS
+        of, place = t // per_class, t % per_class
         logits = s @ w["C"] + w["c"]
         found = (logits[np.arange(len(t)), of] - np.log(np.exp(logits).sum(axis=1))).astype(np.float64)
         order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        edges = np.searchsorted(of[order], np.arange(classes + 1))
+        for c in range(classes):
             rows = order[edges[c]:edges[c + 1]]
             if len(rows):
                 logits = s[rows] @ w["O"][c].T + w["o"][c]
@@ -230,71 +250,133 @@ def log_likelihood(net: Network, symbols: np.ndarray, sizes: np.ndarray) -> np.n
     return out
 
 
-def train_window(w: dict, h: np.ndarray, before, target, fresh, live):
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def train_window(w: dict, h: np.ndarray, before, target, fresh, live, grad: dict | None = None):
     """(loss, gradients, last state) of one window; the state that enters it is a constant."""
-    H, steps = HIDDEN, []
-    grad = {k: np.zeros_like(v) for k, v in w.items()}
-    for x, new in zip(before, fresh):
-        h = np.where(new[:, None], 0, h)
-        g, u = w["E"][x] @ w["W"] + w["b"], h @ w["U"]
-        gates = _sigmoid(g[:, : 2 * H] + u[:, : 2 * H])
-        z, r = gates[:, :H], gates[:, H:]
-        n = np.tanh(g[:, 2 * H:] + r * u[:, 2 * H:])
-        steps.append((x, new, h, u[:, 2 * H:], z, r, n))
-        h = h + z * (n - h)
-    states = np.stack([s[2] + s[4] * (s[6] - s[2]) for s in steps])
-    s, t = states[live], target[live]
-    count, of, place, rows = max(1, len(t)), t // PER_CLASS, t % PER_CLASS, np.arange(len(t))
-
-    def softmax(x):
-        e = np.exp(x - x.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
-
-    p, q = softmax(s @ w["C"] + w["c"]), softmax(np.einsum("nkh,nh->nk", w["O"][of], s) + w["o"][of])
-    loss = -(np.log(p[rows, of]) + np.log(q[rows, place])).sum() / count
+    H, (steps, width), (classes, per_class) = HIDDEN, before.shape, w["o"].shape
+    kind = w["E"].dtype
+    grad = {k: np.empty_like(v) for k, v in w.items()} if grad is None else grad
+    given = w["E"].take(before.ravel(), axis=0)
+    # lanes are the last axis inside the window
+    g = np.matmul(w["W"].T, given.reshape(steps, width, H).transpose(0, 2, 1))
+    g += w["b"][:, None]
+    prev, un, n, states = (np.empty((steps, H, width), kind) for _ in range(4))
+    gates = g[:, : 2 * H]
+    kept, some = (~fresh).astype(kind), fresh.any(axis=1).tolist()
+    h, up = np.ascontiguousarray(h.T), np.ascontiguousarray(w["U"].T)
+    for j in range(steps):
+        np.multiply(h, kept[j] if some[j] else 1, out=prev[j])
+        u = up @ prev[j]
+        a = gates[j]
+        a += u[: 2 * H]
+        a *= 0.5
+        np.tanh(a, out=a)
+        a += 1
+        a *= 0.5
+        un[j] = u[2 * H:]
+        x = a[H:] * un[j]
+        x += g[j, 2 * H:]
+        np.tanh(x, out=n[j])
+        h = n[j] - prev[j]
+        h *= a[:H]
+        h += prev[j]
+        states[j] = h
+    z, r = gates[:, :H], gates[:, H:]
+    # tokens sorted by class, the second softmax class by class
+    tokens = np.flatnonzero(live)
+    t = target.ravel()[tokens]
+    order = np.argsort((t // per_class).astype(np.uint16), kind="stable")
+    tokens, t = tokens[order], t[order]
+    s = states.transpose(0, 2, 1).reshape(-1, H).take(tokens, axis=0)
+    count, of, place, rows = max(1, len(t)), t // per_class, t % per_class, np.arange(len(t))
+    p = _softmax(s @ w["C"] + w["c"])
+    loss = -np.log(p[rows, of]).sum()
     p[rows, of] -= 1
-    q[rows, place] -= 1
-    p, q = p / count, q / count
-    grad["C"], grad["c"] = s.T @ p, p.sum(axis=0)
-    np.add.at(grad["O"], of, q[:, :, None] * s[:, None, :])
-    np.add.at(grad["o"], of, q)
-    back = np.zeros_like(states)
-    back[live] = p @ w["C"].T + np.einsum("nk,nkh->nh", q, w["O"][of])
+    grad["C"][:], grad["c"][:] = s.T @ p, p.sum(axis=0)
+    ds = p @ w["C"].T
+    edges = np.searchsorted(of, np.arange(classes + 1)).tolist()
+    right = np.empty(len(t), kind)
+    for c, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        if lo == hi:
+            grad["O"][c] = grad["o"][c] = 0
+            continue
+        here = s[lo:hi]
+        q, at = _softmax(here @ w["O"][c].T + w["o"][c]), (rows[: hi - lo], place[lo:hi])
+        right[lo:hi] = q[at]
+        q[at] -= 1
+        np.matmul(q.T, here, out=grad["O"][c])
+        np.sum(q, axis=0, out=grad["o"][c])
+        ds[lo:hi] += q @ w["O"][c]
+    loss -= np.log(right).sum()
+    for k in ("C", "c", "O", "o"):
+        grad[k] /= count
+    back = np.zeros((steps * width, H), kind)
+    back[tokens] = ds / count
+    back = np.ascontiguousarray(back.reshape(steps, width, H).transpose(0, 2, 1))
+    # gradients of the gates for each unit of dh, or of dn
+    by_n, by_z, by_r, stay = z * (1 - n * n), (n - prev) * z * (1 - z), un * r * (1 - r), 1 - z
+    du, dn = np.empty_like(g), np.empty_like(n)
     dh = np.zeros_like(h)
-    for j in range(len(steps) - 1, -1, -1):
-        x, new, prev, un, z, r, n = steps[j]
-        dh = dh + back[j]
-        dn = dh * z * (1 - n * n)
-        dz = dh * (n - prev) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        dg = np.concatenate([dz, dr, dn], axis=1)
-        du = np.concatenate([dz, dr, dn * r], axis=1)
-        grad["U"] += prev.T @ du
-        grad["W"] += w["E"][x].T @ dg
-        grad["b"] += dg.sum(axis=0)
-        np.add.at(grad["E"], x, dg @ w["W"].T)
-        dh = dh * (1 - z) + du @ w["U"].T
-        dh = np.where(new[:, None], 0, dh)
-    return loss, grad, h
+    for j in range(steps - 1, -1, -1):
+        dh += back[j]
+        np.multiply(dh, by_n[j], out=dn[j])
+        np.multiply(dh, by_z[j], out=du[j, :H])
+        np.multiply(dn[j], by_r[j], out=du[j, H:2 * H])
+        np.multiply(dn[j], r[j], out=du[j, 2 * H:])
+        dh *= stay[j]
+        dh += w["U"] @ du[j]
+        if some[j]:
+            dh *= kept[j]
+    grad["U"][:] = np.matmul(prev, du.transpose(0, 2, 1)).sum(axis=0)
+    du[:, 2 * H:] = dn
+    dg = du.transpose(0, 2, 1).reshape(-1, 3 * H)
+    grad["W"][:] = given.T @ dg
+    grad["b"][:] = dg.sum(axis=0)
+    order = np.argsort(before, axis=None, kind="stable")
+    known = before.ravel()[order]
+    first = np.flatnonzero(np.concatenate([[True], known[1:] != known[:-1]]))
+    grad["E"][:] = 0
+    grad["E"][known[first]] = np.add.reduceat((dg @ w["W"].T).take(order, axis=0), first, axis=0)
+    return loss / count, grad, np.ascontiguousarray(h.T)
 
 
 def train(net: Network, symbols: np.ndarray, sizes: np.ndarray) -> Network:
     """One pass of Adam over the documents, window by window."""
-    w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    if hasattr(_LIBC, "mallopt"):  # arrays of a window come from the heap again and again, not from fresh pages
+        _LIBC.mallopt(-3, 1 << 28)
+        _LIBC.mallopt(-1, 1 << 28)
     if not len(sizes):
-        return Network(w)
-    before, target, fresh, doc = layout(symbols, sizes, TRAIN_LANES)
-    m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    h = np.zeros((before.shape[1], HIDDEN))
+        return net
+    known = len(net.w["E"])
+    flat = np.frombuffer(net.packed(), np.float32).copy()
+    grads, m, v, work = (np.zeros_like(flat) for _ in range(4))
+    w, grad = Network.views(flat, known), Network.views(grads, known)
+    width = min(MOST_LANES, max(TRAIN_LANES, len(symbols) // LANE_WORDS))
+    before, target, fresh, doc = layout(symbols, sizes, width, known - 1)
+    h = np.zeros((before.shape[1], HIDDEN), np.float32)
     for number, start in enumerate(range(0, len(before), WINDOW), 1):
         part = slice(start, start + WINDOW)
-        _, grad, h = train_window(w, h, before[part], target[part], fresh[part], doc[part] >= 0)
-        norm = np.sqrt(sum((g * g).sum() for g in grad.values()))
-        for k, g in grad.items():
-            g = g * min(1.0, 1.0 / max(norm, 1e-12))
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v[k] = 0.999 * v[k] + 0.001 * g * g
-            w[k] = w[k] - RATE * (m[k] / (1 - 0.9**number)) / (np.sqrt(v[k] / (1 - 0.999**number)) + 1e-8)
+        _, _, h = train_window(w, h, before[part], target[part], fresh[part], doc[part] >= 0, grad)
+        grads *= np.float32(min(1.0, 1.0 / max(np.sqrt(grads @ grads), 1e-12)))
+        m *= np.float32(0.9)
+        np.multiply(grads, np.float32(0.1), out=work)
+        m += work
+        v *= np.float32(0.999)
+        grads *= grads
+        grads *= np.float32(0.001)
+        v += grads
+        np.multiply(v, np.float32(1 / (1 - 0.999**number)), out=work)
+        np.sqrt(work, out=work)
+        work += np.float32(1e-8)
+        np.divide(m, work, out=work)
+        work *= np.float32(RATE / (1 - 0.9**number))
+        flat -= work
     return Network(w)
 
 
@@ -302,11 +384,12 @@ class Vocabulary:
     """The most frequent training words by rank; `rare` and `end` are the last two symbols."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, n_words: int, n_docs: int, distinct: int):
+        self.size = symbols_for(n_words)
         rank = np.argsort(words)
         self.words, self.symbols = words[rank], rank
         rare = n_words - int(counts.sum())
         self.rare_total = rare + max(0, distinct - len(words)) + 1
-        self.frequencies = np.zeros(SYMBOLS)
+        self.frequencies = np.zeros(self.size)
         self.frequencies[: len(words)] = counts
         self.frequencies[-2:] = rare, n_docs
         self.tokens, self.known = n_words + n_docs, distinct + (n_docs > 0)
@@ -314,25 +397,63 @@ class Vocabulary:
 
     def encode(self, words: np.ndarray) -> np.ndarray:
         if not len(self.words):
-            return np.full(len(words), SYMBOLS - 2, np.int64)
+            return np.full(len(words), self.size - 2, np.int64)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.symbols[at], SYMBOLS - 2)
+        return np.where(self.words[at] == words, self.symbols[at], self.size - 2)
+
+
+    def with_ends(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return np.insert(symbols, np.cumsum(sizes), self.size - 1)
 
 
-def with_ends(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return np.insert(symbols, np.cumsum(sizes), SYMBOLS - 1)
+ENCODED = "shard int, key long, symbols binary"
+
+
+def _encode(vocabulary: Vocabulary, shards: int):
+    """The symbols of every training text."""
+    kind = np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples():
+                symbols = vocabulary.encode(np.frombuffer(row.words, np.uint64)).astype(kind)[_from_planes(row.places)]
+                stops, keys = np.cumsum(row.sizes), np.asarray(row.keys, np.int64)
+                own = np.flatnonzero(np.asarray(row.learn, bool)).tolist()
+                yield pd.DataFrame({
+                    "shard": keys[own] % shards, "key": keys[own],
+                    "symbols": [symbols[stops[i] - row.sizes[i]:stops[i]].tobytes() for i in own],
+                })
+
+    return run
 
 
 def _train_shard(packed: bytes, vocabulary: Vocabulary):
+    kind = np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
-        words, sizes = word_hashes(pdf["text"].tolist())
-        net = train(Network.unpacked(packed), with_ends(vocabulary.encode(words), sizes), sizes + 1)
-        return pd.DataFrame({"weights": [net.packed()], "tokens": [int(sizes.sum() + len(sizes))]})
+        sizes = pdf["symbols"].str.len().to_numpy(np.int64) // np.dtype(kind).itemsize
+        symbols = np.frombuffer(b"".join(pdf["symbols"]), kind)
+        net = train(Network.unpacked(packed, vocabulary.size), vocabulary.with_ends(symbols, sizes), sizes + 1)
+        flat = np.frombuffer(net.packed(), np.float32)
+        cuts = range(0, len(flat), SLICE)
+        return pd.DataFrame({
+            "slice": range(len(cuts)), "shard": pdf["shard"].iat[0], "tokens": int(sizes.sum() + len(sizes)),
+            "weights": [flat[a:a + SLICE].tobytes() for a in cuts],
+        })
 
     return run
 
 
+def _average(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One slice of the weights of all shards, each by its share of the tokens."""
+    pdf = pdf.sort_values("shard")
+    total, tokens = 0.0, float(pdf["tokens"].sum())
+    for weights, n in zip(pdf["weights"], pdf["tokens"]):
+        total = total + np.frombuffer(weights, np.float32) * (n / tokens)
+    return pd.DataFrame({"slice": [pdf["slice"].iat[0]], "weights": [total.astype(np.float32).tobytes()]})
+
+
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -354,8 +475,9 @@ def _score(net_packed: bytes, vocabulary: Vocabulary):
         base = total(np.log10(counts + 1.0) - scale, np.log10(vocabulary.ends + 1.0) - scale)
         known = total((counts > 0).astype(float), float(vocabulary.ends > 0))
         symbols = vocabulary.encode(words)
-        rare = np.where(symbols == SYMBOLS - 2, np.log((counts + 1.0) / vocabulary.rare_total), 0.0)
-        likely = log_likelihood(Network.unpacked(net_packed), with_ends(symbols[places], sizes), sizes + 1) + total(rare, 0.0)
+        rare = np.where(symbols == vocabulary.size - 2, np.log((counts + 1.0) / vocabulary.rare_total), 0.0)
+        net = Network.unpacked(net_packed, vocabulary.size)
+        likely = log_likelihood(net, vocabulary.with_ends(symbols[places], sizes), sizes + 1) + total(rare, 0.0)
         return pd.DataFrame({
             "doc_id": pd.array(list(row["ids"]), "Int64"), "held_out": np.asarray(row["held"], bool), "n_tokens": sizes + 1,
             "n_known": known.astype(np.int64), "train_tokens": vocabulary.tokens, "base_score": base, "score": likely / _LOG10,
@@ -375,38 +497,36 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = F.col(id_col).isNotNull()
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"),
+        F.xxhash64(id_col, text_col).alias("key"),
         (known if learn is None else F.coalesce(learn, F.lit(False)) & known).alias("learn"),
         (F.lit(False) if held is None else F.coalesce(held, F.lit(False))).alias("held"),
     )
     tokens = saved(rows.mapInPandas(_tokenise, TOKENS), "tokens")
+    learned = tokens.select(F.explode(F.arrays_zip("learn", "sizes")).alias("t")).where("t.learn")
+    n_docs, n_words = learned.agg(F.count("*"), F.coalesce(F.sum("t.sizes"), F.lit(0))).first()
+    most = symbols_for(n_words) - 2
     emitted = tokens.mapInPandas(_emit(buckets), "chunk long, bucket int, low binary, high binary, times binary, top binary")
-    counted = saved(emitted.groupBy("bucket").applyInPandas(_count, COUNTED), "counts")
+    counted = saved(emitted.groupBy("bucket").applyInPandas(lambda pdf: _count(pdf, most), COUNTED), "counts")
     heads = counted.where("chunk < 0")
     levels = heads.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n"))
     levels = dict(levels.collect())  # LEVELS rows
     distinct = levels.get(0, 0)
     # the highest power of two that still leaves a full vocabulary; rarer words of the heads are not unpacked
-    least = 1 << max((i for i, n in levels.items() if n >= VOCABULARY), default=0)
+    least = 1 << max((i for i, n in levels.items() if n >= most), default=0)
     often = F.filter(F.arrays_zip("head", "head_counts"), lambda h: h["head_counts"] >= least)
     top = heads.select(F.explode(often).alias("h")).select("h.*")
-    top = top.orderBy(F.col("head_counts").desc(), "head").limit(VOCABULARY).collect()
-    learned = tokens.select(F.explode(F.arrays_zip("learn", "sizes")).alias("t")).where("t.learn")
-    n_docs, n_words = learned.agg(F.count("*"), F.coalesce(F.sum("t.sizes"), F.lit(0))).first()
+    top = top.orderBy(F.col("head_counts").desc(), "head").limit(most).collect()
     vocabulary = Vocabulary(
         np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64), n_words, n_docs, distinct
     )
     net = Network.first(vocabulary.frequencies).packed()
     if n_docs:
-        key = F.xxhash64("doc_id", "text")
-        chance = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_003)) / 1_000_003
-        sample = rows.where(F.col("learn") & (chance < min(1.0, TRAIN_ROWS / n_docs)))
-        sample = saved(sample.select("text", key.alias("key"), F.pmod(key, F.lit(SHARDS)).alias("shard")), "sample")
+        shards = max(SHARDS, -(-n_words // SHARD_WORDS))
+        encoded = saved(tokens.mapInPandas(_encode(vocabulary, shards), ENCODED), "encoded")
         for _ in range(ROUNDS):
-            parts = sample.groupBy("shard").applyInPandas(_train_shard(net, vocabulary), "weights binary, tokens long").collect()
-            share = np.array([p["tokens"] for p in parts], float)
-            flat = np.stack([np.frombuffer(p["weights"], np.float32) for p in parts])
-            if len(share):
-                net = (flat * (share / share.sum())[:, None]).sum(axis=0).astype(np.float32).tobytes()
+            trained = encoded.groupBy("shard").applyInPandas(released_group(_train_shard(net, vocabulary)), "slice int, shard int, tokens long, weights binary")
+            slices = trained.groupBy("slice").applyInPandas(_average, "slice int, weights binary").orderBy("slice").collect()
+            net = b"".join(x["weights"] for x in slices)
     replies = counted.where("chunk >= 0").select("chunk", "bucket", "counts")
     return tokens.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_score(net, vocabulary), SCORED)
 

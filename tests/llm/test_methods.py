@@ -163,3 +163,21 @@ def test_template_is_reversible(spark):
     row = df.select("f", chat.parse(F.col("f")).alias("back"), chat.loss_spans(F.col("f")).alias("spans")).first()
     assert [tuple(t) for t in row.back] == turns
     assert [row.f[s.start:s.start + s.length] for s in row.spans] == ["\\bp\\b\\bs\\p"]
+
+
+def test_network_learns_from_all_training_texts(spark, monkeypatch):
+    written, saved = {}, lm.saved
+    monkeypatch.setattr(lm, "saved", lambda df, label: written.setdefault(label, saved(df, label)))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b"), "id").alias("text"))
+    found = lm.score_documents(docs, learn=F.col("doc_id") % 3 != 0)
+    assert found.count() == 3000
+    trained = written["encoded"].select("key", (F.length("symbols") / 2).alias("n")).agg(F.count_distinct("key"), F.sum("n")).first()
+    assert tuple(trained) == (2000, 6000)
+
+
+def test_symbols_grow_with_the_training_words():
+    assert [lm.symbols_for(n) for n in (0, 10**5, 16 * 10**6, 5 * 10**9)] == [1024, 1024, 4096, 65536]
+    for symbols in (2048, 4096, 8192):
+        net = lm.Network.first(np.arange(symbols, 0, -1.0))
+        each = np.arange(symbols)
+        assert np.exp(lm.log_likelihood(net, each, np.ones(symbols, np.int64))).sum() == pytest.approx(1, rel=1e-4)
