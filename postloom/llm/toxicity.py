@@ -38,7 +38,8 @@ RIDGE, STEPS, TOXIC_FROM = 0.02, 300, 0.7
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SEPARATORS = " .-_*"
 COST_LETTER, COST_SELF, COST_INSIDE, COST_SILENT, COST_DOUBLE, COST_GAP, COST_APART = 1.0, 4.0, 9.0, 0.3, 4.0, 0.5, 4.0
-LONGEST = 48
+#: Cells (stretches x characters) that are decoded at once; a longer stretch is decoded alone, window by window.
+CELLS, WINDOW = 200_000, 4096
 BOUND, OTHER, CLASSES = 26, 27, 28
 
 _LETTER = np.zeros(256, bool)
@@ -53,8 +54,8 @@ _CLASS[65:91] = np.arange(26)
 _SPACED = re.compile(rf"(?<!\S)(?:[a-z][{re.escape(SEPARATORS)}]){{2,}}[a-z](?!\S)")
 # a run of one symbol at the end of a word hides nothing
 _HIDDEN = re.compile(r"[a-z][0-9]|[0-9@$!|+][a-z]|[a-z]([@$+])(?!\1)|([a-z])\2\2")
-_BEFORE, _AFTER = re.compile(r"\S*\Z"), re.compile(r"\S*")
-_EDGE = re.compile(r"^(?:[^\w@$|+]|_)+|(?:[^\w@$+]|_)+$|([@$|+])\1+$")
+_AFTER = re.compile(r"\S*")
+_HEAD, _TAIL = re.compile(r"(?:[^\w@$|+]|_)*"), re.compile(r"(?:[^\w@$+]|_)*")
 
 
 def bigram_counts(texts: list[str | None]) -> np.ndarray:
@@ -94,21 +95,47 @@ def decode(stretches: list[str], model: np.ndarray) -> list[str]:
     if not stretches:
         return []
     n, longest = len(stretches), max(map(len, stretches))
+    score = np.full((n, CLASSES), -np.inf, np.float32)
+    score[:, BOUND] = 0
+    model = model.astype(np.float32)
+    spaced = [_SPACED.fullmatch(s) is not None for s in stretches]
+    # class before, or -1 if this character is silent, one table a window
+    came = []
+    for start in range(0, longest, WINDOW):
+        score, table = _window(stretches, spaced, start, min(longest, start + WINDOW), score, model)
+        came.append(table)
+    at = (score + model[:, BOUND]).argmax(axis=1)
+    out = []
+    for i, s in enumerate(stretches):
+        letters, state = [], int(at[i])
+        for j in range(len(s) - 1, -1, -1):
+            before = came[j // WINDOW][j % WINDOW, i, state]
+            if before >= 0:
+                letters.append(chr(97 + state) if state < 26 else s[j])
+                state = int(before)
+        out.append("".join(reversed(letters)))
+    return out
+
+
+def _window(stretches: list[str], spaced: list[bool], start: int, stop: int, score: np.ndarray, model: np.ndarray):
+    """(scores after it, classes before) of the characters start..stop of every stretch, from the scores before it."""
+    n, longest = len(stretches), stop - start
     cls = np.full((n, longest, 3), -1, np.int8)
     cost = np.zeros((n, longest, 3), np.float32)
     silent = np.full((n, longest), np.inf, np.float32)
     for i, s in enumerate(stretches):
-        spaced = _SPACED.fullmatch(s) is not None
         run = 1
-        for j, ch in enumerate(s):
-            run = run + 1 if j and s[j - 1] == ch else 1
+        for at in range(start, min(stop, len(s))):
+            j, ch = at - start, s[at]
+            # more than two before the window count as two
+            run = run + 1 if j and s[at - 1] == ch else 1 + sum(s[max(0, at - k):at] == ch * k for k in (1, 2))
             if "a" <= ch <= "z":
                 cls[i, j, 0] = ord(ch) - 97
                 if run > 1:
-                    thrice = run > 2 or s[j + 1:j + 2] == ch
+                    thrice = run > 2 or s[at + 1:at + 2] == ch
                     silent[i, j] = COST_SILENT if thrice else COST_DOUBLE
             elif ch in LOOKALIKES:
-                inside = 0 < j < len(s) - 1 and all(x.isalpha() or x in LOOKALIKES for x in (s[j - 1], s[j + 1]))
+                inside = 0 < at < len(s) - 1 and all(x.isalpha() or x in LOOKALIKES for x in (s[at - 1], s[at + 1]))
                 cls[i, j, 0], cost[i, j, 0] = BOUND, COST_INSIDE if inside else COST_SELF
                 for k, letter in enumerate(LOOKALIKES[ch], 1):
                     cls[i, j, k], cost[i, j, k] = ord(letter) - 97, COST_LETTER
@@ -116,13 +143,10 @@ def decode(stretches: list[str], model: np.ndarray) -> list[str]:
                     silent[i, j] = COST_SILENT
             else:
                 cls[i, j, 0] = OTHER if ch.isalpha() else BOUND
-                if spaced and ch in SEPARATORS:
+                if spaced[i] and ch in SEPARATORS:
                     silent[i, j], cost[i, j, 0] = COST_GAP, COST_APART
-    lengths = np.array([len(s) for s in stretches])
-    score = np.full((n, CLASSES), -np.inf, np.float32)
-    score[:, BOUND] = 0
-    came = np.zeros((longest, n, CLASSES), np.int8)  # class before, or -1 if this character is silent
-    model = model.astype(np.float32)
+    lengths = np.array([len(s) for s in stretches]) - start
+    came = np.zeros((longest, n, CLASSES), np.int8)
     every = np.arange(n)
     for j in range(longest):
         new = score - silent[:, j, None]
@@ -140,17 +164,9 @@ def decode(stretches: list[str], model: np.ndarray) -> list[str]:
         live = lengths > j
         score = np.where(live[:, None], new, score)
         came[j] = back
-    at = (score + model[:, BOUND]).argmax(axis=1)
-    out = []
-    for i, s in enumerate(stretches):
-        letters, state = [], int(at[i])
-        for j in range(len(s) - 1, -1, -1):
-            before = came[j, i, state]
-            if before >= 0:
-                letters.append(chr(97 + state) if state < 26 else s[j])
-                state = int(before)
-        out.append("".join(reversed(letters)))
-    return out
+    # only differences count: long stretches keep their precision
+    score = score - score.max(axis=1, keepdims=True)
+    return score, came
 
 
 def suspicious(texts: list[str]) -> np.ndarray:
@@ -173,23 +189,23 @@ def suspicious(texts: list[str]) -> np.ndarray:
 
 def stretches(text: str) -> list[tuple[int, int]]:
     """Places in a lower-case text that get a lattice."""
-    found = [m.span() for m in _SPACED.finditer(text) if m.end() - m.start() <= LONGEST]
-    done, most = 0, LONGEST + 16
+    found = [m.span() for m in _SPACED.finditer(text)]
+    done = 0
     for m in _HIDDEN.finditer(text):
         if m.start() < done:
             continue
-        low = max(0, m.start() - most)
-        start = low + _BEFORE.search(text[low:m.start()]).start()
-        stop = done = _AFTER.match(text, m.start(), m.start() + most).end()
-        if stop - start > most:
-            continue
-        for _ in range(3):
-            core = _EDGE.sub("", text[start:stop])
-            start = text.index(core, start, stop)
-            if stop == start + len(core):
-                break
-            stop = start + len(core)
-        if core and stop - start <= LONGEST and _HIDDEN.search(core):
+        before = text[done:m.start()]
+        start = m.start() - (len(before.rsplit(None, 1)[-1]) if before and not before[-1].isspace() else 0)
+        stop = done = _AFTER.match(text, m.start()).end()
+        # symbols at its edges are none of the word's; matched from each side once, as it may be long
+        start = _HEAD.match(text, start, stop).end()
+        stop -= _TAIL.match(text[start:stop][::-1]).end()
+        run = text[start:stop]
+        last = run[-1:]
+        if last in ("@", "$", "|", "+") and run.endswith(last * 2):
+            stop = start + len(run.rstrip(last))
+        core = text[start:stop]
+        if core and _HIDDEN.search(core):
             found.append((start, stop))
     return sorted(found)
 
@@ -201,9 +217,15 @@ def restore(texts: list[str | None], model: np.ndarray) -> list[str]:
     distinct = list(dict.fromkeys(texts[i][a:b] for i, found in places.items() for a, b in found))
     distinct.sort(key=len)
     readings = {}
-    for at in range(0, len(distinct), 20_000):
-        part = distinct[at:at + 20_000]
+    at = 0
+    while at < len(distinct):
+        # sorted by length: the longest of the next so many is the last
+        many = 1
+        while many < 20_000 and at + many < len(distinct) and (many + 1) * len(distinct[at + many]) <= CELLS:
+            many += 1
+        part = distinct[at:at + many]
         readings.update(zip(part, decode(part, model)))
+        at += many
     for i, found in places.items():
         if found:
             pieces, at = [], 0

@@ -181,3 +181,14 @@ def test_symbols_grow_with_the_training_words():
         net = lm.Network.first(np.arange(symbols, 0, -1.0))
         each = np.arange(symbols)
         assert np.exp(lm.log_likelihood(net, each, np.ones(symbols, np.int64))).sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_long_stretches_are_restored(monkeypatch):
+    words = "the idiot said that this moron is a trash clown and that scum is stupid and good in the end " * 50
+    model = toxicity.log_model(toxicity.bigram_counts([words]).reshape(28, 28))
+    hidden = [" ".join("idiot" * 6), "st" + "u" * 50 + "pid", "1d10t." * 12]
+    want = [" ".join(["idiot"] * 6), "stupid", "idiot." * 12]
+    assert toxicity.restore(hidden, model) == want
+    monkeypatch.setattr(toxicity, "WINDOW", 7)
+    assert toxicity.restore(hidden, model) == want
+    assert len(toxicity.restore(["-" * 100_000 + "a1" + "-" * 100_000 + "b"], model)) == 1
