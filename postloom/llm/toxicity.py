@@ -51,9 +51,11 @@ _CLASS = np.full(256, BOUND, np.uint8)
 _CLASS[128:] = OTHER
 _CLASS[97:123] = np.arange(26)
 _CLASS[65:91] = np.arange(26)
-_SPACED = re.compile(rf"(?<!\S)(?:[a-z][{re.escape(SEPARATORS)}]){{2,}}[a-z](?!\S)")
-# a run of one symbol at the end of a word hides nothing
-_HIDDEN = re.compile(r"[a-z][0-9]|[0-9@$!|+][a-z]|[a-z]([@$+])(?!\1)|([a-z])\2\2")
+_ONE, _APART = "[a-z" + re.escape("".join(LOOKALIKES)) + "]", "[" + re.escape(SEPARATORS) + "]"
+# single letters or look-alikes, with one separator between any two or the same run of them between all
+_SPACED = re.compile(rf"(?<!\S)(?:(?:{_ONE}{_APART}){{2,}}|{_ONE}({_APART}{{2,}})(?:{_ONE}\1)+){_ONE}(?!\S)")
+_HIDDEN = re.compile(r"[a-z][0-9]|[0-9@$!|+][a-z]|[a-z][@$+]|@[$5]|\$[@!]|([a-z])\1\1")
+_ANY = re.compile("[a-z]")
 _AFTER = re.compile(r"\S*")
 _HEAD, _TAIL = re.compile(r"(?:[^\w@$|+]|_)*"), re.compile(r"(?:[^\w@$+]|_)*")
 
@@ -140,7 +142,8 @@ def _window(stretches: list[str], spaced: list[bool], start: int, stop: int, sco
                 for k, letter in enumerate(LOOKALIKES[ch], 1):
                     cls[i, j, k], cost[i, j, k] = ord(letter) - 97, COST_LETTER
                 if run > 1:
-                    silent[i, j] = COST_SILENT
+                    # a pair at the end of a word may be a double letter, as in a$$
+                    silent[i, j] = COST_DOUBLE if run == 2 and at == len(s) - 1 else COST_SILENT
             else:
                 cls[i, j, 0] = OTHER if ch.isalpha() else BOUND
                 if spaced[i] and ch in SEPARATORS:
@@ -176,12 +179,15 @@ def suspicious(texts: list[str]) -> np.ndarray:
     letter, leet = _LETTER[raw], _LEET[raw]
     flag = np.zeros(len(raw), bool)
     flag[1:] = letter[1:] & leet[:-1]
-    flag[1:-1] |= leet[1:-1] & letter[:-2] & (raw[1:-1] != raw[2:])
+    flag[1:-1] |= leet[1:-1] & letter[:-2]
     flag[2:] |= letter[2:] & (raw[2:] == raw[1:-1]) & (raw[2:] == raw[:-2])
-    lone = letter.copy()
-    lone[1:] &= ~letter[:-1]
-    lone[:-1] &= ~letter[1:]
-    flag[4:] |= lone[4:] & lone[2:-2] & lone[:-4]
+    at, dollar = raw == ord("@"), raw == ord("$")
+    flag[1:] |= at[:-1] & (dollar | (raw == ord("5")))[1:] | dollar[:-1] & (at | (raw == ord("!")))[1:]
+    # three single letters or look-alikes in a row, whatever lies between them
+    one = letter | leet
+    places = np.flatnonzero(one)
+    lone = ~(one[places - 1] | one[np.minimum(places + 1, len(raw) - 1)])
+    flag[places[2:]] |= lone[2:] & lone[1:-1] & lone[:-2]
     stops = np.cumsum([len(p) + 2 for p in parts]) + 2
     seen = np.concatenate([[0], np.cumsum(flag)])
     return np.diff(seen[np.concatenate([[0], np.minimum(stops, len(raw))])]) > 0
@@ -189,7 +195,7 @@ def suspicious(texts: list[str]) -> np.ndarray:
 
 def stretches(text: str) -> list[tuple[int, int]]:
     """Places in a lower-case text that get a lattice."""
-    found = [m.span() for m in _SPACED.finditer(text)]
+    found = [m.span() for m in _SPACED.finditer(text) if _ANY.search(m[0])]
     done = 0
     for m in _HIDDEN.finditer(text):
         if m.start() < done:
@@ -200,10 +206,6 @@ def stretches(text: str) -> list[tuple[int, int]]:
         # symbols at its edges are none of the word's; matched from each side once, as it may be long
         start = _HEAD.match(text, start, stop).end()
         stop -= _TAIL.match(text[start:stop][::-1]).end()
-        run = text[start:stop]
-        last = run[-1:]
-        if last in ("@", "$", "|", "+") and run.endswith(last * 2):
-            stop = start + len(run.rstrip(last))
         core = text[start:stop]
         if core and _HIDDEN.search(core):
             found.append((start, stop))

@@ -192,3 +192,11 @@ def test_long_stretches_are_restored(monkeypatch):
     monkeypatch.setattr(toxicity, "WINDOW", 7)
     assert toxicity.restore(hidden, model) == want
     assert len(toxicity.restore(["-" * 100_000 + "a1" + "-" * 100_000 + "b"], model)) == 1
+
+
+def test_spaced_leet_and_doubled_lookalikes_are_restored():
+    words = "the idiot said that this dumbass is an ass and shit is a mess and this moron is less and good " * 50
+    model = toxicity.log_model(toxicity.bigram_counts([words]).reshape(28, 28))
+    hidden = ["s h 1 t", "1.d.1.0.t", "i--d--i--o--t", "i  d  i  o  t", "a$$", "dumba$$", "an @$$ here", "m o r o n  i s", "1 2 3 4"]
+    want = ["shit", "idiot", "idiot", "idiot", "ass", "dumbass", "an ass here", "moron  i s", "1 2 3 4"]
+    assert toxicity.restore(hidden, model) == want
