@@ -78,11 +78,15 @@ def _parse(events: DataFrame) -> DataFrame:
         .when(F.col("data") == "reconf_one", F.lit(CONFIRM))
         .otherwise(F.coalesce("question", F.lit(CONFIRM)))
     )
+    at_open = is_reset | F.col("question").isNotNull()
+    if "stored_mode" in events.columns:
+        mode, step = F.coalesce("stored_mode", mode), F.coalesce("stored_step", step)
+        at_open = at_open | F.col("stored_mode").isNotNull()
     opened = F.struct(F.col("seq").alias("seq"), mode.alias("mode"), step.alias("step"))
     return parsed.withColumns(
         {
             "reset": F.when(is_reset, F.struct(F.col("seq").alias("seq"), F.col("data").alias("data"))),
-            "opened": F.when(is_reset | F.col("question").isNotNull(), opened),
+            "opened": F.when(at_open, opened),
         }
     )
 
@@ -156,7 +160,8 @@ def _answers(rows: DataFrame) -> DataFrame:
         .select(*group, "a.seq", "step", "a.option")
     )
     passes = asked.where("mode = 'all'")
-    threes = passes.groupBy(*group).agg(
+    # a stored pass may start beyond the first question
+    threes = passes.where("step = 0").groupBy(*group).agg(
         F.min(F.when(F.col("option") == 3, F.col("seq"))).alias("three"),
         F.min(F.when(F.col("option") < 3, F.col("seq"))).alias("other"),
     )
@@ -169,7 +174,7 @@ def _answers(rows: DataFrame) -> DataFrame:
         .withColumn("rn", F.row_number().over(order))
         .where(F.col("rn") <= CONFIRM)
         .join(threes.select(*group, "three"), group, "left")
-        .withColumn("step", F.col("rn") - F.when(F.col("three").isNull(), 1).otherwise(0))
+        .withColumn("step", F.col("step") + F.col("rn") - F.when(F.col("three").isNull(), 1).otherwise(0))
         .where(F.col("step") < CONFIRM)
     )
     return picks.select(columns).unionByName(opening.select(columns)).unionByName(walked.select(columns))
@@ -192,9 +197,26 @@ def _last_per_flag(order: Column) -> list[Column]:
 
 
 def profile_fold(events: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Profiles after all events, wizard state included; `profiles` holds none open."""
+    """Profiles after all events, wizard state included.
+
+    A wizard that `profiles` holds open (wizard_step, wizard_mode, wizard_draft) is an opening before all
+    events, and its draft are answers given before them.
+    """
     # trimmed text is cut and written first: parsing it refers to it many times
-    runs = _parse(split_runs(_trimmed(events), KEYS, ["seq"]))
+    nothing = {"stored_mode": F.lit(None).cast("string"), "stored_step": F.lit(None).cast("int")}
+    given, stored_draft = _trimmed(events).withColumns(nothing).withColumn("seq", F.col("seq").cast("bigint")), None
+    if {"wizard_step", "wizard_mode", "wizard_draft"} <= set(profiles.columns):
+        held = profiles.where("wizard_step IS NOT NULL AND wizard_mode <> ''")
+        before = F.lit(BEFORE_ALL).cast("bigint")
+        given = given.unionByName(
+            held.select(
+                *KEYS, before.alias("seq"), F.lit("stored").alias("kind"), F.lit("").alias("data"),
+                F.col("wizard_mode").alias("stored_mode"), F.col("wizard_step").cast("int").alias("stored_step"),
+            )
+        )
+        stored_draft = held.select(*KEYS, F.explode("wizard_draft").alias("flag", "value")).where("value IS NOT NULL")
+        stored_draft = stored_draft.withColumns({"session": before, "opener": before, "seq": before})
+    runs = _parse(split_runs(given, KEYS, ["seq"]))
     rows = scan(
         runs,
         KEYS,
@@ -204,7 +226,8 @@ def profile_fold(events: DataFrame, profiles: DataFrame) -> DataFrame:
     )
     # read several times below; only answers and saves matter from here on
     rows = cut(rows.where(F.col("option").isNotNull() | (F.col("called") & (F.col("data") == "save"))))
-    writes = cut(_answers(rows).select("*", F.inline(_assignments())))
+    writes = _answers(rows).select("*", F.inline(_assignments()))
+    writes = cut(writes if stored_draft is None else writes.unionByName(stored_draft, allowMissingColumns=True))
     saves = rows.where(F.col("called") & (F.col("data") == "save")).select(
         *KEYS, F.coalesce("last_reset.seq", F.lit(BEFORE_ALL)).alias("session"), F.col("seq").alias("saved")
     )
@@ -217,6 +240,7 @@ def profile_fold(events: DataFrame, profiles: DataFrame) -> DataFrame:
         F.coalesce(F.max("reset.seq"), F.lit(BEFORE_ALL)).alias("session"),
         F.max("reset")["data"].alias("reset_by"),
         F.max("opened").alias("opened"),
+        (F.max("stored_mode").isNotNull() & F.max("reset.seq").isNull()).alias("resumed"),
     )
     drafts = (
         writes.join(ends.select(*KEYS, "session", F.col("opened.seq").alias("current")), [*KEYS, "session"])
@@ -252,14 +276,14 @@ def profile_fold(events: DataFrame, profiles: DataFrame) -> DataFrame:
     open_ = F.coalesce(F.col("opened.mode") != "", F.lit(False))
     answered = F.coalesce("answered", F.lit(0))
     step = (
-        F.when(F.col("opened.mode") == "all", answered)
+        F.when(F.col("opened.mode") == "all", F.col("opened.step") + answered)
         .when(answered > 0, F.lit(CONFIRM))
         .otherwise(F.col("opened.step"))
     )
     snapshot = F.create_map(*[x for f in FLAGS for x in (F.lit(f), flags[f])])
     answers = F.coalesce("draft", F.create_map().cast("map<string,boolean>"))
     base = F.map_filter(snapshot, lambda k, _: ~F.map_contains_key(answers, k))
-    draft = F.when(F.col("reset_by") == "reconf_all", answers).otherwise(F.map_concat(answers, base))
+    draft = F.when((F.col("reset_by") == "reconf_all") | F.col("resumed"), answers).otherwise(F.map_concat(answers, base))
     return out.select(
         *KEYS,
         F.coalesce("new_status", "old_status", F.lit("active")).alias("status"),

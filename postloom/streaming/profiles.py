@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,6 +22,7 @@ from postloom.operators.profiles import CONFIRM, KEYS, QUESTIONS, RESETS, START_
 from postloom.schemas import FLAG_DEFAULTS, FLAGS
 from postloom.streaming.stages import start_batches
 
+WIZARD = ["wizard_step", "wizard_mode", "wizard_draft"]
 PROFILE_SCHEMA = (
     "platform STRING, external_id BIGINT, seq BIGINT, status STRING, "
     + ", ".join(f"{f} BOOLEAN" for f in FLAGS)
@@ -36,7 +38,7 @@ def profile_batches(
     """Write all profiles after each micro-batch to `path/profiles/batch_id=N`.
 
     A batch starts from the stored flags and the events since each subscriber's last reset,
-    from which the open wizard follows. Both folders are replaced when a batch is replayed.
+    from which the open wizard follows; a wizard open in `profiles` holds until the first reset. Both folders are replaced when a batch is replayed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -44,7 +46,12 @@ def profile_batches(
         history, known = batch.select(*KEYS, "seq", "kind", "data"), profiles
         if batch_id > 0:
             known = spark.read.parquet(f"{path}/profiles/batch_id={batch_id - 1}")
-            history = history.unionByName(spark.read.parquet(f"{path}/open/batch_id={batch_id - 1}"))
+            earlier = spark.read.parquet(f"{path}/open/batch_id={batch_id - 1}")
+            history = history.unionByName(earlier)
+            known = known.drop(*WIZARD)
+            if set(WIZARD) <= set(profiles.columns):
+                begun = earlier.where((F.col("kind") == "callback") & F.col("data").isin(RESETS)).select(*KEYS).distinct()
+                known = known.join(profiles.select(*KEYS, *WIZARD).join(begun, KEYS, "left_anti"), KEYS, "left")
         profile_fold(history, known).write.mode("overwrite").parquet(f"{path}/profiles/batch_id={batch_id}")
         open_events(history).write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
 

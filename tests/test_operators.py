@@ -310,3 +310,24 @@ def test_folds_are_stratified(spark):
     for label in (0, 1):
         counts = [r["count"] for r in sizes if r.label == label]
         assert len(counts) == 5 and max(counts) - min(counts) <= 1
+
+
+def test_profile_fold_resumes_a_stored_wizard(spark):
+    from postloom.operators.profiles import profile_fold
+    from postloom.schemas import FLAG_DEFAULTS, FLAGS
+
+    columns = "platform string, external_id string, status string, " + ", ".join(f"{f} boolean" for f in FLAGS)
+    columns += ", wizard_step int, wizard_mode string, wizard_draft map<string,boolean>"
+    flags = [FLAG_DEFAULTS[f] for f in FLAGS]
+    draft = {"payment_required": True}
+    stored = [("vk", i, "active", *flags, step, mode, draft if mode else None) for i, step, mode in
+              (("a", 3, "all"), ("b", 3, "pick"), ("c", 3, "all"), ("d", None, None), ("e", 3, "all"))]
+    events = [("vk", "a", 1, "callback", "opt2"), ("vk", "a", 2, "callback", "save"), ("vk", "b", 1, "callback", "opt2"),
+              ("vk", "b", 2, "callback", "save"), ("vk", "d", 1, "callback", "opt2"), ("vk", "e", 1, "callback", "opt2")]
+    events = spark.createDataFrame(events, "platform string, external_id string, seq long, kind string, data string")
+    found = {r.external_id: r for r in profile_fold(events, spark.createDataFrame(stored, columns)).collect()}
+    for i in "ab":
+        assert (found[i].payment_required, found[i].wt_handyman, found[i].wizard_step) == (True, False, None)
+    assert (found["c"].wizard_step, found["c"].wizard_mode, found["c"].wizard_draft) == (3, "all", draft)
+    assert found["d"].wizard_step is None
+    assert (found["e"].wizard_step, found["e"].wizard_draft) == (4, draft | {"wt_handyman": False})
