@@ -104,9 +104,11 @@ def turns_as_log(turns: DataFrame) -> DataFrame:
     become messages of their own, ordered by role and text."""
     turns = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("times"))
+    tied = turns.groupBy("conv_id", "turn", "role").agg(F.sort_array(F.collect_list(F.struct("text", "times"))).alias("tied"))
+    turns = tied.select("conv_id", "turn", "role", F.posexplode("tied").alias("rank", "t")).select("conv_id", "turn", "role", "rank", "t.*")
     turns = turns.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     # a message number that sorts as the turns do
-    msg = F.struct(F.col("turn"), F.col("role"), F.xxhash64("text").alias("code"), F.col("copy"))
+    msg = F.struct(F.col("turn"), F.col("role"), F.col("rank"), F.col("copy"))
     parts = F.transform(
         F.sequence(F.lit(0), F.floor(F.length("text") / DELTA).cast("int")),
         lambda i: F.struct((i + 1).alias("part"), F.lit("delta").alias("kind"), F.substr(F.col("text"), i * DELTA + 1, F.lit(DELTA)).alias("text")),

@@ -121,6 +121,13 @@ def test_chat(spark):
     assert chat.format_log(chat.turns_as_log(turns.limit(0))).count() == 0
 
 
+def test_chat_turns_that_tie_are_ordered_by_text(spark):
+    said = ["delta", "alpha", "charlie", "bravo", "echo"]
+    turns = spark.createDataFrame([(1, 0, "user", t) for t in said], "conv_id long, turn long, role string, text string")
+    row = chat.fold_events(chat.turns_as_log(turns)).first()
+    assert [t.text for t in row.turns] == sorted(said)
+
+
 @pytest.mark.parametrize("rows", ["docs", "empty"])
 def test_stages(spark, rows, request):
     now = request.getfixturevalue(rows)
