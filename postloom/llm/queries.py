@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from postloom.llm import chat, exact_dedup, jaccard, language, lattice, lm, mixing, pieces, repeats, secrets, toxicity
+from postloom.llm import chat, exact_dedup, jaccard, language, lattice, lm, mixing, pieces, repair, repeats, search, secrets, toxicity
 
 QUERIES = {
     "op1_language": (language.op1_language, None),
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_lm": (lm.op8_lm, None),
     "op9_mixing": (mixing.op9_mixing, mixing.ORACLE),
     "op10_chat": (chat.op10_chat, chat.ORACLE),
+    "op11_repair": (repair.op11_repair, repair.ORACLE),
+    "op12_search": (search.op12_search, search.ORACLE),
     "op13_repeats": (repeats.op13_repeats, repeats.ORACLE),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
