@@ -2,14 +2,18 @@
 
 Tokens are the words of a text and one end. Every token's count over all training texts is found by one
 shuffle of the distinct words of each batch, packed by hash range; the reply goes back to the batch, whose
-words wait in the shared folder as numbers. The most frequent words are symbols of the network, about as
-many as the square root of the number of training words (`symbols_for`); any other word is the symbol `rare`
-times its share among rare words, (c + 1) / (N + V + 1) over these.
+words wait in the shared folder as numbers. The most frequent words are symbols of the network, about four times
+the cube root of the number of training words (`symbols_for`: 2 048 for 1.2e8 words, 65 536 for 1e13, whose weights are
+9 MB); any other word is the symbol `rare` times its share among rare words, (c + 1) / (N + V + 1) over these.
 
-The network (HIDDEN gated units) is trained by truncated backpropagation on all training texts: shards of
-about SHARD_WORDS words, dealt by a hash of id and text, each train on all their texts from common weights,
-and the weights are averaged, ROUNDS times. To score, the documents of a batch are laid out in lanes, which step together; a document's state
-starts at zero and is carried from window to window to its end, so the score is that of the whole text.
+A symbol is drawn by its class, then within it. Classes are runs of symbols by frequency with equal sums of the roots of
+their probabilities, which makes the expected size of a token's class least: frequent symbols are classes of their own.
+
+The network (HIDDEN gated units) is trained by truncated backpropagation on all training texts, once: shards of about
+SHARD_WORDS words, dealt by a hash of id and text and written once, one bucket each. A shard has SLICES slices of its
+texts; all shards train on their first slice from common weights, the weights are averaged, and so on to the last. To
+score, the documents of a batch are laid out in lanes, which step together; a document's state starts at zero and is
+carried from window to window to its end, so the score is that of the whole text.
 
 Defined cases: a null or empty text is the end alone; rows with a null id are scored but not learned
 from; repeated rows get equal scores; words never seen in training share one unseen word's chance;
@@ -19,6 +23,7 @@ without training texts N = V = 0 and the network keeps its first weights.
 from __future__ import annotations
 
 import heapq
+import uuid
 import zlib
 
 import numpy as np
@@ -28,20 +33,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.language import remainder
-from postloom.llm.store import forget, partitions, saved, small_batches
+from postloom.llm.store import partitions, saved, small_batches
 from postloom.llm.words import _LIBC, chunks, released_group, word_hashes
+from postloom.session import work_path
 
 HIDDEN = 16
-#: The least number of symbols, and their classes. The last two symbols are the rare word and the end.
-SYMBOLS, CLASSES = 1024, 32
-PER_CLASS = SYMBOLS // CLASSES
-SHARD_WORDS, SHARDS, ROUNDS = 4_000_000, 6, 3
-WINDOW, TRAIN_LANES, RATE = 16, 32, 0.01
-#: A large shard has more lanes, one for so many words up to MOST_LANES.
+#: The least number of symbols. The last two symbols are the rare word and the end.
+SYMBOLS = 1024
+SHARD_WORDS, SHARDS, SLICES = 8_000_000, 6, 3
+WINDOW, TRAIN_LANES = 16, 32
+#: Steps are smaller during the first WARM windows of a slice, and fall to a tenth along it.
+RATE, WARM = 0.01, 50
+#: A large slice has more lanes, one for so many words up to MOST_LANES.
 LANE_WORDS, MOST_LANES = 8192, 256
-#: Weights are averaged in slices of so many numbers.
-SLICE = 16_384
-LANES, SCORE_WINDOW = 256, 128
+#: Weights are averaged in pieces of so many numbers.
+PIECE = 16_384
+LANES, SCORE_WINDOW = 512, 128
 _LOG10 = np.log(10.0)
 #: Words are counted by power of two of their count, up to this many.
 LEVELS = 48
@@ -130,66 +137,82 @@ def _count(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
 
 
 def symbols_for(n_words: int) -> int:
-    """Number of symbols: the power of two nearest to the root of the number of training words."""
-    return max(SYMBOLS, 1 << round(np.log2(max(1, n_words)) / 2))
+    """Number of symbols: the power of two nearest to four times the cube root of the number of training words."""
+    return max(SYMBOLS, 1 << round(2 + np.log2(max(1, n_words)) / 3))
+
+
+def class_edges(frequencies: np.ndarray) -> np.ndarray:
+    """Where classes of symbols begin, and the end: about 0.7 times the root of the number of symbols of them."""
+    root = np.sqrt(frequencies + 0.1)
+    middle = np.cumsum(root) - root / 2
+    of = np.floor(middle / root.sum() * max(8, round(0.7 * np.sqrt(len(root))))).astype(np.int64)
+    return np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(root)]])
 
 
 class Network:
-    """Weights of the network; symbols are ordered by frequency, neighbours are a class."""
+    """Weights of the network; symbols are ordered by frequency, a class is a run of them."""
 
-    def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = weights
+    def __init__(self, weights: dict[str, np.ndarray], edges: np.ndarray):
+        self.w, self.edges = weights, edges
 
     @staticmethod
-    def shapes(symbols: int) -> dict[str, tuple[int, ...]]:
-        classes = CLASSES << (symbols // SYMBOLS).bit_length() // 2
+    def shapes(edges: np.ndarray) -> dict[str, tuple[int, ...]]:
+        symbols, classes = int(edges[-1]), len(edges) - 1
         return {
             "E": (symbols, HIDDEN), "W": (HIDDEN, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
-            "C": (HIDDEN, classes), "c": (classes,), "O": (classes, symbols // classes, HIDDEN), "o": (classes, symbols // classes),
+            "C": (HIDDEN, classes), "c": (classes,), "O": (symbols, HIDDEN), "o": (symbols,),
         }
 
     @classmethod
     def first(cls, frequencies: np.ndarray) -> "Network":
         """Small random weights, with biases that give each symbol its frequency."""
         rng = np.random.Generator(np.random.PCG64(7))
-        shapes = cls.shapes(len(frequencies))
-        w = {k: rng.normal(0, 0.1, shape) for k, shape in shapes.items()}
+        edges = class_edges(frequencies)
+        w = {k: rng.normal(0, 0.1, shape) for k, shape in cls.shapes(edges).items()}
         w["b"][:] = 0
-        p = (frequencies + 0.1).reshape(shapes["o"])
-        w["c"] = np.log(p.sum(axis=1) / p.sum())
-        w["o"] = np.log(p / p.sum(axis=1, keepdims=True))
-        return cls(w)
+        p = frequencies + 0.1
+        mass = np.add.reduceat(p, edges[:-1])
+        w["c"] = np.log(mass / mass.sum())
+        w["o"] = np.log(p / np.repeat(mass, np.diff(edges)))
+        return cls(w, edges)
 
     def packed(self) -> bytes:
-        return np.concatenate([self.w[k].ravel() for k in self.shapes(len(self.w["E"]))]).astype(np.float32).tobytes()
+        return np.concatenate([self.w[k].ravel() for k in self.shapes(self.edges)]).astype(np.float32).tobytes()
 
     @classmethod
-    def unpacked(cls, packed: bytes, symbols: int) -> "Network":
-        return cls(cls.views(np.frombuffer(packed, np.float32), symbols))
+    def unpacked(cls, packed: bytes, edges: np.ndarray) -> "Network":
+        return cls(cls.views(np.frombuffer(packed, np.float32), edges), edges)
 
     @classmethod
-    def views(cls, flat: np.ndarray, symbols: int) -> dict[str, np.ndarray]:
+    def views(cls, flat: np.ndarray, edges: np.ndarray) -> dict[str, np.ndarray]:
         at, w = 0, {}
-        for k, shape in cls.shapes(symbols).items():
+        for k, shape in cls.shapes(edges).items():
             n = int(np.prod(shape))
             w[k] = flat[at:at + n].reshape(shape)
             at += n
         return w
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def by_class(edges: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(order, class in that order, [(class, start, stop)] of classes with more than one symbol) of target symbols."""
+    class_of = np.repeat(np.arange(len(edges) - 1, dtype=np.uint16 if len(edges) < 65536 else np.uint32), np.diff(edges))
+    of = class_of[target]
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    cuts = np.searchsorted(of, np.arange(len(edges)))
+    wide = np.flatnonzero((np.diff(edges) > 1) & (np.diff(cuts) > 0)).tolist()
+    return order, of, [(k, int(cuts[k]), int(cuts[k + 1])) for k in wide]
 
 
 def lanes(sizes: np.ndarray, width: int) -> list[list[int]]:
-    """Documents dealt to lanes, the longest first to the shortest lane."""
+    """Documents dealt to lanes, the longest first to the shortest lane; the longest lane first."""
     width = max(1, min(width, len(sizes)))
     heap, dealt = [(0, k) for k in range(width)], [[] for _ in range(width)]
     for i in np.argsort(-sizes, kind="stable").tolist():
         total, k = heapq.heappop(heap)
         dealt[k].append(i)
         heapq.heappush(heap, (total + int(sizes[i]), k))
-    return dealt
+    return [dealt[k] for _, k in sorted(heap, key=lambda lane: -lane[0])]
 
 
 def layout(symbols: np.ndarray, sizes: np.ndarray, width: int, end: int):
@@ -213,39 +236,65 @@ def layout(symbols: np.ndarray, sizes: np.ndarray, width: int, end: int):
     return before, target, fresh, doc
 
 
+def running(doc: np.ndarray, start: int) -> int:
+    """How many lanes go on at a step: those before the first that has ended."""
+    return int((doc[start] >= 0).sum())
+
+
 def log_likelihood(net: Network, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Natural log probability of each document's symbols; documents follow one another in `symbols`."""
     out = np.zeros(len(sizes))
     if not len(sizes):
         return out
-    w = net.w
-    classes, per_class = w["o"].shape
+    long = sizes > 2 * max(1, len(symbols) // LANES)
+    if long.any() and not long.all():  # few long documents would keep many lanes waiting
+        of = np.repeat(long, sizes)
+        for part in (long, ~long):
+            out[part] = log_likelihood(net, symbols[of if part is long else ~of], sizes[part])
+        return out
+    w, edges = net.w, net.edges
     before, target, fresh, doc = layout(symbols, sizes, LANES, len(w["E"]) - 1)
     given = (w["E"] @ w["W"] + w["b"]).astype(np.float32)
+    given[:, : 2 * HIDDEN] *= 0.5
+    up = w["U"].astype(np.float32)
+    up[:, : 2 * HIDDEN] *= 0.5
     h = np.zeros((before.shape[1], HIDDEN), np.float32)
     for start in range(0, len(before), SCORE_WINDOW):
-        part = slice(start, start + SCORE_WINDOW)
-        states = np.empty((len(before[part]), len(h), HIDDEN), np.float32)
-        for j, (x, new) in enumerate(zip(before[part], fresh[part])):
-            if new.any():
-                h = np.where(new[:, None], np.float32(0), h)
-            g, u = given[x], h @ w["U"]
-            gates = _sigmoid(g[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            h = h + z * (np.tanh(g[:, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:]) - h)
-            states[j] = h
+        width = running(doc, start)
+        h, part = h[:width], (slice(start, start + SCORE_WINDOW), slice(0, width))
         live = doc[part] >= 0
+        states = np.empty((len(live), len(h), HIDDEN), np.float32)
+        some = fresh[part].any(axis=1).tolist()
+        for j, x in enumerate(before[part]):
+            if some[j]:
+                h = np.where(fresh[start + j, :width, None], np.float32(0), h)
+            u = h @ up
+            g = given.take(x, axis=0)
+            gates = np.tanh(g[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
+            gates += 1
+            gates *= 0.5
+            u = u[:, 2 * HIDDEN:]
+            u *= gates[:, HIDDEN:]
+            u += g[:, 2 * HIDDEN:]
+            new = np.tanh(u, out=u)
+            new -= h
+            new *= gates[:, :HIDDEN]
+            h = h + new
+            states[j] = h
         s, t, d = states[live], target[part][live], doc[part][live]
-        of, place = t // per_class, t % per_class
-        logits = s @ w["C"] + w["c"]
-        found = (logits[np.arange(len(t)), of] - np.log(np.exp(logits).sum(axis=1))).astype(np.float64)
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(classes + 1))
-        for c in range(classes):
-            rows = order[edges[c]:edges[c + 1]]
-            if len(rows):
-                logits = s[rows] @ w["O"][c].T + w["o"][c]
-                found[rows] += logits[np.arange(len(rows)), place[rows]] - np.log(np.exp(logits).sum(axis=1))
+        order, of, wide = by_class(edges, t)
+        s, t, d = s[order], t[order], d[order]
+        logits = s @ w["C"]
+        logits += w["c"]
+        found = logits[np.arange(len(t)), of].astype(np.float64)
+        np.exp(logits, out=logits)
+        found -= np.log(logits.sum(axis=1))
+        for k, lo, hi in wide:
+            logits = s[lo:hi] @ w["O"][edges[k]:edges[k + 1]].T
+            logits += w["o"][edges[k]:edges[k + 1]]
+            found[lo:hi] += logits[np.arange(hi - lo), t[lo:hi] - edges[k]]
+            np.exp(logits, out=logits)
+            found[lo:hi] -= np.log(logits.sum(axis=1))
         out += np.bincount(d, weights=found, minlength=len(sizes))
     return out
 
@@ -257,9 +306,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def train_window(w: dict, h: np.ndarray, before, target, fresh, live, grad: dict | None = None):
+def train_window(w: dict, edges: np.ndarray, h: np.ndarray, before, target, fresh, live, grad: dict | None = None):
     """(loss, gradients, last state) of one window; the state that enters it is a constant."""
-    H, (steps, width), (classes, per_class) = HIDDEN, before.shape, w["o"].shape
+    H, (steps, width) = HIDDEN, before.shape
     kind = w["E"].dtype
     grad = {k: np.empty_like(v) for k, v in w.items()} if grad is None else grad
     given = w["E"].take(before.ravel(), axis=0)
@@ -291,29 +340,24 @@ def train_window(w: dict, h: np.ndarray, before, target, fresh, live, grad: dict
     # tokens sorted by class, the second softmax class by class
     tokens = np.flatnonzero(live)
     t = target.ravel()[tokens]
-    order = np.argsort((t // per_class).astype(np.uint16), kind="stable")
+    order, of, wide = by_class(edges, t)
     tokens, t = tokens[order], t[order]
     s = states.transpose(0, 2, 1).reshape(-1, H).take(tokens, axis=0)
-    count, of, place, rows = max(1, len(t)), t // per_class, t % per_class, np.arange(len(t))
+    count, rows = max(1, len(t)), np.arange(len(t))
     p = _softmax(s @ w["C"] + w["c"])
     loss = -np.log(p[rows, of]).sum()
     p[rows, of] -= 1
     grad["C"][:], grad["c"][:] = s.T @ p, p.sum(axis=0)
     ds = p @ w["C"].T
-    edges = np.searchsorted(of, np.arange(classes + 1)).tolist()
-    right = np.empty(len(t), kind)
-    for c, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        if lo == hi:
-            grad["O"][c] = grad["o"][c] = 0
-            continue
-        here = s[lo:hi]
-        q, at = _softmax(here @ w["O"][c].T + w["o"][c]), (rows[: hi - lo], place[lo:hi])
-        right[lo:hi] = q[at]
+    grad["O"][:] = grad["o"][:] = 0
+    for k, lo, hi in wide:
+        here, own = s[lo:hi], slice(edges[k], edges[k + 1])
+        q, at = _softmax(here @ w["O"][own].T + w["o"][own]), (rows[: hi - lo], t[lo:hi] - edges[k])
+        loss -= np.log(q[at]).sum()
         q[at] -= 1
-        np.matmul(q.T, here, out=grad["O"][c])
-        np.sum(q, axis=0, out=grad["o"][c])
-        ds[lo:hi] += q @ w["O"][c]
-    loss -= np.log(right).sum()
+        np.matmul(q.T, here, out=grad["O"][own])
+        np.sum(q, axis=0, out=grad["o"][own])
+        ds[lo:hi] += q @ w["O"][own]
     for k in ("C", "c", "O", "o"):
         grad[k] /= count
     back = np.zeros((steps * width, H), kind)
@@ -353,16 +397,17 @@ def train(net: Network, symbols: np.ndarray, sizes: np.ndarray) -> Network:
         _LIBC.mallopt(-1, 1 << 28)
     if not len(sizes):
         return net
-    known = len(net.w["E"])
+    known, edges = len(net.w["E"]), net.edges
     flat = np.frombuffer(net.packed(), np.float32).copy()
     grads, m, v, work = (np.zeros_like(flat) for _ in range(4))
-    w, grad = Network.views(flat, known), Network.views(grads, known)
+    w, grad = Network.views(flat, edges), Network.views(grads, edges)
     width = min(MOST_LANES, max(TRAIN_LANES, len(symbols) // LANE_WORDS))
     before, target, fresh, doc = layout(symbols, sizes, width, known - 1)
     h = np.zeros((before.shape[1], HIDDEN), np.float32)
     for number, start in enumerate(range(0, len(before), WINDOW), 1):
-        part = slice(start, start + WINDOW)
-        _, _, h = train_window(w, h, before[part], target[part], fresh[part], doc[part] >= 0, grad)
+        width = running(doc, start)
+        h, part = h[:width], (slice(start, start + WINDOW), slice(0, width))
+        _, _, h = train_window(w, edges, h, before[part], target[part], fresh[part], doc[part] >= 0, grad)
         grads *= np.float32(min(1.0, 1.0 / max(np.sqrt(grads @ grads), 1e-12)))
         m *= np.float32(0.9)
         np.multiply(grads, np.float32(0.1), out=work)
@@ -375,9 +420,9 @@ def train(net: Network, symbols: np.ndarray, sizes: np.ndarray) -> Network:
         np.sqrt(work, out=work)
         work += np.float32(1e-8)
         np.divide(m, work, out=work)
-        work *= np.float32(RATE / (1 - 0.9**number))
+        work *= np.float32(RATE * min(1.0, number / WARM) * (1 - 0.9 * start / len(before)) / (1 - 0.9**number))
         flat -= work
-    return Network(w)
+    return Network(w, edges)
 
 
 class Vocabulary:
@@ -406,12 +451,12 @@ class Vocabulary:
         return np.insert(symbols, np.cumsum(sizes), self.size - 1)
 
 
-ENCODED = "shard int, key long, symbols binary"
+ENCODED = "shard long, slice int, key long, symbols binary"
 
 
-def _encode(vocabulary: Vocabulary, shards: int):
-    """The symbols of every training text."""
-    kind = np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
+def _encode(vocabulary: Vocabulary, labels: np.ndarray):
+    """The symbols of every training text, with its shard and slice."""
+    kind, shards = np.uint16 if vocabulary.size <= 1 << 16 else np.uint32, len(labels)
 
     def run(batches):
         for pdf in batches:
@@ -420,38 +465,45 @@ def _encode(vocabulary: Vocabulary, shards: int):
                 stops, keys = np.cumsum(row.sizes), np.asarray(row.keys, np.int64)
                 own = np.flatnonzero(np.asarray(row.learn, bool)).tolist()
                 yield pd.DataFrame({
-                    "shard": keys[own] % shards, "key": keys[own],
+                    "shard": labels[keys[own] % shards], "slice": (keys[own] // shards % SLICES).astype(np.int32), "key": keys[own],
                     "symbols": [symbols[stops[i] - row.sizes[i]:stops[i]].tobytes() for i in own],
                 })
 
     return run
 
 
+def _shard_labels(spark: SparkSession, shards: int) -> np.ndarray:
+    """A number for each shard, such that Spark's hash puts each into a bucket of its own."""
+    numbers = spark.range(shards * 64).select("id", F.pmod(F.hash("id"), F.lit(shards)).alias("bucket"))
+    found = dict(numbers.groupBy("bucket").agg(F.min("id")).collect())  # a row per shard
+    return np.array([found.get(k, k) for k in range(shards)], np.int64)
+
+
 def _train_shard(packed: bytes, vocabulary: Vocabulary):
-    kind = np.uint16 if vocabulary.size <= 1 << 16 else np.uint32
+    kind, edges = np.uint16 if vocabulary.size <= 1 << 16 else np.uint32, class_edges(vocabulary.frequencies)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
         sizes = pdf["symbols"].str.len().to_numpy(np.int64) // np.dtype(kind).itemsize
         symbols = np.frombuffer(b"".join(pdf["symbols"]), kind)
-        net = train(Network.unpacked(packed, vocabulary.size), vocabulary.with_ends(symbols, sizes), sizes + 1)
+        net = train(Network.unpacked(packed, edges), vocabulary.with_ends(symbols, sizes), sizes + 1)
         flat = np.frombuffer(net.packed(), np.float32)
-        cuts = range(0, len(flat), SLICE)
+        cuts = range(0, len(flat), PIECE)
         return pd.DataFrame({
-            "slice": range(len(cuts)), "shard": pdf["shard"].iat[0], "tokens": int(sizes.sum() + len(sizes)),
-            "weights": [flat[a:a + SLICE].tobytes() for a in cuts],
+            "piece": range(len(cuts)), "shard": pdf["shard"].iat[0], "tokens": int(sizes.sum() + len(sizes)),
+            "weights": [flat[a:a + PIECE].tobytes() for a in cuts],
         })
 
     return run
 
 
 def _average(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One slice of the weights of all shards, each by its share of the tokens."""
+    """One piece of the weights of all shards, each by its share of the tokens."""
     pdf = pdf.sort_values("shard")
     total, tokens = 0.0, float(pdf["tokens"].sum())
     for weights, n in zip(pdf["weights"], pdf["tokens"]):
         total = total + np.frombuffer(weights, np.float32) * (n / tokens)
-    return pd.DataFrame({"slice": [pdf["slice"].iat[0]], "weights": [total.astype(np.float32).tobytes()]})
+    return pd.DataFrame({"piece": [pdf["piece"].iat[0]], "weights": [total.astype(np.float32).tobytes()]})
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -476,7 +528,7 @@ def _score(net_packed: bytes, vocabulary: Vocabulary):
         known = total((counts > 0).astype(float), float(vocabulary.ends > 0))
         symbols = vocabulary.encode(words)
         rare = np.where(symbols == vocabulary.size - 2, np.log((counts + 1.0) / vocabulary.rare_total), 0.0)
-        net = Network.unpacked(net_packed, vocabulary.size)
+        net = Network.unpacked(net_packed, class_edges(vocabulary.frequencies))
         likely = log_likelihood(net, vocabulary.with_ends(symbols[places], sizes), sizes + 1) + total(rare, 0.0)
         return pd.DataFrame({
             "doc_id": pd.array(list(row["ids"]), "Int64"), "held_out": np.asarray(row["held"], bool), "n_tokens": sizes + 1,
@@ -521,12 +573,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     net = Network.first(vocabulary.frequencies).packed()
     if n_docs:
-        shards = max(SHARDS, -(-n_words // SHARD_WORDS))
-        encoded = saved(tokens.mapInPandas(_encode(vocabulary, shards), ENCODED), "encoded")
-        for _ in range(ROUNDS):
-            trained = encoded.groupBy("shard").applyInPandas(released_group(_train_shard(net, vocabulary)), "slice int, shard int, tokens long, weights binary")
-            slices = trained.groupBy("slice").applyInPandas(_average, "slice int, weights binary").orderBy("slice").collect()
-            net = b"".join(x["weights"] for x in slices)
+        labels = _shard_labels(spark, max(SHARDS, -(-n_words // SHARD_WORDS)))
+        name = f"shards_{uuid.uuid4().hex}"
+        encoded = tokens.mapInPandas(_encode(vocabulary, labels), ENCODED).repartition(len(labels), "shard")
+        (
+            encoded.write.format("parquet").option("path", work_path(spark, "shards"))
+            .partitionBy("slice").bucketBy(len(labels), "shard").saveAsTable(name)
+        )
+        for k in range(SLICES):
+            texts = spark.table(name).where(F.col("slice") == k)
+            trained = texts.groupBy("shard").applyInPandas(released_group(_train_shard(net, vocabulary)), "piece int, shard long, tokens long, weights binary")
+            pieces = trained.groupBy("piece").applyInPandas(_average, "piece int, weights binary").orderBy("piece").collect()
+            net = b"".join(x["weights"] for x in pieces) or net
+        spark.sql(f"DROP TABLE {name}")
     replies = counted.where("chunk >= 0").select("chunk", "bucket", "counts")
     return tokens.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_score(net, vocabulary), SCORED)
 
