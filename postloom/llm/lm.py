@@ -48,7 +48,7 @@ RATE, WARM = 0.01, 50
 LANE_WORDS, MOST_LANES = 8192, 256
 #: Weights are averaged in pieces of so many numbers.
 PIECE = 16_384
-LANES, SCORE_WINDOW = 512, 128
+LANES, SCORE_WINDOW, GROUP_BITS = 512, 128, 2
 _LOG10 = np.log(10.0)
 #: Words are counted by power of two of their count, up to this many.
 LEVELS = 48
@@ -254,47 +254,49 @@ def log_likelihood(net: Network, symbols: np.ndarray, sizes: np.ndarray) -> np.n
         return out
     w, edges = net.w, net.edges
     before, target, fresh, doc = layout(symbols, sizes, LANES, len(w["E"]) - 1)
-    given = (w["E"] @ w["W"] + w["b"]).astype(np.float32)
-    given[:, : 2 * HIDDEN] *= 0.5
-    up = w["U"].astype(np.float32)
-    up[:, : 2 * HIDDEN] *= 0.5
-    h = np.zeros((before.shape[1], HIDDEN), np.float32)
+    # lanes and tokens are the last axis: every step works on contiguous rows
+    given, up = (np.ascontiguousarray(x.T, np.float32) for x in (w["E"] @ w["W"] + w["b"], w["U"]))
+    given[: 2 * HIDDEN] *= 0.5
+    up[: 2 * HIDDEN] *= 0.5
+    h = np.zeros((HIDDEN, before.shape[1]), np.float32)
     for start in range(0, len(before), SCORE_WINDOW):
         width = running(doc, start)
-        h, part = h[:width], (slice(start, start + SCORE_WINDOW), slice(0, width))
+        h, part = h[:, :width], (slice(start, start + SCORE_WINDOW), slice(0, width))
         live = doc[part] >= 0
-        states = np.empty((len(live), len(h), HIDDEN), np.float32)
+        g = given.take(before[part].ravel(), axis=1).reshape(3 * HIDDEN, len(live), width)
+        states = np.empty((len(live), HIDDEN, width), np.float32)
         some = fresh[part].any(axis=1).tolist()
-        for j, x in enumerate(before[part]):
+        for j in range(len(live)):
             if some[j]:
-                h = np.where(fresh[start + j, :width, None], np.float32(0), h)
-            u = h @ up
-            g = given.take(x, axis=0)
-            gates = np.tanh(g[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
+                h = h * ~fresh[start + j, :width]
+            u = up @ h
+            gates, new = u[: 2 * HIDDEN], u[2 * HIDDEN:]
+            gates += g[: 2 * HIDDEN, j]
+            np.tanh(gates, out=gates)
             gates += 1
             gates *= 0.5
-            u = u[:, 2 * HIDDEN:]
-            u *= gates[:, HIDDEN:]
-            u += g[:, 2 * HIDDEN:]
-            new = np.tanh(u, out=u)
+            new *= gates[HIDDEN:]
+            new += g[2 * HIDDEN:, j]
+            np.tanh(new, out=new)
             new -= h
-            new *= gates[:, :HIDDEN]
-            h = h + new
-            states[j] = h
-        s, t, d = states[live], target[part][live], doc[part][live]
-        order, of, wide = by_class(edges, t)
-        s, t, d = s[order], t[order], d[order]
-        logits = s @ w["C"]
-        logits += w["c"]
-        found = logits[np.arange(len(t)), of].astype(np.float64)
+            new *= gates[:HIDDEN]
+            h = np.add(h, new, out=states[j])
+        tokens = np.flatnonzero(live)
+        order, of, wide = by_class(edges, target[part].ravel()[tokens])
+        tokens = tokens[order]
+        t, d = target[part].ravel()[tokens], doc[part].ravel()[tokens]
+        s = states.transpose(1, 0, 2).reshape(HIDDEN, -1).take(tokens, axis=1)
+        logits = w["C"].T @ s
+        logits += w["c"][:, None]
+        found = logits[of, np.arange(len(t))].astype(np.float64)
         np.exp(logits, out=logits)
-        found -= np.log(logits.sum(axis=1))
+        found -= np.log(logits.sum(axis=0))
         for k, lo, hi in wide:
-            logits = s[lo:hi] @ w["O"][edges[k]:edges[k + 1]].T
-            logits += w["o"][edges[k]:edges[k + 1]]
-            found[lo:hi] += logits[np.arange(hi - lo), t[lo:hi] - edges[k]]
+            logits = w["O"][edges[k]:edges[k + 1]] @ s[:, lo:hi]
+            logits += w["o"][edges[k]:edges[k + 1], None]
+            found[lo:hi] += logits[t[lo:hi] - edges[k], np.arange(hi - lo)]
             np.exp(logits, out=logits)
-            found[lo:hi] -= np.log(logits.sum(axis=1))
+            found[lo:hi] -= np.log(logits.sum(axis=0))
         out += np.bincount(d, weights=found, minlength=len(sizes))
     return out
 
@@ -510,30 +512,37 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _score(net_packed: bytes, vocabulary: Vocabulary):
-    def run(tokens: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        if not len(tokens):
-            return pd.DataFrame({c.split()[0]: [] for c in SCORED.split(", ")})
-        row = tokens.iloc[0]
-        sizes, places = np.asarray(row["sizes"], np.int64), _from_planes(row["places"])
-        words = np.frombuffer(row["words"], np.uint64)
-        parts = [_from_planes(c) for c in replies.sort_values("bucket")["counts"]]
-        counts = np.concatenate([*parts, np.zeros(0, np.int64)])
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-
-        def total(per_word, at_end):
-            return np.bincount(doc, weights=per_word[places], minlength=len(sizes)) + at_end
+    """Scores of the batches of one group, whose documents share lanes."""
+    edges = class_edges(vocabulary.frequencies)
 
+    def run(tokens: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        net, done, all_symbols, all_sizes = Network.unpacked(net_packed, edges), [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        replies = dict(iter(replies.sort_values("bucket").groupby("chunk")))
         scale = np.log10(vocabulary.tokens + vocabulary.known + 1)
-        base = total(np.log10(counts + 1.0) - scale, np.log10(vocabulary.ends + 1.0) - scale)
-        known = total((counts > 0).astype(float), float(vocabulary.ends > 0))
-        symbols = vocabulary.encode(words)
-        rare = np.where(symbols == vocabulary.size - 2, np.log((counts + 1.0) / vocabulary.rare_total), 0.0)
-        net = Network.unpacked(net_packed, class_edges(vocabulary.frequencies))
-        likely = log_likelihood(net, vocabulary.with_ends(symbols[places], sizes), sizes + 1) + total(rare, 0.0)
-        return pd.DataFrame({
-            "doc_id": pd.array(list(row["ids"]), "Int64"), "held_out": np.asarray(row["held"], bool), "n_tokens": sizes + 1,
-            "n_known": known.astype(np.int64), "train_tokens": vocabulary.tokens, "base_score": base, "score": likely / _LOG10,
-        })
+        for row in tokens.sort_values("chunk").itertuples():
+            sizes, places = np.asarray(row.sizes, np.int64), _from_planes(row.places)
+            words = np.frombuffer(row.words, np.uint64)
+            counts = np.concatenate([np.zeros(0, np.int64), *(_from_planes(c) for c in replies[row.chunk]["counts"])]) if len(words) else np.zeros(0, np.int64)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+
+            def total(per_word, at_end):
+                return np.bincount(doc, weights=per_word[places], minlength=len(sizes)) + at_end
+
+            base = total(np.log10(counts + 1.0) - scale, np.log10(vocabulary.ends + 1.0) - scale)
+            known = total((counts > 0).astype(float), float(vocabulary.ends > 0))
+            symbols = vocabulary.encode(words)
+            rare = np.where(symbols == vocabulary.size - 2, np.log((counts + 1.0) / vocabulary.rare_total), 0.0)
+            all_symbols.append(vocabulary.with_ends(symbols[places], sizes))
+            all_sizes.append(sizes + 1)
+            done.append(pd.DataFrame({
+                "doc_id": pd.array(list(row.ids), "Int64"), "held_out": np.asarray(row.held, bool), "n_tokens": sizes + 1,
+                "n_known": known.astype(np.int64), "train_tokens": vocabulary.tokens, "base_score": base, "score": total(rare, 0.0),
+            }))
+        if not done:
+            return pd.DataFrame({c.split()[0]: [] for c in SCORED.split(", ")})
+        found = pd.concat(done, ignore_index=True)
+        found["score"] = (found["score"] + log_likelihood(net, np.concatenate(all_symbols), np.concatenate(all_sizes))) / _LOG10
+        return found
 
     return run
 
@@ -587,7 +596,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             net = b"".join(x["weights"] for x in pieces) or net
         spark.sql(f"DROP TABLE {name}")
     replies = counted.where("chunk >= 0").select("chunk", "bucket", "counts")
-    return tokens.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(_score(net, vocabulary), SCORED)
+    # neighbouring batches of a task are scored together: a long document then keeps fewer lanes waiting
+    group = F.shiftright("chunk", GROUP_BITS).alias("group")
+    tokens, replies = tokens.select("*", group), replies.select("*", group)
+    return tokens.groupBy("group").cogroup(replies.groupBy("group")).applyInPandas(released_group(_score(net, vocabulary)), SCORED)
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
