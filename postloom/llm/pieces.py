@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.store import small_batches
-from postloom.llm.words import chunks, mix, released
+from postloom.llm.words import chunks, mix, release, released
 
 OFFSET, SAMPLES = 10.0, 2
-CHUNK = 2_500_000
+CHUNK = 1_000_000
 MARK = 0x2581
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _MISS = -1
@@ -376,7 +376,12 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, model: str | None =
                         exact = pieces.decode(ids) == (texts[start + d] or "")
                         name = names[start + d]
                         rows.append((None if pd.isna(name) else int(name), rank, len(ids), log_prob, perturbed, included, log_included, exact, ids.tobytes()))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SAMPLED.split(", ")]).astype({"doc_id": "Int64"})
+                del batch, found, least
+                out = pd.DataFrame(rows, columns=[c.split()[0] for c in SAMPLED.split(", ")]).astype({"doc_id": "Int64"})
+                del rows
+                yield out
+                del out
+                release()
 
     key = F.coalesce(F.xxhash64(id_col), F.lit(0)) if id_col in docs.columns else F.lit(0)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key")).mapInPandas(released(run), SAMPLED)
