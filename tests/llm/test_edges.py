@@ -79,8 +79,59 @@ def test_exact_dedup(spark, docs, empty):
     assert not any(r.kept for r in again) and all(r.seen_before for r in again)
     assert index.rows().count() == len({r.text_sha256 for r in found})
     assert exact_dedup.group_copies(empty, index).count() == 0
-    reopened = exact_dedup.DigestIndex(spark, index.path, index.buckets)
-    assert not any(r.kept for r in exact_dedup.group_copies(docs, reopened).collect())
+    index.close()
+    with exact_dedup.DigestIndex(spark, index.path) as reopened:
+        assert not any(r.kept for r in exact_dedup.group_copies(docs, reopened).collect())
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, index.path, index.buckets + 1)
+
+
+def test_index_rejects_what_it_holds(spark):
+    rows = spark.createDataFrame([(i, f"text {i % 30}") for i in range(100)], "doc_id long, text string")
+    let_in, admit = [], exact_dedup.DigestIndex.admit
+
+    class Counting(exact_dedup.DigestIndex):
+        def admit(self, batch, label):
+            new = admit(self, batch, label)
+            let_in.append((batch.count(), new.count()))
+            return new
+
+    with Counting(spark, exact_dedup.work_path(spark, "o'index"), 4) as index:
+        found = exact_dedup.group_copies(rows, index).collect()
+    assert {(r.doc_id, r.keep_id, r.kept) for r in found} == {(i, i % 30, i < 30) for i in range(100)}
+    assert sum(new for _, new in let_in) == 30 and sum(n for n, _ in let_in) > 80 and let_in[-2][1] == 0
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        with exact_dedup.fresh_index(spark, 10) as index:
+            assert index.buckets == 200
+            joined = rows.selectExpr("unhex(sha2(text, 256)) AS digest", "doc_id AS first_id").dropDuplicates(["digest"])
+            index.admit(joined)
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            assert joined.join(index.rows().select("digest").hint("merge"), "digest", "left_anti").rdd.getNumPartitions() == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digests_") and t.name.endswith(index.name)]
+
+
+SAME = "one two three four five six seven eight nine ten"
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.stage_exact_dedup, jaccard.stage_near_dedup])
+def test_ids_that_repeat_lose_no_text(spark, stage):
+    """An id with a copy of another row's text and a text of its own loses the copy only."""
+    rows = [(0, SAME), (1, SAME), (1, "a text that no other row has at all"), (2, "y y y y y y z"), (2, "y y y y y y z"), (3, ""), (3, "alone here now")]
+    frame = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], "doc_id long, text string, lang string, node string, row int")
+    kept = stage(spark, frame, "")
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted({rows[0], *rows[2:4], *rows[5:]})
+    assert stage(spark, frame.limit(0), "").count() == 0
+
+
+def test_graph_ends_by_comparing_edges(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
+    found = {r.node: r.component for r in jaccard.components(edges).collect()}
+    assert found == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
 def test_language_model(docs, empty):
