@@ -32,13 +32,15 @@ def components(edges: DataFrame) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")).distinct(),
         "edges",
     )
-    seen = None
+    seen = last = None
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("big", "small") % 1_000_003)).first()
-        if mark == seen or mark[0] == 0:
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first()
+        # equal marks may be chance: the edges themselves must be those of the round before
+        if mark[0] == 0 or (mark == seen and now.join(last, ["big", "small"], "left_anti").isEmpty()):
             return now.select(F.col("big").alias("node"), F.col("small").alias("component")).union(
                 now.select("small", "small").distinct()
             )
-        seen, before = mark, now
-        now = saved(_stars(before), "edges")
-        forget(before)
+        if last is not None:
+            forget(last)
+        seen, last = mark, now
+        now = saved(_stars(last), "edges")

@@ -252,11 +252,18 @@ def _links(sets: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    out = _linked(docs.where("doc_id IS NOT NULL")).select("doc_id", "n", "component_id")
+    unnamed = docs.where("doc_id IS NULL").select("text").mapInPandas(_sizes, "n long")
+    unnamed = unnamed.select(F.lit(None).cast("bigint").alias("doc_id"), "n", F.lit(None).cast("bigint").alias("component_id"))
+    return out.union(unnamed).withColumnRenamed("n", "n_shingles")
+
+
+def _linked(known: DataFrame) -> DataFrame:
+    """One row per row of `known` (doc_id, text): doc_id, n, node (the set, whatever the row), component_id."""
+    spark = known.sparkSession
     small_batches(spark)
     buckets = 2 * partitions(spark)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    known = docs.where("doc_id IS NOT NULL")
     first = known.mapInPandas(released(_first_emit(buckets)), FIRST).groupBy("bucket").applyInPandas(released_group(_count_single), COUNTED)
     settled = saved(first.groupBy("chunk").applyInPandas(released_group(_settle), SETTLED), "settled")
     classes = saved(settled.groupBy("node").agg(
@@ -275,10 +282,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # copies of one text make one side skewed; the other has one row per set
     linked = settled.where("n > 0").join(classes, "node")
     bare = settled.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    out = linked.select("doc_id", "n", "component_id").union(bare.select("doc_id", "n", "component_id"))
-    unnamed = docs.where("doc_id IS NULL").select("text").mapInPandas(_sizes, "n long")
-    unnamed = unnamed.select(F.lit(None).cast("bigint").alias("doc_id"), "n", F.lit(None).cast("bigint").alias("component_id"))
-    return out.union(unnamed).withColumnRenamed("n", "n_shingles")
+    return linked.select("doc_id", "n", "node", "component_id").union(bare.select("doc_id", "n", "node", "component_id"))
 
 
 def _sizes(batches):
@@ -291,11 +295,30 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id is its component; rows without id stay."""
-    linked = link_documents(docs)
-    dropped = saved(linked.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    named = with_ids(docs.where("doc_id IS NOT NULL"), dropped, "doc_id", "left_anti")
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group stays: the one whose id is its component; rows without id stay.
+
+    A row whose id is in the table once goes by its id. Rows that share an id go by their own sets: each stays if its
+    id is its component, but one of them only where several are in one component; those without words all stay.
+    """
+    named = docs.where("doc_id IS NOT NULL")
+    linked = saved(_linked(named.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")), "linked")
+    ids = linked.groupBy("doc_id").agg(F.count("*").alias("times"), F.min("component_id").alias("component_id"))
+    shared = saved(ids.where("times > 1").select("doc_id"), "shared-ids")
+    dropped = saved(ids.where("times > 1 OR doc_id <> component_id").select("doc_id"), "dropped")
+    kept = with_ids(named, dropped, "doc_id", "left_anti").unionByName(docs.where("doc_id IS NULL"))
+    if shared.isEmpty():
+        return kept
+    odd = with_ids(named, shared, "doc_id").select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.pandas_udf(_set_node, "long")("text").alias("node")
+    )
+    own = linked.join(shared, "doc_id").where("doc_id = component_id AND n > 0").groupBy("doc_id", "component_id").agg(F.min("node").alias("node"))
+    one = odd.join(own.select("doc_id", "node"), ["doc_id", "node"]).groupBy("doc_id", "node").agg(F.min("row").alias("row"))
+    return kept.unionByName(one.select("row.*")).unionByName(odd.where("node IS NULL").select("row.*"))
+
+
+def _set_node(text: pd.Series) -> pd.Series:
+    """The node of each text's set; none without words."""
+    return pd.Series([_node(s) if len(s) else None for s in shingle_sets(text.tolist())], dtype="Int64")
 
 
 ORACLE = r"""
