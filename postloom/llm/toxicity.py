@@ -7,7 +7,9 @@ model picks the likeliest path; the other stretches have one path only, which is
 The restored text is scored by a logistic model over a lexicon of words.
 
 The character model counts all texts. Word statistics come from at most about LABELS labelled rows and the
-logistic weights from at most about FIT_ROWS of them, both chosen by a hash of the id; equal texts count once.
+logistic weights from at most about FIT_ROWS of them, both chosen by a hash of the id; equal texts count once. These rows
+are restored before they are counted, so an obfuscated insult teaches the word it hides. The lexicon has every word that is
+told apart well enough from chance, whatever their number; the ridge penalty weighs them.
 
 Defined cases: a null or empty text, or one without lexicon words, gets the score of the bias; labels
 that are null are no labels, of contradicting labels the larger counts; rows with a null id are scored
@@ -27,9 +29,9 @@ from postloom.llm.language import remainder
 from postloom.llm.store import saved, small_batches
 from postloom.llm.words import chunks, word_hashes
 
-#: Bounds of the labelled rows that are counted and fitted, and of the lexicon.
-LABELS, FIT_ROWS, LEXICON = 1_000_000, 20_000, 4000
-#: A word enters the lexicon from this many toxic rows and this likelihood ratio statistic on.
+#: Bounds of the labelled rows that are counted and fitted.
+LABELS, FIT_ROWS = 1_000_000, 20_000
+#: A word enters the lexicon from this many toxic rows and this likelihood ratio statistic on, less with few rows (`least`).
 LEAST_ROWS, LEAST_G = 4, 20.0
 #: Besides whole words the lexicon holds their first so many bytes, for insults that are inflected.
 HEADS = (4, 5)
@@ -274,10 +276,21 @@ class Lookup:
         return _pairs(np.concatenate(texts_of), np.concatenate(places))
 
 
-def _word_rows(batches):
-    """Per batch and word: rows and toxic rows that hold it; word 0 has the rows themselves."""
+def least(rows: float) -> tuple[int, float]:
+    """Toxic rows and statistic that a word needs, by the number of labelled rows: with few rows, fewer words are tried."""
+    size = max(10.0, rows)
+    return max(2, min(LEAST_ROWS, round(np.log10(size)))), min(LEAST_G, 2 * np.log(size))
+
+
+def _restored(pdf: pd.DataFrame, model: np.ndarray) -> list[str]:
+    texts = pdf["text"].tolist()
+    return [t for start, stop in chunks(texts) for t in restore(texts[start:stop], model)]
+
+
+def _word_rows(batches, model: np.ndarray):
+    """Per batch and word of the restored texts: rows and toxic rows that hold it; word 0 has the rows themselves."""
     for pdf in batches:
-        names, row = _hashes([(t or "").lower() for t in pdf["text"]])
+        names, row = _hashes(_restored(pdf, model))
         words, row = _pairs(np.concatenate(names), np.tile(row, len(names)))
         toxic = pdf["toxic"].to_numpy(np.int64)
         start = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
@@ -286,10 +299,10 @@ def _word_rows(batches):
         yield pd.DataFrame({"word": np.append(found, 0), "docs": np.append(rows, len(pdf)), "bad": np.append(bad, toxic.sum())})
 
 
-def _features(batches, lexicon: np.ndarray):
+def _features(batches, lexicon: np.ndarray, model: np.ndarray):
     lookup = Lookup(lexicon)
     for pdf in batches:
-        row, place = lookup.found([(t or "").lower() for t in pdf["text"]])
+        row, place = lookup.found(_restored(pdf, model))
         cut = np.searchsorted(row, np.arange(len(pdf) + 1))
         yield pd.DataFrame({"key": pdf["key"], "toxic": pdf["toxic"], "present": [place[a:b] for a, b in zip(cut[:-1], cut[1:])]})
 
@@ -326,7 +339,7 @@ def _fit(width: int):
 
 
 class Scorer:
-    """A fitted model: character bigrams and at most LEXICON word weights."""
+    """A fitted model: character bigrams and word weights."""
 
     def __init__(self, model: np.ndarray, lexicon: np.ndarray, weights: np.ndarray | None):
         self.model, self.lexicon, self.weights = model, lexicon, weights
@@ -347,7 +360,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    counts = char_model(docs)
+    model = log_model(char_model(docs))
     labels = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     share = min(1.0, LABELS / max(1, labels.count()))
@@ -355,11 +368,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     keyed = docs.join(labels, "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("key"))
     once = saved(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "labelled")
     rows = docs.select("doc_id", "text").join(F.broadcast(once), "doc_id")
-    table = saved(rows.select("text", "toxic").mapInPandas(_word_rows, "word long, docs long, bad long").groupBy("word").agg(
-        F.sum("docs").alias("docs"), F.sum("bad").alias("bad")).where(f"word = 0 OR bad >= {LEAST_ROWS}"), "words")
+    table = saved(rows.select("text", "toxic").mapInPandas(lambda x: _word_rows(x, model), "word long, docs long, bad long").groupBy("word").agg(
+        F.sum("docs").alias("docs"), F.sum("bad").alias("bad")).where("word = 0 OR bad >= 2"), "words")
     total = table.where("word = 0").first()
     if total is None or not total["docs"]:
-        return Scorer(log_model(counts), np.zeros(0, np.int64), None)
+        return Scorer(model, np.zeros(0, np.int64), None)
     n, b = F.lit(float(total["docs"])), F.lit(float(total["bad"]))
 
     def part(seen, expected):
@@ -367,19 +380,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     docs_, bad = F.col("docs"), F.col("bad")
     g = part(bad, docs_ * b / n) + part(docs_ - bad, docs_ * (n - b) / n) + part(b - bad, (n - docs_) * b / n) + part(n - b - docs_ + bad, (n - docs_) * (n - b) / n)
-    chosen = table.where("word <> 0").withColumn("g", g).where((F.col("g") >= LEAST_G) & (bad / docs_ > b / n))
-    chosen = chosen.orderBy(F.col("g").desc(), "word").limit(LEXICON).collect()
+    least_rows, least_g = least(total["docs"])
+    chosen = table.where("word <> 0").withColumn("g", g).where((F.col("g") >= least_g) & (bad >= least_rows) & (bad / docs_ > b / n))
+    chosen = chosen.select("word").collect()  # words of at most about LABELS rows
     lexicon = np.sort(np.array([r["word"] for r in chosen], np.int64))
     if not len(lexicon):
-        return Scorer(log_model(counts), lexicon, np.array([np.log(max(total["bad"], 0.5) / max(total["docs"] - total["bad"], 0.5))]))
+        return Scorer(model, lexicon, np.array([np.log(max(total["bad"], 0.5) / max(total["docs"] - total["bad"], 0.5))]))
     share = min(1.0, FIT_ROWS / total["docs"])
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_003)) / 1_000_003 < share)
-    found = sample.select("key", "toxic", "text").mapInPandas(lambda x: _features(x, lexicon), "key long, toxic long, present array<long>")
+    found = sample.select("key", "toxic", "text").mapInPandas(lambda x: _features(x, lexicon, model), "key long, toxic long, present array<long>")
     fitted = found.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fit(len(lexicon)), "at int, weight double").collect()
     weights = np.zeros(len(lexicon) + 1)
     for at, weight in fitted:
         weights[at] = weight
-    return Scorer(log_model(counts), lexicon, weights)
+    return Scorer(model, lexicon, weights)
 
 
 def score(docs: DataFrame, model: Scorer) -> DataFrame:
