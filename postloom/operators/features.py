@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from postloom.functions.text import clean_text, space_words, word_bigrams, word_tokens
 
 
+#: Block and term of the constant feature.
+CONSTANT = ("constant", "")
+
+
 def _clean_docs(docs: DataFrame, doc: str, text: str) -> DataFrame:
     # a fixed number of partitions: the exploded rows far outweigh the input, by whose size
     # AQE would merge partitions
@@ -63,8 +67,34 @@ def feature_union(words: DataFrame, chars: DataFrame) -> DataFrame:
     return words.withColumn("block", F.lit("word")).unionByName(chars.withColumn("block", F.lit("char")))
 
 
-def term_counts(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    return feature_union(word_term_counts(docs, doc, text), char_term_counts(docs, doc, text))
+def term_counts(docs: DataFrame, doc: str = "doc", text: str = "text", constant: bool = False) -> DataFrame:
+    """Counts of both blocks (doc, block, term, tf), from one exchange of the texts.
+
+    A document's words and bigrams, and the words whose n-grams are counted, leave one row together; n-grams are
+    made once per distinct word. With `constant` every document also has the feature CONSTANT once.
+    """
+    cleaned = _clean_docs(docs, doc, text).select("doc", "clean", word_tokens(F.col("clean")).alias("tokens"))
+    marked = [
+        F.transform(F.concat("tokens", word_bigrams(F.col("tokens"))), lambda t: F.struct(F.lit("word").alias("block"), t.alias("term"))),
+        F.transform(space_words(F.col("clean")), lambda t: F.struct(F.lit("char").alias("block"), t.alias("term"))),
+    ]
+    if constant:
+        marked.append(F.array(F.struct(F.lit(CONSTANT[0]).alias("block"), F.lit(CONSTANT[1]).alias("term"))))
+    parts = cleaned.select("doc", F.inline(F.concat(*marked)))
+    counted = parts.groupBy("doc", "block", "term").agg(F.count("*").alias("times"))
+    whole, low, high = F.col("block") != "char", 3, 5
+    padded = counted.withColumn("_padded", F.when(whole, F.col("term")).otherwise(F.concat(F.lit(" "), "term", F.lit(" "))))
+    size = F.length("_padded")
+
+    def starts(n):
+        return F.when(whole, 1).otherwise(F.greatest(F.lit(1), size - n + 1))
+
+    placed = padded.select("doc", "block", "times", "_padded", F.explode(F.sequence(F.lit(1), starts(low))).alias("_at"))
+    sized = placed.select("*", F.explode(F.array(*[F.lit(n) for n in range(low, high + 1)])).alias("_n"))
+    n = F.col("_n")
+    valid = F.when(whole, n == low).otherwise((n <= F.greatest(F.lit(low), size)) & (F.col("_at") <= starts(n)))
+    term = F.when(whole, F.col("_padded")).otherwise(F.substring("_padded", F.col("_at"), n))
+    return sized.where(valid).select("doc", "block", term.alias("term"), "times").groupBy("doc", "block", "term").agg(F.sum("times").alias("tf"))
 
 
 def doc_frequency(counts: DataFrame, n_docs: DataFrame | int, min_df: int = 2) -> DataFrame:

@@ -219,11 +219,12 @@ def dedup_text_lookback(batch: DataFrame, history: DataFrame, span_us: int = HOU
     """Drop posts whose text hash was stored within the last hour, bounds included.
 
     A plain interval join would pair every copy in the batch with every copy in the history;
-    the index makes it an equality join against one row per (hash, bucket).
+    the index makes it an equality join against one row per (hash, bucket). Null hashes equal each other.
     """
     at = F.col("at_us")
-    probe = batch.withColumn("slot", _slot(at, span_us))
-    joined = probe.join(recent_repeat_index(history, span_us), ["text_hash", "slot"], "left")
+    probe = batch.withColumn("_slot", _slot(at, span_us))
+    index = recent_repeat_index(history, span_us).withColumnRenamed("text_hash", "_hash")
+    joined = probe.join(index, F.col("text_hash").eqNullSafe(F.col("_hash")) & (F.col("_slot") == F.col("slot")), "left")
     repeat = F.coalesce(F.col("here_first") <= at, F.lit(False)) | F.coalesce(
         F.col("before_last") >= at - span_us, F.lit(False)
     )

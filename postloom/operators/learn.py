@@ -1,8 +1,10 @@
 """Relevance classifiers: three candidates, out-of-fold scores, tuning, bundle, scoring.
 
-Every candidate ends as one linear rule, p = sigmoid(bias + sum(coef * feature)), stored as a
-relation (block, term, idf, coef). Scoring is a join on terms and two sums per document, so
-neither vocabulary nor documents pass through the driver.
+Every candidate ends as a few linear rules, p = mean of sigmoid(bias + sum(coef * feature)), stored as a
+relation (block, term, idf, coef) with one coefficient per rule: one rule for logistic regression and naive
+Bayes, five for the calibrated SVM, whose fold models are averaged. Scoring is a join on terms and a sum per
+document, so neither vocabulary nor documents pass through the driver. All models of a cross-validation are
+fitted together, on one scan of the counts (`solver.design`).
 """
 
 from __future__ import annotations
@@ -12,70 +14,47 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.operators.evaluate import (
-    balanced_weights,
     class_counts,
     classification_report,
     cv_folds,
     threshold_macro_f1,
     threshold_target_precision,
 )
-from postloom.operators.features import doc_frequency, term_counts, tfidf
-from postloom.operators.ordered import row_numbers
-from postloom.session import cut
+from postloom.operators.features import CONSTANT, term_counts
+from postloom.operators.solver import LOGISTIC, SQUARED_HINGE, Design, Fit, class_sizes, design, sigmoids, solve
+from postloom.session import cut, written
 
 # The candidates and the shortest text of a sample.
 CANDIDATES = ["logreg", "svm", "nb"]
 MIN_TEXT_LENGTH = 30
 #: Term tables up to this many rows (some 60 bytes each) are broadcast for scoring; larger ones are shuffled.
 BROADCAST_TERMS = 1_000_000
-ROWS_PER_TASK = 1000
-PLATT_FOLDS = 5
+CALIBRATION_FOLDS = 5
 CERTAIN = 30.0
+#: A fit ends when its gradient has shrunk by this.
+TOLERANCE = 1e-6
 
 
 @dataclass
 class LinearModel:
-    """Term weights plus bias; `threshold` and `metadata` travel with it in a bundle."""
+    """Term weights plus biases, one of each per rule; `threshold` and `metadata` travel with them in a bundle."""
 
     terms: DataFrame
-    bias: float
+    bias: list[float]
     threshold: float = 0.5
     metadata: dict[str, str] = field(default_factory=dict)
 
 
-def naive_bayes(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """Multinomial naive Bayes with add-one smoothing: (block, term, coef, bias)."""
-    sizes = labels.agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
-    sums = (
-        features.join(labels, "doc")
-        .groupBy("block", "term")
-        .agg(
-            F.sum(F.when(F.col("label") == 1, F.col("value")).otherwise(0.0)).alias("s1"),
-            F.sum(F.when(F.col("label") == 0, F.col("value")).otherwise(0.0)).alias("s0"),
-        )
-    )
-    sums = cut(sums)  # one row per term; the totals need all of them first
-    totals = sums.agg(
-        F.sum("s1").alias("t1"), F.sum("s0").alias("t0"), F.count("*").alias("v")
-    )
-    t1, t0 = totals.select(F.col("t1") + F.col("v")), totals.select(F.col("t0") + F.col("v"))
-    coef = F.log((F.col("s1") + 1) / t1.scalar()) - F.log((F.col("s0") + 1) / t0.scalar())
-    # with one class absent the other is certain
-    odds = F.when(F.col("n0") == 0, F.lit(CERTAIN)).when(F.col("n1") == 0, F.lit(-CERTAIN)).otherwise(F.log(F.col("n1") / F.col("n0")))
-    prior = sizes.select(odds).scalar()
-    return sums.select("block", "term", coef.alias("coef"), prior.alias("bias"))
+def _sigmoid(z):
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def linear_scores(counts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc, z) for documents with a known term: the weighted sum of unit-length features.
+def linear_scores(counts: DataFrame, terms: DataFrame, rules: int) -> DataFrame:
+    """(doc, z_0, …) for documents with a known term: weighted sums of unit-length features, one per rule.
 
     The term table is measured. While it fits, the terms of a document meet it where the document lies, so no
     n-gram moves; beyond that both sides are shuffled by term. The sums are the same.
@@ -83,25 +62,31 @@ def linear_scores(counts: DataFrame, terms: DataFrame) -> DataFrame:
     if terms.count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
     raw = (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")
-    parts = (
-        counts.join(terms, ["block", "term"])
-        .groupBy("doc", "block")
-        .agg(F.sum(raw * F.col("coef")).alias("dot"), F.sum(raw * raw).alias("square"))
-    )
-    return parts.groupBy("doc").agg(F.sum(F.col("dot") / F.sqrt("square")).alias("z"))
+    dots = [F.sum(raw * F.col("coef")[i]).alias(f"dot_{i}") for i in range(rules)]
+    parts = counts.join(terms, ["block", "term"]).groupBy("doc", "block").agg(*dots, F.sum(raw * raw).alias("square"))
+    return parts.groupBy("doc").agg(*[F.sum(F.col(f"dot_{i}") / F.sqrt("square")).alias(f"z_{i}") for i in range(rules)])
+
+
+def _mean_probability(columns) -> Column:
+    return sum((_sigmoid(c) for c in columns[1:]), _sigmoid(columns[0])) / F.lit(float(len(columns)))
 
 
 def score_counts(docs: DataFrame, counts: DataFrame, model: LinearModel) -> DataFrame:
     """(doc, score) for every document; one without known terms gets the prior."""
-    z = docs.select("doc").join(linear_scores(counts, model.terms), "doc", "left")
-    logit = F.coalesce("z", F.lit(0.0)) + F.lit(float(model.bias))
-    return z.select("doc", (F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).alias("score"))
+    z = docs.select("doc").join(linear_scores(counts, model.terms, len(model.bias)), "doc", "left")
+    return z.select("doc", _mean_probability([F.coalesce(f"z_{i}", F.lit(0.0)) + F.lit(x) for i, x in enumerate(model.bias)]).alias("score"))
 
 
 def score_posts(posts: DataFrame, model: LinearModel, doc: str = "post_id", text: str = "text") -> DataFrame:
-    """Probability of class 1 per post."""
+    """Probability of class 1 per post.
+
+    Every post has the constant feature, whose weights are the biases: no post is lost by the join on terms.
+    """
     docs = posts.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    return score_counts(docs, term_counts(docs), model).withColumnRenamed("doc", doc)
+    bias = posts.sparkSession.createDataFrame([(*CONSTANT, 1.0, list(model.bias))], "block string, term string, idf double, coef array<double>")
+    terms = model.terms.select("block", "term", "idf", "coef").union(bias)
+    z = linear_scores(term_counts(docs, constant=True), terms, len(model.bias))
+    return z.select(F.col("doc").alias(doc), _mean_probability([F.col(f"z_{i}") for i in range(len(model.bias))]).alias("score"))
 
 
 def ml_filter(posts: DataFrame, model: LinearModel, doc: str = "post_id", text: str = "text") -> DataFrame:
@@ -110,102 +95,111 @@ def ml_filter(posts: DataFrame, model: LinearModel, doc: str = "post_id", text:
     return scored.withColumn("relevant", F.col("score") >= F.lit(model.threshold))
 
 
-def to_vectors(features: DataFrame, labels: DataFrame, index: DataFrame, size: int) -> DataFrame:
-    """MLlib input (doc, label, weight, features). One sparse vector per document."""
-
-    @F.udf(VectorUDT())
-    def pack(pairs):
-        return Vectors.sparse(size, [p["i"] for p in pairs], [p["value"] for p in pairs])
-
-    packed = (
-        features.join(index, ["block", "term"])
-        .groupBy("doc")
-        .agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("pairs"))
-    )
-    return balanced_weights(labels).join(packed, "doc").select("doc", "label", "weight", pack("pairs").alias("features"))
-
+def _naive_bayes(data: Design, fits: list[Fit]) -> tuple[DataFrame, list[float], DataFrame]:
+    """Multinomial naive Bayes with add-one smoothing for every fit: weights, intercepts, documents with margins."""
+    models, spaces = range(len(fits)), [f.space for f in fits]
+    sizes = class_sizes(data.docs, fits)
+    members = [F.when(f.learns() & (F.col("label") == y), 1.0).otherwise(0.0).alias(f"s{y}_{m}") for m, f in enumerate(fits) for y in (0, 1)]
+    names = [f"s{y}_{m}" for m in models for y in (0, 1)]
+    sums = data.gradients(data.docs.select("doc", *members), names, [s for s in spaces for _ in (0, 1)])
+    filled = [F.coalesce(n, F.lit(0.0)).alias(n) for n in names]
+    idfs = sorted({f"idf_{s}" for s in spaces})
+    sums = written(data.terms.select("tid", *idfs).join(sums, "tid", "left").select("tid", *idfs, *filled), "class-sums")
+    known = {m: F.col(f"idf_{fits[m].space}").isNotNull() for m in models}
+    totals = sums.agg(*[F.sum(F.when(known[m], F.col(f"s{y}_{m}") + 1)) for m in models for y in (0, 1)]).first()
+
+    def coef(m: int):
+        share = [F.log((F.col(f"s{y}_{m}") + 1) / F.lit(float(totals[2 * m + y] or 1.0))) for y in (0, 1)]
+        return F.when(known[m], share[1] - share[0]).otherwise(0.0).alias(f"w_{m}")
+
+    weights = written(sums.select("tid", *[coef(m) for m in models]), "weights")
+    # with one class absent the other is certain
+    bias = [CERTAIN if not s[0] else -CERTAIN if not s[1] else float(np.log(s[1] / s[0])) for s in sizes]
+    found = data.margins(weights, [f"w_{m}" for m in models], spaces)
+    margins = data.docs.join(found, "doc", "left")
+    z = [(F.coalesce(f"w_{m}", F.lit(0.0)) + F.lit(bias[m])).alias(f"z_{m}") for m in models]
+    return weights, bias, written(margins.select(*data.docs.columns, *z), "margins")
 
-def _logreg(c: float, n: int) -> LogisticRegression:
-    # balanced weights sum to n, so 1 / (C n) is the same trade-off as C times a summed loss
-    return LogisticRegression(
-        weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-4
-    )
 
+@dataclass
+class Rule:
+    """One term of a model's mean: sigmoid(slope * margin of the fit + offset)."""
 
-def _svm(c: float, n: int) -> LinearSVC:
-    return LinearSVC(weightCol="weight", regParam=1.0 / (c * n), standardization=False, maxIter=100, tol=1e-4)
+    fit: int
+    slope: float = 1.0
+    offset: float = 0.0
 
 
-def _margins(model, rows: DataFrame) -> DataFrame:
-    margin = vector_to_array(F.col("rawPrediction"))[1]
-    return model.transform(rows).select("label", F.array(margin).alias("m"))
+@dataclass
+class Fitted:
+    """The fits of some models, laid out by term and by document, and the rules of each model."""
 
+    weights: DataFrame
+    intercepts: list[float]
+    docs: DataFrame
+    rules: list[list[Rule]]
 
-def _platt(rows: DataFrame, c: float, n: int, folds: int) -> tuple[float, float]:
-    """Slope and offset of the probability, fitted on out-of-fold margins."""
-    from pyspark.ml.functions import array_to_vector
+    def score(self, model: int):
+        """Probability of a document by one model, from its margins."""
+        return _mean_probability([F.lit(r.slope) * F.col(f"z_{r.fit}") + F.lit(r.offset) for r in self.rules[model]])
 
-    parts = None
-    for i in range(folds):
-        fitted = _svm(c, n).fit(rows.where(F.col("inner") != i))
-        held = _margins(fitted, rows.where(F.col("inner") == i))
-        parts = held if parts is None else parts.unionByName(held)
-    margins = parts.select("label", array_to_vector("m").alias("features"))
-    fitted = LogisticRegression(maxIter=200).fit(margins)
-    return float(fitted.coefficients[0]), float(fitted.intercept)
+    def model(self, data: Design, model: int, space: int) -> LinearModel:
+        coef = F.array(*[F.lit(r.slope) * F.col(f"w_{r.fit}") for r in self.rules[model]]).alias("coef")
+        idf = F.col(f"idf_{space}")
+        terms = data.terms.where(idf.isNotNull()).join(self.weights, "tid").select("block", "term", idf.alias("idf"), coef)
+        bias = [r.slope * float(self.intercepts[r.fit]) + r.offset for r in self.rules[model]]
+        return LinearModel(written(terms, "terms"), bias)
 
 
-def train(name: str, counts: DataFrame, labels: DataFrame, c: float = 1.0, min_df: int = 2) -> LinearModel:
-    """Fit one candidate on term counts (doc, block, term, tf) and labels (doc, label)."""
+def _fit_all(name: str, data: Design, c: float, tol: float) -> Fitted:
+    """One model for each space of the design, which learns from the documents outside the space's fold."""
     if name not in CANDIDATES:
         raise ValueError(f"unknown model: {name}")
-    mine = counts.join(labels.select("doc"), "doc", "left_semi")
-    vocabulary = doc_frequency(mine, labels.agg(F.count("*").alias("n")), min_df)
+    outer = list(enumerate(data.spaces))
     if name == "nb":
-        vocabulary = cut(vocabulary)
-        fitted = cut(naive_bayes(tfidf(mine, vocabulary), labels))
-        bias = fitted.agg(F.first("bias")).first()[0]
-        terms = fitted.drop("bias").join(vocabulary.select("block", "term", "idf"), ["block", "term"])
-        return LinearModel(terms.select("block", "term", "idf", "coef"), float(bias or 0.0))
-
-    ranked = row_numbers(vocabulary.select("block", "term", "idf"), [], ["block", "term"], "i")
-    index = cut(ranked.withColumn("i", (F.col("i") - 1).cast("int")))
-    size = index.count()
-    rows = to_vectors(tfidf(mine, index), labels, index.select("block", "term", "i"), size)
-    n = labels.count()
-    # every iteration of the solvers is a job over these rows: no more tasks than they fill
-    parts = max(1, min(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS_PER_TASK))
-    inner = F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(PLATT_FOLDS)).cast("int")
-    rows = cut(rows.withColumn("inner", inner).repartition(parts, "doc"))
+        fits = [Fit(i, s) for i, s in outer]
+        weights, bias, docs = _naive_bayes(data, fits)
+        return Fitted(weights, bias, docs, [[Rule(i)] for i, _ in outer])
     if name == "logreg":
-        fitted = _logreg(c, n).fit(rows)
-        coefficients, bias = fitted.coefficients.toArray(), float(fitted.intercept)
+        fits, loss = [Fit(i, s) for i, s in outer], LOGISTIC
     else:
-        slope, offset = _platt(rows, c, n, PLATT_FOLDS)
-        fitted = _svm(c, n).fit(rows)
-        coefficients = slope * fitted.coefficients.toArray()
-        bias = slope * float(fitted.intercept) + offset
-    # MLlib keeps the coefficient vector on the driver; it is handed back as a relation
-    table = pd.DataFrame({"i": np.arange(size, dtype=np.int32), "coef": coefficients})
-    weights = counts.sparkSession.createDataFrame(table)
-    return LinearModel(index.join(weights, "i").select("block", "term", "idf", "coef"), bias)
+        fits, loss = [Fit(i, s, j) for i, s in outer for j in range(CALIBRATION_FOLDS)], SQUARED_HINGE
+    solved = solve(data, fits, loss, c, tol)
+    curves = [(1.0, 0.0)] * len(fits) if name == "logreg" else sigmoids(solved.docs, fits)
+    rules = [[] for _ in outer]
+    for m, (fit, sizes) in enumerate(zip(fits, class_sizes(data.docs, fits))):
+        certain = not sizes[0] or not sizes[1]
+        rules[fit.space].append(Rule(m, 0.0, -CERTAIN if not sizes[1] else CERTAIN) if certain else Rule(m, *curves[m]))
+    return Fitted(solved.weights, solved.intercepts.tolist(), solved.docs, rules)
+
+
+def _with_inner(folds: DataFrame) -> DataFrame:
+    """Folds for the calibration, dealt once over all documents."""
+    inner = cv_folds(folds, "doc", CALIBRATION_FOLDS, seed=7).select("doc", F.col("fold").alias("inner"))
+    return folds.select("doc", "label", "fold").join(inner, "doc")
+
+
+def train(name: str, counts: DataFrame, labels: DataFrame, c: float = 1.0, min_df: int = 2, tol: float = TOLERANCE) -> LinearModel:
+    """Fit one candidate on term counts (doc, block, term, tf) and labels (doc, label)."""
+    docs = _with_inner(labels.select("doc", "label", F.lit(0).alias("fold")))
+    with design(counts, docs, [None], min_df) as data:
+        return _fit_all(name, data, c, tol).model(data, 0, 0)
+
+
+def _out_of_fold(fitted: Fitted, k: int) -> DataFrame:
+    scores = F.coalesce(*[F.when(F.col("fold") == i, fitted.score(i)) for i in range(k)])
+    return fitted.docs.select("doc", "label", scores.alias("score"))
 
 
 def cv_out_of_fold(
-    name: str, docs: DataFrame, counts: DataFrame, folds: DataFrame, k: int = 5, c: float = 1.0, min_df: int = 2
+    name: str, docs: DataFrame, counts: DataFrame, folds: DataFrame, k: int = 5, c: float = 1.0, min_df: int = 2, tol: float = TOLERANCE
 ) -> DataFrame:
     """(doc, label, score) scored by a model that never saw the document.
 
-    Vocabulary and idf are refitted without the held-out fold; token counts are shared.
+    Vocabulary and idf leave out the held-out fold: totals less the fold's share, for all folds at once.
     """
-    parts = None
-    for i in range(k):
-        model = train(name, counts, folds.where(F.col("fold") != i).select("doc", "label"), c, min_df)
-        held = folds.where(F.col("fold") == i)
-        held_counts = counts.join(held.select("doc"), "doc", "left_semi")
-        scored = held.select("doc", "label").join(score_counts(held, held_counts, model), "doc")
-        parts = scored if parts is None else parts.unionByName(scored)
-    return parts
+    with design(counts, _with_inner(folds), list(range(k)), min_df) as data:
+        return written(_out_of_fold(_fit_all(name, data, c, tol), k), "out-of-fold")
 
 
 def prepare(samples: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -213,30 +207,33 @@ def prepare(samples: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     return cut(term_counts(samples)), cut(cv_folds(samples, "doc", k))
 
 
-def benchmark_models(samples: DataFrame, names: list[str] | None = None, k: int = 5, c: float = 1.0) -> DataFrame:
-    """Cross-validated report of each candidate; class 1 is called from 0.5."""
+def benchmark_models(samples: DataFrame, names: list[str] | None = None, k: int = 5, c: float = 1.0, tol: float = TOLERANCE) -> DataFrame:
+    """Cross-validated report of each candidate, all on one design; class 1 is called from 0.5."""
     counts, folds = prepare(samples, k)
     reports = None
-    for name in names or CANDIDATES:
-        scored = cv_out_of_fold(name, samples, counts, folds, k, c)
-        called = scored.withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
-        report = classification_report(called).withColumn("model", F.lit(name))
-        reports = report if reports is None else reports.unionByName(report)
+    with design(counts, _with_inner(folds), list(range(k))) as data:
+        for name in names or CANDIDATES:
+            scored = written(_out_of_fold(_fit_all(name, data, c, tol), k), "out-of-fold")
+            called = scored.withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
+            report = classification_report(called).withColumn("model", F.lit(name))
+            reports = report if reports is None else reports.unionByName(report)
     return reports
 
 
 def fit_and_tune(
-    samples: DataFrame, name: str = "logreg", c: float = 1.0, k: int = 5, target_precision: float | None = None
+    samples: DataFrame, name: str = "logreg", c: float = 1.0, k: int = 5, target_precision: float | None = None, tol: float = TOLERANCE
 ) -> LinearModel:
-    """Choose the threshold on out-of-fold scores, then fit on all rows."""
+    """Choose the threshold on out-of-fold scores; the model itself learns from all rows. Both come from one design."""
     counts, folds = prepare(samples, k)
-    scored = cut(cv_out_of_fold(name, samples, counts, folds, k, c))
+    with design(counts, _with_inner(folds), [*range(k), None]) as data:
+        fitted = _fit_all(name, data, c, tol)
+        scored = written(_out_of_fold(fitted, k), "out-of-fold")
+        model = fitted.model(data, k, k)
     chosen = (
         threshold_macro_f1(scored)
         if target_precision is None
         else threshold_target_precision(scored, target_precision)
     ).first()
-    model = train(name, counts, folds.select("doc", "label"), c)
     sizes = class_counts(folds).first()
     model.threshold = float(chosen["threshold"])
     model.metadata = {
@@ -255,12 +252,12 @@ def fit_and_tune(
 
 
 def save_bundle(model: LinearModel, path: str) -> None:
-    """Term weights and one head row (bias, threshold, metadata), as Parquet."""
+    """Term weights and one head row (biases, threshold, metadata), as Parquet."""
     spark = model.terms.sparkSession
     model.terms.write.mode("overwrite").parquet(f"{path}/terms")
     head = spark.createDataFrame(
-        [(float(model.bias), float(model.threshold), dict(model.metadata))],
-        "bias double, threshold double, metadata map<string,string>",
+        [([float(x) for x in model.bias], float(model.threshold), dict(model.metadata))],
+        "bias array<double>, threshold double, metadata map<string,string>",
     )
     head.write.mode("overwrite").parquet(f"{path}/head")
 
@@ -268,5 +265,5 @@ def save_bundle(model: LinearModel, path: str) -> None:
 def load_bundle(spark, path: str) -> LinearModel:
     head = spark.read.parquet(f"{path}/head").first()
     return LinearModel(
-        spark.read.parquet(f"{path}/terms"), head["bias"], head["threshold"], dict(head["metadata"] or {})
+        spark.read.parquet(f"{path}/terms"), list(head["bias"]), head["threshold"], dict(head["metadata"] or {})
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postloom.schemas import FLAG_DEFAULTS, FLAGS, QUARANTINED, STATUS_RANK, status_rank
+from postloom.schemas import FLAG_DEFAULTS, FLAGS, QUARANTINED, STATUS_RANK, status_rank, with_flag_defaults
 
 
 def status_transition(passed: Column, stage: str) -> Column:
@@ -45,7 +45,11 @@ def active_subscribers(subscribers: DataFrame) -> DataFrame:
 
 
 def subscriber_upsert(profiles: DataFrame, seen: DataFrame) -> DataFrame:
-    """Profiles plus a default one for every sender seen for the first time."""
+    """Profiles plus a default one for every sender seen for the first time.
+
+    Flags that an older table lacks, or leaves null, get their defaults.
+    """
+    profiles = with_flag_defaults(profiles)
     senders = seen.select("platform", "external_id").distinct()
     joined = profiles.join(senders, ["platform", "external_id"], "full_outer")
     flags = [F.coalesce(F.col(f), F.lit(FLAG_DEFAULTS[f])).alias(f) for f in FLAGS]

@@ -14,16 +14,16 @@ from postloom.session import cut, work_path
 
 COUNTS_SQL = f"""{word_terms_sql('samples', 'doc')},
   {char_terms_sql('samples', 'doc')},
-  counts AS (SELECT doc, 'word' AS block, term, tf FROM word_counts
+  counts AS MATERIALIZED (SELECT doc, 'word' AS block, term, tf FROM word_counts
     UNION ALL SELECT doc, 'char' AS block, term, tf FROM char_counts)"""
-VOCABULARY_SQL = """vocabulary AS (
+VOCABULARY_SQL = """vocabulary AS MATERIALIZED (
   SELECT block, term, count(*) AS df, ln((1 + (SELECT count(*) FROM samples)) / (1 + count(*))) + 1 AS idf
   FROM counts GROUP BY 1, 2 HAVING count(*) >= 2)"""
-TFIDF_SQL = """raw AS (
+TFIDF_SQL = """raw AS MATERIALIZED (
   SELECT doc, block, term, (1 + ln(tf)) * idf AS raw FROM counts JOIN vocabulary USING (block, term)),
 norms AS (SELECT doc, block, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY 1, 2),
-tfidf AS (SELECT doc, block, term, raw / norm AS value FROM raw JOIN norms USING (doc, block))"""
-NB_SQL = """sums AS (
+tfidf AS MATERIALIZED (SELECT doc, block, term, raw / norm AS value FROM raw JOIN norms USING (doc, block))"""
+NB_SQL = """sums AS MATERIALIZED (
   SELECT block, term, sum(CASE WHEN label = 1 THEN value ELSE 0 END) AS s1, sum(CASE WHEN label = 0 THEN value ELSE 0 END) AS s0
   FROM tfidf JOIN samples USING (doc) GROUP BY 1, 2),
 totals AS (SELECT sum(s1) + count(*) AS t1, sum(s0) + count(*) AS t0 FROM sums),
@@ -102,7 +102,7 @@ def _fit_nb(t: Tables):
 
 
 def nb_weights(t: Tables):
-    return _fit_nb(t).terms.select("block", "term", F.round("idf", 6).alias("idf"), F.round("coef", 6).alias("coef"))
+    return _fit_nb(t).terms.select("block", "term", F.round("idf", 6).alias("idf"), F.round(F.col("coef")[0], 6).alias("coef"))
 
 
 def nb_scores(t: Tables):
@@ -193,13 +193,14 @@ def best_f1(t: Tables):
     )
 
 
+_F1_GRID = """grid AS (SELECT 0.05::DOUBLE + i * 0.01::DOUBLE AS t FROM range(0, 91) g(i)),
+  cells_f1 AS (SELECT t, count(*) FILTER (label = 1 AND score >= t)::DOUBLE AS tp, count(*) FILTER (label = 0 AND score >= t)::DOUBLE AS fp,
+      count(*) FILTER (label = 1 AND score < t)::DOUBLE AS fn, count(*) FILTER (label = 0 AND score < t)::DOUBLE AS tn
+      FROM scored, grid GROUP BY 1),
+  f AS (SELECT t, (coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2 AS f1 FROM cells_f1)"""
 BEST_F1_SQL = sql(
     _SCORED_SQL,
-    "grid AS (SELECT 0.05::DOUBLE + i * 0.01::DOUBLE AS t FROM range(0, 91) g(i))",
-    """cells AS (SELECT t, count(*) FILTER (label = 1 AND score >= t)::DOUBLE AS tp, count(*) FILTER (label = 0 AND score >= t)::DOUBLE AS fp,
-      count(*) FILTER (label = 1 AND score < t)::DOUBLE AS fn, count(*) FILTER (label = 0 AND score < t)::DOUBLE AS tn
-      FROM scored, grid GROUP BY 1)""",
-    """f AS (SELECT t, (coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2 AS f1 FROM cells)""",
+    _F1_GRID,
     body="SELECT round(t, 6) AS threshold, round(f1, 6) AS macro_f1 FROM f ORDER BY round(f1, 12) DESC, t LIMIT 1",
 )
 
@@ -219,24 +220,152 @@ BEST_PRECISION_SQL = sql(
       FROM c WHERE tp / called >= 0.8 ORDER BY score LIMIT 1""",
 )
 
-# ---- MLlib candidates ----------------------------------------------------------------------
+# ---- logistic regression and the calibrated SVM ---------------------------------------------
+#
+# The statements find the same optimum another way: with weights written as sums over documents, only products of
+# documents are needed, and accelerated gradient steps on one number per document and model end where the solver does.
+
+
+#: What gradients must shrink by where results are compared digit by digit.
+CLOSE = 1e-8
 
 
 def _fitted_scores(t: Tables, name: str):
     samples = b.samples(t)
     counts = cut(fe.term_counts(samples))
-    model = learn.train(name, counts, samples.select("doc", "label"))
+    model = learn.train(name, counts, samples.select("doc", "label"), tol=CLOSE)
     scored = learn.score_counts(samples, counts, model)
-    return samples.select("doc", "label").join(scored, "doc")
+    return samples.select("doc", "label").join(scored, "doc").select("doc", "label", F.round("score", 4).alias("score"))
+
+
+def logreg_out_of_fold(t: Tables):
+    samples = b.samples(t)
+    counts, folded = learn.prepare(samples)
+    scored = learn.cv_out_of_fold("logreg", samples, counts, folded, tol=CLOSE)
+    return scored.select("doc", "label", F.round("score", 4).alias("score"))
 
 
 def benchmark(t: Tables):
-    return learn.benchmark_models(b.samples(t), k=2)
+    return learn.benchmark_models(b.samples(t))
 
 
 def tuned(t: Tables):
-    model = learn.fit_and_tune(b.samples(t), "logreg")
-    return model.terms.select("block", "term", "coef").withColumn("threshold", F.lit(model.threshold))
+    model = learn.fit_and_tune(b.samples(t), "logreg", tol=CLOSE)
+    coef = F.round(F.col("coef")[0], 4).alias("coef")
+    return model.terms.select("block", "term", coef).withColumn("threshold", F.round(F.lit(model.threshold), 6))
+
+
+def _products_sql(source: str, constant: int) -> str:
+    """Products of documents within a model's space; `constant` adds one to all, a weight shared by all documents."""
+    return f"""numbered AS MATERIALIZED (SELECT doc, row_number() OVER (ORDER BY doc) AS i FROM samples),
+  placed AS MATERIALIZED (SELECT space, i, block, term, value FROM {source} JOIN numbered USING (doc)),
+  shared AS MATERIALIZED (
+    SELECT a.space, a.i, b.i AS j, sum(a.value * b.value) AS k FROM placed a JOIN placed b USING (space, block, term) GROUP BY 1, 2, 3),
+  cells AS (SELECT s.space, x.i, y.i AS j FROM (SELECT DISTINCT space FROM placed) s, numbered x, numbered y),
+  k AS MATERIALIZED (SELECT space, i, j, {constant} + coalesce(k, 0) AS k FROM cells LEFT JOIN shared USING (space, i, j))"""
+
+
+def _weighted_sql(learns: str) -> str:
+    """Balanced weights of the documents each model (m, space) learns from; needs `models` and `folds`."""
+    return f"""weighted AS MATERIALIZED (
+    SELECT m, space, i, y, CASE WHEN learns THEN sum(CAST(learns AS INT)) OVER (PARTITION BY m) / (2.0 * sum(CAST(learns AS INT)) OVER (PARTITION BY m, label)) ELSE 0 END AS c
+    FROM (SELECT m, space, i, label, CASE WHEN label = 1 THEN 1.0 ELSE -1.0 END AS y, {learns} AS learns FROM folds JOIN numbered USING (doc), models))"""
+
+
+def _descent_sql(loss: str, steps: int) -> str:
+    """Accelerated gradient steps: beta by model and document, b the intercept; `z` has the margins at the end."""
+    curve, slope = ("0.25", "-c * y / (1 + exp(y * (z + vb)))") if loss == "logistic" else ("2.0", "-2 * c * y * greatest(0, 1 - y * z)")
+    shift = "vb - sum(r) OVER (PARTITION BY m) / l" if loss == "logistic" else "0.0"
+    return f"""bound AS MATERIALIZED (
+    SELECT m, l, (sqrt(l) - 1) / (sqrt(l) + 1) AS q FROM (
+      SELECT m, 1 + {curve} * sum(c * (k + {1 if loss == 'logistic' else 0})) AS l FROM weighted w JOIN k ON k.space = w.space AND k.i = w.i AND k.j = w.i GROUP BY 1)),
+  moves AS MATERIALIZED (
+    SELECT w.m, k.i, k.j, k.k, w.c, w.y, l, q FROM weighted w JOIN bound USING (m) JOIN k ON k.space = w.space AND k.i = w.i),
+  steps AS (
+    SELECT 0 AS step, m, i, 0.0::DOUBLE AS beta, 0.0::DOUBLE AS last, 0.0::DOUBLE AS b, 0.0::DOUBLE AS last_b FROM weighted
+    UNION ALL
+    SELECT step + 1, m, i, v - (v + r) / l, beta, {shift}, b FROM (
+      SELECT *, {slope} AS r FROM (
+        SELECT any_value(step) AS step, moves.m, moves.i, sum(k * (beta + q * (beta - last))) AS z, any_value(c) AS c, any_value(y) AS y, any_value(l) AS l,
+          any_value(b + q * (b - last_b)) AS vb, any_value(b) AS b, max(CASE WHEN moves.j = moves.i THEN beta END) AS beta,
+          max(CASE WHEN moves.j = moves.i THEN beta + q * (beta - last) END) AS v
+        FROM steps JOIN moves ON moves.m = steps.m AND moves.j = steps.i WHERE step < {steps} GROUP BY moves.m, moves.i))),
+  solved AS MATERIALIZED (SELECT m, i, beta, b FROM steps WHERE step = {steps}),
+  z AS MATERIALIZED (
+    SELECT moves.m, moves.i, sum(k * beta) + any_value(b) AS z FROM moves JOIN solved ON solved.m = moves.m AND solved.i = moves.j GROUP BY 1, 2)"""
+
+
+_ONE_SPACE = "one_space AS (SELECT 0 AS space, doc, block, term, value FROM tfidf)"
+LOGREG_SQL = sql(
+    *_TRAIN,
+    TFIDF_SQL,
+    _ONE_SPACE,
+    _products_sql("one_space", 0),
+    "models AS (SELECT 0 AS m, 0 AS space)",
+    "folds AS (SELECT doc, label FROM samples)",
+    _weighted_sql("TRUE"),
+    _descent_sql("logistic", 700),
+    body="SELECT doc, label, round(1 / (1 + exp(-z)), 4) AS score FROM z JOIN numbered USING (i) JOIN samples USING (doc)",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+SVM_SQL = sql(
+    *_TRAIN,
+    TFIDF_SQL,
+    _ONE_SPACE,
+    _products_sql("one_space", 1),
+    "models AS (SELECT m, 0 AS space FROM range(0, 5) r(m))",
+    "folds AS (SELECT doc, label, (row_number() OVER (PARTITION BY label ORDER BY md5(doc || '7'), doc) - 1) % 5 AS inn FROM samples)",
+    _weighted_sql("inn <> m"),
+    _descent_sql("squared_hinge", 1500),
+    """held AS MATERIALIZED (
+    SELECT m, z, CASE WHEN label = 1 THEN (n1 + 1) / (n1 + 2) ELSE 1 / (n0 + 2) END AS want, n1, n0 FROM (
+      SELECT m, z, label, (count(*) FILTER (WHERE label = 1) OVER (PARTITION BY m))::DOUBLE AS n1, (count(*) FILTER (WHERE label = 0) OVER (PARTITION BY m))::DOUBLE AS n0
+      FROM z JOIN numbered USING (i) JOIN folds USING (doc) WHERE inn = m))""",
+    """platt AS (
+    SELECT 0 AS step, m, 0.0::DOUBLE AS a, ln((any_value(n1) + 1) / (any_value(n0) + 1)) AS o FROM held GROUP BY m
+    UNION ALL
+    SELECT step + 1, m, a - (hoo * ga - hao * go) / (haa * hoo - hao * hao), o - (haa * go - hao * ga) / (haa * hoo - hao * hao) FROM (
+      SELECT any_value(step) AS step, m, any_value(a) AS a, any_value(o) AS o, sum((p - want) * z) AS ga, sum(p - want) AS go,
+        sum(p * (1 - p) * z * z) AS haa, sum(p * (1 - p) * z) AS hao, sum(p * (1 - p)) AS hoo
+      FROM (SELECT step, platt.m, a, o, z, want, 1 / (1 + exp(-(a * z + o))) AS p FROM platt JOIN held ON held.m = platt.m WHERE step < 40) GROUP BY m))""",
+    body="""SELECT doc, any_value(label) AS label, round(avg(1 / (1 + exp(-(a * z + o)))), 4) AS score
+      FROM z JOIN platt ON platt.m = z.m AND step = 40 JOIN numbered USING (i) JOIN samples USING (doc) GROUP BY doc""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+def _spaces_sql(last: int) -> list[str]:
+    """tf-idf of all documents in each space: without fold 0 … 4, and with all documents where last is 6."""
+    return [
+        FOLDS_SQL.replace("folds AS (", "folds AS MATERIALIZED ("),
+        f"spaces AS (SELECT unnest(range(0, {last})) AS space)",
+        "sizes AS (SELECT space, count(*) AS n FROM spaces JOIN folds ON fold <> space GROUP BY 1)",
+        """space_terms AS MATERIALIZED (
+      SELECT space, block, term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf
+      FROM counts JOIN folds USING (doc) JOIN sizes ON fold <> space GROUP BY 1, 2, 3 HAVING count(*) >= 2)""",
+        "space_raw AS MATERIALIZED (SELECT space, doc, block, term, (1 + ln(tf)) * idf AS raw FROM counts JOIN space_terms USING (block, term))",
+        "space_norms AS (SELECT space, doc, block, sqrt(sum(raw * raw)) AS norm FROM space_raw GROUP BY 1, 2, 3)",
+        "space_values AS MATERIALIZED (SELECT space, doc, block, term, raw / norm AS value FROM space_raw JOIN space_norms USING (space, doc, block))",
+        _products_sql("space_values", 0),
+        "models AS (SELECT space AS m, space FROM spaces)",
+        _weighted_sql("fold <> m"),
+        _descent_sql("logistic", 700),
+    ]
+
+
+CV_LOGREG_SQL = sql(
+    b.SAMPLES_SQL,
+    COUNTS_SQL,
+    *_spaces_sql(5),
+    body="""SELECT doc, label, round(1 / (1 + exp(-z)), 4) AS score FROM z JOIN numbered USING (i) JOIN folds USING (doc) WHERE fold = m""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+TUNED_SQL = sql(
+    b.SAMPLES_SQL,
+    COUNTS_SQL,
+    *_spaces_sql(6),
+    "scored AS MATERIALIZED (SELECT label, 1 / (1 + exp(-z)) AS score FROM z JOIN numbered USING (i) JOIN folds USING (doc) WHERE fold = m)",
+    _F1_GRID,
+    """chosen AS (SELECT round(t, 6) AS threshold FROM f ORDER BY round(f1, 12) DESC, t LIMIT 1)""",
+    body="""SELECT block, term, round(sum(beta * value), 4) AS coef, any_value(threshold) AS threshold
+      FROM solved JOIN numbered USING (i) JOIN space_values v ON v.doc = numbered.doc AND v.space = 5, chosen WHERE m = 5 GROUP BY block, term""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def bundle(t: Tables):
@@ -310,8 +439,9 @@ QUERIES = {
     "classification_report": (report, REPORT_SQL),
     "threshold_macro_f1": (best_f1, BEST_F1_SQL),
     "threshold_target_precision": (best_precision, BEST_PRECISION_SQL),
-    "train_logreg": (lambda t: _fitted_scores(t, "logreg"), None),
-    "train_svm": (lambda t: _fitted_scores(t, "svm"), None),
+    "train_logreg": (lambda t: _fitted_scores(t, "logreg"), LOGREG_SQL),
+    "train_svm": (lambda t: _fitted_scores(t, "svm"), SVM_SQL),
+    "cv_logreg": (logreg_out_of_fold, CV_LOGREG_SQL),
     "benchmark_models": (benchmark, None),
-    "fit_and_tune": (tuned, None),
+    "fit_and_tune": (tuned, TUNED_SQL),
 }

@@ -23,7 +23,7 @@ from postloom.session import work_path
 from postloom.sources.files import read_stage_stream
 from postloom.streaming import stages
 from postloom.streaming.dedup import arrival_instant, dedup_batches, stream_dedup_1h, stream_dedup_approximate
-from postloom.streaming.profiles import profile_batches, stream_profile_fold
+from postloom.streaming.profiles import profile_batches, profile_store, stream_profile_fold
 
 
 class StreamTables(Tables):
@@ -383,9 +383,7 @@ def profiles_in_batches(t: Tables):
     root = work_path(t.spark, "profiles")
     users = b.subscribers(t)
     _in_slices(t, b.bot_events(t), "seq", lambda stream: profile_batches(stream, users, root, f"{root}/checkpoint"))
-    done = t.spark.read.parquet(f"{root}/profiles")
-    last = done.agg(F.max("batch_id")).first()[0]
-    return _profile_rows(done.where(F.col("batch_id") == last))
+    return _profile_rows(profile_store(t.spark, users, root).current())
 
 
 def stream_dedup(t: Tables):

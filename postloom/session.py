@@ -71,3 +71,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder so that every later read sees the same rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """`df` written once to the shared folder and read from there; `forget` deletes it."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what `written` wrote, once nothing reads it any more."""
+    path = getattr(df, "written_path", None)
+    if path:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postloom.functions.text import strip_spaces
 from postloom.functions.times import aware_to_utc
 from postloom.schemas import CHAT_SCHEMA, SAMPLES_SCHEMA, WALL_SCHEMA
+from postloom.sources.quoted import read_quoted_csv
 
 
 def scan_wall_json(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -22,8 +23,13 @@ def scan_chat_json(spark: SparkSession, path: str, stream: bool = False) -> Data
     return raw.withColumn("sent_at", aware_to_utc(F.col("date"))).drop("date")
 
 
-def scan_samples_csv(spark: SparkSession, path: str, min_length: int = 30) -> DataFrame:
-    """Labelled samples: labels 0/1 only, texts of at least `min_length` characters."""
+def scan_samples_csv(spark: SparkSession, path: str, min_length: int = 30, split: bool = True) -> DataFrame:
+    """Labelled samples: labels 0/1 only, texts of at least `min_length` characters.
+
+    Files are split between tasks; with `split=False` one task reads a file, whatever its quoting.
+    """
+    if split:
+        return clean_samples(read_quoted_csv(spark, path, SAMPLES_SCHEMA), min_length)
     raw = (
         spark.read.schema(SAMPLES_SCHEMA)
         .option("header", True)

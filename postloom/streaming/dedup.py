@@ -11,49 +11,58 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postloom.functions.times import HOUR_US
 from postloom.operators.suppress import suppress_repeats
+from postloom.session import cut
+from postloom.streaming.changes import ChangeStore
 from postloom.streaming.stages import start_batches
 
 KEPT_SCHEMA = "text_hash STRING, at_us BIGINT, item_id BIGINT"
 
 
+def last_kept(spark: SparkSession, path: str, every: int = 16) -> ChangeStore:
+    """The last kept time of every text hash that `dedup_batches` holds below `path`."""
+    return ChangeStore(spark, f"{path}/state", ["text_hash"], spark.createDataFrame([], "text_hash STRING, at_us BIGINT"), every)
+
+
 def dedup_batches(
-    posts: DataFrame, path: str, checkpoint: str, span_us: int = HOUR_US, available_now: bool = True, lateness_us: int = HOUR_US
+    posts: DataFrame, path: str, checkpoint: str, span_us: int = HOUR_US, available_now: bool = True, lateness_us: int = HOUR_US, every: int = 16
 ) -> StreamingQuery:
     """Append kept rows of a stream (text_hash, at_us, item_id) to `path/kept`.
 
     Rows within the span of an earlier batch's last kept row are dropped first; the fold on the
     rest then equals one pass over everything, as dropped rows never lengthen a span. A row that
     arrives late, up to `lateness_us` behind the newest, is a repeat if it is not later than the span
-    of the last kept row. Both folders of a batch are replaced when it is replayed.
+    of the last kept row. A batch writes the times of its own hashes; every `every` batches the times that can
+    drop nothing any more are freed. What a batch wrote is replaced when it is replayed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("text_hash", "at_us", "item_id")
-        old = None
-        if batch_id > 0:
-            old = spark.read.parquet(f"{path}/state/batch_id={batch_id - 1}")
-            last = old.withColumnRenamed("at_us", "_last")
-            joined = rows.join(last, "text_hash", "left")
-            open_ = F.col("_last").isNull() | (F.col("at_us") > F.col("_last") + span_us)
-            rows = joined.where(open_).drop("_last")
+        state = last_kept(spark, path, every)
+        rows = cut(batch.select("text_hash", "at_us", "item_id"))
+        touched = cut(rows.select("text_hash").distinct())
+        old = cut(state.current(batch_id, touched))
+        last = old.select(F.col("text_hash").alias("_hash"), F.col("at_us").alias("_last"))
+        joined = rows.join(last, F.col("text_hash").eqNullSafe(F.col("_hash")), "left")
+        open_ = F.col("_last").isNull() | (F.col("at_us") > F.col("_last") + span_us)
         kept_path = f"{path}/kept/batch_id={batch_id}"
-        suppress_repeats(rows, "text_hash", "at_us", "item_id", span_us).write.mode("overwrite").parquet(kept_path)
-        live = spark.read.parquet(kept_path).select("text_hash", "at_us")
-        live = live if old is None else live.unionByName(old)
-        # a span that ended `lateness_us` before the newest arrival drops nothing any more; an empty batch ends none
-        newest = batch.agg(F.max("at_us")).scalar()
-        state = live.groupBy("text_hash").agg(F.max("at_us").alias("at_us"))
-        if newest is not None:
-            state = state.where(F.col("at_us") + span_us + lateness_us >= newest)
-        state.write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
+        kept = suppress_repeats(joined.where(open_).select(rows.columns), "text_hash", "at_us", "item_id", span_us)
+        kept.write.mode("overwrite").parquet(kept_path)
+        times = spark.read.parquet(kept_path).select("text_hash", "at_us").unionByName(old)
+        state.write(batch_id, times.groupBy("text_hash").agg(F.max("at_us").alias("at_us")), touched)
+
+        def live(times: DataFrame) -> DataFrame:
+            # a span that ended `lateness_us` before the newest kept row drops nothing any more
+            newest = times.agg(F.max("at_us")).first()[0]
+            return times if newest is None else times.where(F.col("at_us") + span_us + lateness_us >= newest)
+
+        state.compact(batch_id, live)
 
     return start_batches(posts, write, checkpoint, available_now)
 

@@ -13,13 +13,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postloom.operators.profiles import CONFIRM, KEYS, QUESTIONS, RESETS, START_WORDS, open_events, profile_fold
 from postloom.schemas import FLAG_DEFAULTS, FLAGS
+from postloom.session import cut
+from postloom.streaming.changes import ChangeStore
 from postloom.streaming.stages import start_batches
 
 WIZARD = ["wizard_step", "wizard_mode", "wizard_draft"]
@@ -28,32 +30,43 @@ PROFILE_SCHEMA = (
     + ", ".join(f"{f} BOOLEAN" for f in FLAGS)
     + ", wizard_step INT, wizard_mode STRING, wizard_draft MAP<STRING, BOOLEAN>"
 )
+EVENT_SCHEMA = "platform STRING, external_id BIGINT, seq BIGINT, kind STRING, data STRING"
 STATE_SCHEMA = "profile STRING"
 _NUMBERED = re.compile(r"(f|opt)([0-9]+)")
 
 
+def profile_store(spark: SparkSession, profiles: DataFrame, path: str, every: int = 16) -> ChangeStore:
+    """The profiles that `profile_batches` keeps below `path`; `current()` gives them all."""
+    return ChangeStore(spark, f"{path}/profiles", KEYS, profiles, every)
+
+
 def profile_batches(
-    events: DataFrame, profiles: DataFrame, path: str, checkpoint: str, available_now: bool = True
+    events: DataFrame, profiles: DataFrame, path: str, checkpoint: str, available_now: bool = True, every: int = 16
 ) -> StreamingQuery:
-    """Write all profiles after each micro-batch to `path/profiles/batch_id=N`.
+    """Keep the profiles in a `profile_store` up to date: a batch folds and writes the subscribers in it only.
 
     A batch starts from the stored flags and the events since each subscriber's last reset,
-    from which the open wizard follows; a wizard open in `profiles` holds until the first reset. Both folders are replaced when a batch is replayed.
+    from which the open wizard follows; a wizard open in `profiles` holds until the first reset. What a batch
+    wrote is replaced when it is replayed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        history, known = batch.select(*KEYS, "seq", "kind", "data"), profiles
-        if batch_id > 0:
-            known = spark.read.parquet(f"{path}/profiles/batch_id={batch_id - 1}")
-            earlier = spark.read.parquet(f"{path}/open/batch_id={batch_id - 1}")
-            history = history.unionByName(earlier)
-            known = known.drop(*WIZARD)
-            if set(WIZARD) <= set(profiles.columns):
-                begun = earlier.where((F.col("kind") == "callback") & F.col("data").isin(RESETS)).select(*KEYS).distinct()
-                known = known.join(profiles.select(*KEYS, *WIZARD).join(begun, KEYS, "left_anti"), KEYS, "left")
-        profile_fold(history, known).write.mode("overwrite").parquet(f"{path}/profiles/batch_id={batch_id}")
-        open_events(history).write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
+        stored = profile_store(spark, profiles, path, every)
+        nothing = spark.createDataFrame([], EVENT_SCHEMA)
+        opened = ChangeStore(spark, f"{path}/open", KEYS, nothing, every)
+        new = cut(batch.select(*KEYS, "seq", "kind", "data"))
+        touched = cut(new.select(*KEYS).distinct())
+        earlier = opened.current(batch_id, touched)
+        known = stored.current(batch_id, touched).drop(*WIZARD)
+        if set(WIZARD) <= set(profiles.columns):
+            begun = earlier.where((F.col("kind") == "callback") & F.col("data").isin(RESETS)).select(*KEYS).distinct()
+            known = known.join(profiles.select(*KEYS, *WIZARD).join(begun, KEYS, "left_anti"), KEYS, "left")
+        history = new.unionByName(earlier)
+        stored.write(batch_id, profile_fold(history, known), touched)
+        opened.write(batch_id, open_events(history), touched)
+        stored.compact(batch_id)
+        opened.compact(batch_id)
 
     return start_batches(events, write, checkpoint, available_now)
 

@@ -11,8 +11,9 @@ from postloom.operators.status import status_latest
 from postloom.operators.suppress import suppress_repeats
 from postloom.schemas import FLAGS
 from postloom.streaming import stages
-from postloom.streaming.dedup import arrival_instant, dedup_batches, stream_dedup_1h
-from postloom.streaming.profiles import profile_batches
+from postloom.streaming.dedup import arrival_instant, dedup_batches, last_kept, stream_dedup_1h
+from postloom.streaming.changes import ChangeStore
+from postloom.streaming.profiles import profile_batches, profile_store
 
 MINUTE = 60_000_000
 
@@ -41,20 +42,61 @@ def test_dedup_over_batches_equals_one_pass(spark, tmp_path):
         assert len(out) == len(set(out)) and set(out) == want, path
 
 
+def test_dedup_state_is_freed_and_nulls_are_equal(spark, tmp_path):
+    schema = "text_hash string, at_us bigint, item_id bigint"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    hour = 60 * MINUTE
+    batches = [
+        [(None, 0, 1), ("a", 0, 2), *[(f"r{i}", i, 100 + i) for i in range(50)]],
+        [(None, MINUTE, 3), ("a", 2 * hour, 4), ("b", hour, 5)],
+        [("a", 2 * hour - MINUTE, 6), ("late", 0, 7), ("b", 10 * hour, 8)],  # out of order, and a new hash far behind
+        [("a", 10 * hour, 9), ("r1", 10 * hour, 10)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        dedup_batches(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "cp"), every=2).awaitTermination()
+    kept = {r.item_id for r in spark.read.parquet(f"{out}/kept").collect()}
+    assert kept == {1, 2, 4, 5, 7, 8, 9, 10, *range(100, 150)}
+    held = {r.text_hash: r.at_us for r in last_kept(spark, out, 2).current().collect()}
+    assert held == {"a": 10 * hour, "b": 10 * hour, "r1": 10 * hour}
+
+
+def test_change_store_writes_what_a_batch_touches(spark, tmp_path):
+    initial = spark.createDataFrame([(None, 1), ("a", 1), ("b", 1), ("b", 2), ("c", 1)], "k string, v int")
+    store = ChangeStore(spark, str(tmp_path), ["k"], initial, every=3)
+    want = {(None, 1), ("a", 1), ("b", 1), ("b", 2), ("c", 1)}
+
+    def rows(of):
+        return {tuple(r) for r in of.collect()}
+
+    changes = [({None}, {(None, 5)}), ({"b"}, set()), ({"b", "d"}, {("b", 7), ("d", 8), ("d", 9)}), ({"a"}, {("a", 3)}), (set(), set())]
+    for number, (keys, new) in enumerate(changes):
+        touched = spark.createDataFrame([(k,) for k in keys], "k string")
+        for _ in range(2):  # a replay replaces the change and sees the state before it
+            before = store.current(number, touched)
+            assert rows(before) == {r for r in want if r[0] in keys}
+            store.write(number, spark.createDataFrame(sorted(new), "k string, v int"), touched)
+        assert spark.read.parquet(f"{tmp_path}/rows/version={number}").count() == len(new)
+        want = {r for r in want if r[0] not in keys} | new
+        assert store.compact(number) == (number == 2)
+        assert rows(store.current()) == want
+
+
 def test_profiles_over_batches_equal_one_fold(spark, tmp_path):
     rng = random.Random(9)
     data = ["save", "pause", "start", "menu", "reconf_all", "reconf_one", "f3", "f12"] + ["opt1", "opt2", "opt3"] * 4
     rows = [("vk", rng.randrange(12), i, "message" if i % 40 == 0 else "callback", "/start" if i % 40 == 0 else rng.choice(data)) for i in range(900)]
     schema = "platform string, external_id bigint, seq bigint, kind string, data string"
     none = spark.createDataFrame([], "platform string, external_id bigint, status string, " + ", ".join(f"{f} boolean" for f in FLAGS))
-    want = sorted(map(str, profile_fold(spark.createDataFrame(rows, schema), none).collect()))
+    folded = profile_fold(spark.createDataFrame(rows, schema), none)
+    columns, want = folded.columns, sorted(map(str, folded.collect()))
     source = str(tmp_path / "in")
     for i in range(0, 900, 300):
         spark.createDataFrame(rows[i : i + 300], schema).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        profile_batches(stream, none, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out/profiles/batch_id=2")
-    assert sorted(map(str, got.collect())) == want
+        profile_batches(stream, none, str(tmp_path / "out"), str(tmp_path / "cp"), every=2).awaitTermination()
+    got = profile_store(spark, none, str(tmp_path / "out")).current()
+    assert sorted(map(str, got.select(columns).collect())) == want
 
 
 def _posts(spark, path, ids):
