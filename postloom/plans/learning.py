@@ -273,26 +273,29 @@ def _weighted_sql(learns: str) -> str:
 
 
 def _descent_sql(loss: str, steps: int) -> str:
-    """Accelerated gradient steps: beta by model and document, b the intercept; `z` has the margins at the end."""
-    curve, slope = ("0.25", "-c * y / (1 + exp(y * (z + vb)))") if loss == "logistic" else ("2.0", "-2 * c * y * greatest(0, 1 - y * z)")
-    shift = "vb - sum(r) OVER (PARTITION BY m) / l" if loss == "logistic" else "0.0"
-    return f"""bound AS MATERIALIZED (
-    SELECT m, l, (sqrt(l) - 1) / (sqrt(l) + 1) AS q FROM (
-      SELECT m, 1 + {curve} * sum(c * (k + {1 if loss == 'logistic' else 0})) AS l FROM weighted w JOIN k ON k.space = w.space AND k.i = w.i AND k.j = w.i GROUP BY 1)),
-  moves AS MATERIALIZED (
-    SELECT w.m, k.i, k.j, k.k, w.c, w.y, l, q FROM weighted w JOIN bound USING (m) JOIN k ON k.space = w.space AND k.i = w.i),
+    """Accelerated gradient steps on lists, a row per model: beta by document, b the intercept; `z` has the margins at the end."""
+    free = int(loss == "logistic")  # the intercept is a number of its own
+    curve, slope = (0.25, "-c[i] * y[i] / (1 + exp(y[i] * (z[i] + vb)))") if free else (2.0, "-2 * c[i] * y[i] * greatest(0, 1 - y[i] * z[i])")
+    return f"""matrices AS MATERIALIZED (
+    SELECT space, list(line ORDER BY i) AS k FROM (SELECT space, i, list(k ORDER BY j) AS line FROM k GROUP BY 1, 2) GROUP BY 1),
+  bound AS (
+    SELECT m, 1 + {curve} * sum(c * (k + {free})) AS l FROM weighted w JOIN k ON k.space = w.space AND k.i = w.i AND k.j = w.i GROUP BY 1),
+  models_at AS MATERIALIZED (
+    SELECT m, any_value(space) AS space, list(c ORDER BY i) AS c, list(y ORDER BY i) AS y, range(1, count(*) + 1) AS every FROM weighted GROUP BY m),
+  setup AS MATERIALIZED (SELECT models_at.*, k, l, (sqrt(l) - 1) / (sqrt(l) + 1) AS q FROM models_at JOIN matrices USING (space) JOIN bound USING (m)),
   steps AS (
-    SELECT 0 AS step, m, i, 0.0::DOUBLE AS beta, 0.0::DOUBLE AS last, 0.0::DOUBLE AS b, 0.0::DOUBLE AS last_b FROM weighted
+    SELECT 0 AS step, m, list_transform(every, lambda i: 0.0::DOUBLE) AS beta, list_transform(every, lambda i: 0.0::DOUBLE) AS last,
+      0.0::DOUBLE AS b, 0.0::DOUBLE AS last_b FROM setup
     UNION ALL
-    SELECT step + 1, m, i, v - (v + r) / l, beta, {shift}, b FROM (
-      SELECT *, {slope} AS r FROM (
-        SELECT any_value(step) AS step, moves.m, moves.i, sum(k * (beta + q * (beta - last))) AS z, any_value(c) AS c, any_value(y) AS y, any_value(l) AS l,
-          any_value(b + q * (b - last_b)) AS vb, any_value(b) AS b, max(CASE WHEN moves.j = moves.i THEN beta END) AS beta,
-          max(CASE WHEN moves.j = moves.i THEN beta + q * (beta - last) END) AS v
-        FROM steps JOIN moves ON moves.m = steps.m AND moves.j = steps.i WHERE step < {steps} GROUP BY moves.m, moves.i))),
-  solved AS MATERIALIZED (SELECT m, i, beta, b FROM steps WHERE step = {steps}),
+    SELECT step + 1, m, list_transform(every, lambda i: v[i] - (v[i] + r[i]) / l), beta, {'vb - list_sum(r) / l' if free else '0.0::DOUBLE'}, b FROM (
+      SELECT *, list_transform(every, lambda i: {slope}) AS r FROM (
+        SELECT *, list_transform(k, lambda line: list_dot_product(line, v)) AS z FROM (
+          SELECT steps.*, every, k, c, y, l, list_transform(every, lambda i: beta[i] + q * (beta[i] - last[i])) AS v, b + q * (b - last_b) AS vb
+          FROM steps JOIN setup USING (m) WHERE step < {steps})))),
+  ended AS MATERIALIZED (SELECT m, beta, b, k FROM steps JOIN setup USING (m) WHERE step = {steps}),
+  solved AS MATERIALIZED (SELECT m, unnest(range(1, len(beta) + 1)) AS i, unnest(beta) AS beta, b FROM ended),
   z AS MATERIALIZED (
-    SELECT moves.m, moves.i, sum(k * beta) + any_value(b) AS z FROM moves JOIN solved ON solved.m = moves.m AND solved.i = moves.j GROUP BY 1, 2)"""
+    SELECT m, unnest(range(1, len(beta) + 1)) AS i, unnest(list_transform(k, lambda line: list_dot_product(line, beta))) + b AS z FROM ended)"""
 
 
 _ONE_SPACE = "one_space AS (SELECT 0 AS space, doc, block, term, value FROM tfidf)"
