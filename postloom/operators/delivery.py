@@ -242,11 +242,33 @@ def channel_outbox_vk(posts: DataFrame, group_id: int, can_upload: bool) -> Data
 
 def bot_outbox(posts: DataFrame, matches: DataFrame) -> DataFrame:
     """Deliveries to matched subscribers; the message is built once per post, before the join."""
-    photos = F.slice("attachments", 1, PHOTO_LIMIT)
-    messages = posts.select(
-        "post_id", F.substring("body", 1, TEXT_LIMIT).alias("text"), photos.alias("photos")
-    )
-    return matches.join(messages, "post_id").select("platform", "external_id", "post_id", "text", "photos")
+    return matches.join(bot_messages(posts), "post_id").select("platform", "external_id", "post_id", "text", "photos")
+
+
+#: Microseconds between two messages of a bot.
+BOT_GAPS_US = {"tg": 50_000, "vk": 100_000}
+
+
+def bot_deliveries(posts: DataFrame, matches: DataFrame, gaps_us: dict[str, int] = BOT_GAPS_US) -> DataFrame:
+    """One row per matched post and subscriber with method, state and planned send time; a bot sends one at a time.
+
+    Posts (post_id, at_us, attachments) go out in order of arrival, each to its subscribers by id. The message itself
+    stays in one row per post (`bot_messages`) and is joined when it is sent.
+    """
+    method = _photo_method(F.slice("attachments", 1, PHOTO_LIMIT), "sendMessage")
+    rows = matches.join(posts.select("post_id", "at_us", method.alias("method")), "post_id")
+    rows = rows.select("platform", "at_us", F.struct("post_id", "external_id", "method").alias("item"))
+    out = None
+    for platform, gap in gaps_us.items():
+        paced = pacing(rows.where(F.col("platform") == platform), "platform", "at_us", "item", gap)
+        paced = paced.select("platform", "item.external_id", "item.post_id", "item.method", F.lit("pending").alias("state"), "send_us")
+        out = paced if out is None else out.unionByName(paced)
+    return out
+
+
+def bot_messages(posts: DataFrame) -> DataFrame:
+    """What a bot sends for each post, once."""
+    return posts.select("post_id", F.substring("body", 1, TEXT_LIMIT).alias("text"), F.slice("attachments", 1, PHOTO_LIMIT).alias("photos"))
 
 
 def pacing(queue: DataFrame, destination: str, at_us: str, item_id: str, gap_us: int) -> DataFrame:

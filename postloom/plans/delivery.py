@@ -263,6 +263,21 @@ def outbox_bot(t: Tables):
     )
 
 
+def deliveries_bot(t: Tables):
+    """Every message of both bots with its method, state and send time."""
+    posts = b.posts(t).select("post_id", "at_us", b.photos().alias("attachments"))
+    return d.bot_deliveries(posts, _matches(t))
+
+
+DELIVERIES_BOT_SQL = sql(
+    *_MATCH,
+    """queue AS (SELECT platform, external_id, post_id, at_us, CASE platform WHEN 'tg' THEN 50000 ELSE 100000 END AS gap,
+      CASE n_photos WHEN 0 THEN 'sendMessage' WHEN 1 THEN 'sendPhoto' ELSE 'sendMediaGroup' END AS method,
+      row_number() OVER (PARTITION BY platform ORDER BY at_us, post_id, external_id) AS n FROM matches JOIN posts USING (post_id))""",
+    body="""SELECT platform, external_id, post_id, method, 'pending' AS state,
+      gap * n + max(at_us - gap * n) OVER (PARTITION BY platform ORDER BY n ROWS UNBOUNDED PRECEDING) AS send_us FROM queue""",
+)
+
 OUTBOX_BOT_SQL = sql(
     *_MATCH,
     BODY_SQL,
@@ -338,6 +353,7 @@ QUERIES = {
     "channel_outbox_tg": (outbox_tg, OUTBOX_TG_SQL),
     "channel_outbox_vk": (outbox_vk, OUTBOX_VK_SQL),
     "bot_outbox": (outbox_bot, OUTBOX_BOT_SQL),
+    "bot_deliveries": (deliveries_bot, DELIVERIES_BOT_SQL),
     "photos_limit": (
         photo_limit,
         sql(

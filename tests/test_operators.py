@@ -331,3 +331,18 @@ def test_profile_fold_resumes_a_stored_wizard(spark):
     assert (found["c"].wizard_step, found["c"].wizard_mode, found["c"].wizard_draft) == (3, "all", draft)
     assert found["d"].wizard_step is None
     assert (found["e"].wizard_step, found["e"].wizard_draft) == (4, draft | {"wt_handyman": False})
+
+
+def test_null_hashes_equal_each_other_in_the_look_back(spark):
+    schema = "text_hash string, at_us bigint, i bigint"
+    history = spark.createDataFrame([(None, 0, 0)], schema)
+    new = spark.createDataFrame([(None, 50, 1), (None, 101, 2), ("a", 50, 3)], schema)
+    assert {r.i for r in ingest.dedup_text_lookback(new, history, 100).collect()} == {2, 3}
+
+
+def test_older_subscriber_tables_get_flag_defaults(spark):
+    old = spark.createDataFrame([("vk", 1, "paused", False, None)], "platform string, external_id long, status string, src_vk boolean, payment_required boolean")
+    seen = spark.createDataFrame([("vk", 1), ("tg", 2)], "platform string, external_id long")
+    rows = {r.external_id: r for r in status.subscriber_upsert(old, seen).collect()}
+    assert rows[1].status == "paused" and rows[1].src_vk is False and rows[2].status == "active"
+    assert all(rows[1][f] == v for f, v in FLAG_DEFAULTS.items() if f != "src_vk") and all(rows[2][f] == v for f, v in FLAG_DEFAULTS.items())
