@@ -95,8 +95,8 @@ def ml_filter(posts: DataFrame, model: LinearModel, doc: str = "post_id", text:
     return scored.withColumn("relevant", F.col("score") >= F.lit(model.threshold))
 
 
-def _naive_bayes(data: Design, fits: list[Fit]) -> tuple[DataFrame, list[float], DataFrame]:
-    """Multinomial naive Bayes with add-one smoothing for every fit: weights, intercepts, documents with margins."""
+def _naive_bayes(data: Design, fits: list[Fit], margins: bool) -> tuple[DataFrame, list[float], DataFrame | None]:
+    """Multinomial naive Bayes with add-one smoothing for every fit: weights, intercepts, documents with `margins` if asked."""
     models, spaces = range(len(fits)), [f.space for f in fits]
     sizes = class_sizes(data.docs, fits)
     members = [F.when(f.learns() & (F.col("label") == y), 1.0).otherwise(0.0).alias(f"s{y}_{m}") for m, f in enumerate(fits) for y in (0, 1)]
@@ -115,10 +115,11 @@ def _naive_bayes(data: Design, fits: list[Fit]) -> tuple[DataFrame, list[float],
     weights = written(sums.select("tid", *[coef(m) for m in models]), "weights")
     # with one class absent the other is certain
     bias = [CERTAIN if not s[0] else -CERTAIN if not s[1] else float(np.log(s[1] / s[0])) for s in sizes]
-    found = data.margins(weights, [f"w_{m}" for m in models], spaces)
-    margins = data.docs.join(found, "doc", "left")
+    if not margins:
+        return weights, bias, None
+    found = data.docs.join(data.margins(weights, [f"w_{m}" for m in models], spaces), "doc", "left")
     z = [(F.coalesce(f"w_{m}", F.lit(0.0)) + F.lit(bias[m])).alias(f"z_{m}") for m in models]
-    return weights, bias, written(margins.select(*data.docs.columns, *z), "margins")
+    return weights, bias, written(found.select(*data.docs.columns, *z), "margins")
 
 
 @dataclass
@@ -136,7 +137,7 @@ class Fitted:
 
     weights: DataFrame
     intercepts: list[float]
-    docs: DataFrame
+    docs: DataFrame | None
     rules: list[list[Rule]]
 
     def score(self, model: int):
@@ -151,14 +152,14 @@ class Fitted:
         return LinearModel(written(terms, "terms"), bias)
 
 
-def _fit_all(name: str, data: Design, c: float, tol: float) -> Fitted:
+def _fit_all(name: str, data: Design, c: float, tol: float, margins: bool = True) -> Fitted:
     """One model for each space of the design, which learns from the documents outside the space's fold."""
     if name not in CANDIDATES:
         raise ValueError(f"unknown model: {name}")
     outer = list(enumerate(data.spaces))
     if name == "nb":
         fits = [Fit(i, s) for i, s in outer]
-        weights, bias, docs = _naive_bayes(data, fits)
+        weights, bias, docs = _naive_bayes(data, fits, margins)
         return Fitted(weights, bias, docs, [[Rule(i)] for i, _ in outer])
     if name == "logreg":
         fits, loss = [Fit(i, s) for i, s in outer], LOGISTIC
@@ -183,7 +184,7 @@ def train(name: str, counts: DataFrame, labels: DataFrame, c: float = 1.0, min_d
     """Fit one candidate on term counts (doc, block, term, tf) and labels (doc, label)."""
     docs = _with_inner(labels.select("doc", "label", F.lit(0).alias("fold")))
     with design(counts, docs, [None], min_df) as data:
-        return _fit_all(name, data, c, tol).model(data, 0, 0)
+        return _fit_all(name, data, c, tol, margins=False).model(data, 0, 0)
 
 
 def _out_of_fold(fitted: Fitted, k: int) -> DataFrame:
