@@ -84,7 +84,7 @@ def _scan(batches):
         base = [base_spans(t or "") for t in pdf["text"]]
         weak = [weak_parts(t or "", b) for t, b in zip(pdf["text"], base)]
         yield pd.DataFrame({
-            "doc_id": pdf["doc_id"].astype("Int64"), "text_key": pdf["text_key"],
+            "doc_id": pdf["doc_id"], "text_key": pdf["text_key"],
             "base": [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in base],
             "weak": [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in weak],
         })
@@ -117,8 +117,10 @@ def linked_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, base and linked spans as arrays of (kind number, start, end)."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    scanned = saved(docs.mapInPandas(_scan, f"doc_id long, text_key long, base {SPAN}, weak {SPAN}"), "scanned")
+    # ids pass pandas as strings: a batch of longs with a null among them would turn into doubles
+    docs = docs.select(F.col(id_col).cast("bigint").cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    scanned = docs.mapInPandas(_scan, f"doc_id string, text_key long, base {SPAN}, weak {SPAN}")
+    scanned = saved(scanned.withColumn("doc_id", F.col("doc_id").cast("bigint")), "scanned")
     keys = ["doc_id", "text_key"]
     parts = scanned.where(F.size("weak") > 0).select(*keys, F.inline(F.concat("base", "weak")))
     linked = linked_parts(parts, keys).groupBy(*keys).agg(F.collect_set(F.struct("kind", "start", "end")).alias("linked"))
@@ -135,9 +137,14 @@ def as_string(spans) -> "F.Column":
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def count_of(spans, kind: int) -> "F.Column":
+    """Number of spans of one kind. The lambda takes one argument: a second one would be given the index."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(3)]
+    counts = [count_of("base", k).alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select(
         "doc_id", *counts, F.sha2(as_string(F.col("base")), 256).alias("base_sha256"),
         as_string(F.concat("base", "linked")).alias("spans"), F.size("linked").cast("bigint").alias("n_linked"),
