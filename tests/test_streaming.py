@@ -183,3 +183,17 @@ def test_classifier_round_trip_and_stage(spark, tmp_path):
     stages.run_scored_stage(spark, root, "new", "ml", loaded).awaitTermination()
     out = {r.post_id: r.status for r in spark.read.parquet(f"{root}/ml").collect()}
     assert out == {"1": "ml_filter_passed", "2": "ml_filter_rejected"}
+
+
+def test_stream_tables_read_a_file_and_a_folder_of_files(spark, tmp_path):
+    from postloom.plans import streams
+    from postloom.plans.bindings import Tables
+
+    rows = spark.createDataFrame([(i, f"text {i}", "en", f"src{i % 3}") for i in range(40)], "doc_id long, text string, lang string, source string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "parts").glob("part-*")).rename(tmp_path / "file" / "documents.parquet")
+    for kind in ("folder", "file"):
+        found = streams.replayed(Tables(spark, f"{tmp_path}/{kind}"))
+        assert sorted(r.post_id for r in found.collect()) == list(range(40)), kind
