@@ -346,3 +346,33 @@ def test_older_subscriber_tables_get_flag_defaults(spark):
     rows = {r.external_id: r for r in status.subscriber_upsert(old, seen).collect()}
     assert rows[1].status == "paused" and rows[1].src_vk is False and rows[2].status == "active"
     assert all(rows[1][f] == v for f, v in FLAG_DEFAULTS.items() if f != "src_vk") and all(rows[2][f] == v for f, v in FLAG_DEFAULTS.items())
+
+
+def _pairs(spark):
+    posts = spark.createDataFrame([(i, i % 7 * 1000, ["u"] * (i % 3)) for i in [*range(30), 4, 4]], "post_id long, at_us long, attachments array<string>")
+    found = [(p, plat, e) for p in [*range(30), 4, 30] for plat, n in (("tg", 5), ("vk", p % 3)) for e in range(n)]
+    return posts, spark.createDataFrame(found, "post_id long, platform string, external_id long")
+
+
+def test_bot_deliveries_equal_pacing_of_all_pairs(spark):
+    posts, matches = _pairs(spark)
+    gaps = {"tg": 300, "vk": 70}
+    size = {r.post_id: len(r.attachments) for r in posts.collect()}
+    queue = [(r.platform, p.at_us, r.post_id, r.external_id) for r in matches.collect() for p in posts.collect() if p.post_id == r.post_id]
+    want, free = [], dict.fromkeys(gaps, -(2**60))
+    for platform, at, post, external in sorted(queue):
+        free[platform] = max(free[platform] + gaps[platform], at)
+        method = ["sendMessage", "sendPhoto", "sendMediaGroup"][min(size[post], 2)]
+        want.append((platform, external, post, method, "pending", free[platform]))
+    assert sorted(tuple(r) for r in d.bot_deliveries(posts, matches, gaps).collect()) == sorted(want)
+
+
+def test_expanded_subscribers_are_not_broadcast(spark, tmp_path):
+    flags = ["src_vk", "src_tg", "payment_required", "address_required", *(f"wt_{w}" for w in WORK_TYPES), *(f"dur_{x}" for x in DURATIONS)]
+    people = spark.createDataFrame([("tg", i, "active", *[True] * 2, *[False] * 2, *[True] * (len(flags) - 4)) for i in range(50)],
+        "platform string, external_id long, status string, " + ", ".join(f"{f} boolean" for f in flags))
+    posts = spark.createDataFrame([(1, "vk", None)], "post_id long, source string, attributes struct<duration:string,work_type:string,payment:string,address:string>")
+    people.write.parquet(f"{tmp_path}/people")  # a small file, from which Spark estimates the expanded rows
+    found = d.match_subscribers(posts, spark.read.parquet(f"{tmp_path}/people"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 50
