@@ -55,3 +55,14 @@ def test_look_back_over_the_turn_of_a_month(spark, tmp_path):
     again = _wall(spark, [(2, 0, "same", None)])
     assert ingest_wall(again, registry, store, 2, new_month + HOUR_US - 1).count() == 0
     assert ingest_wall(_wall(spark, [(3, 0, "same", None)]), registry, store, 3, new_month + HOUR_US).count() == 1
+
+
+def test_without_a_poll_time_a_text_comes_again_after_an_hour(spark, tmp_path):
+    registry, store = _registry(spark), PostStore(spark, str(tmp_path))
+    rows = [(1, 0, "same", None), (2, HOUR, "same", None), (3, HOUR + 1, "SAME!", None), (4, 0, "unlike", None)]
+    for _ in range(2):
+        assert {r.item_id for r in ingest_wall(_wall(spark, rows), registry, store, 1, None).collect()} == {1, 3, 4}
+    assert sorted(r.at_us for r in store.read("posts").collect()) == [0, 0, (HOUR + 1) * 1_000_000]
+    # stored texts count within the hour of a record's own time
+    more = [*rows, (5, 2 * HOUR + 1, "same", None), (6, 2 * HOUR + 2, "same", None)]
+    assert {r.item_id for r in ingest_wall(_wall(spark, more), registry, store, 2, None).collect()} == {6}
