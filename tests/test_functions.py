@@ -3,6 +3,8 @@
 import hashlib
 import json
 import re
+
+import pytest
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from postloom.functions import parsing, records, text
 from postloom.functions.times import aware_to_utc, epoch_micros, epoch_to_utc, micros_to_utc
 from postloom.operators import delivery as d
+from postloom.operators import features
 from postloom.operators.features import char_term_counts, word_term_counts
 
 
@@ -59,6 +62,47 @@ def test_word_and_char_terms(spark):
     assert {(r.doc, r.term): r.tf for r in char_term_counts(docs).collect()} == grams
 
 
+def test_grams_of_repeated_ids_many_characters_and_long_texts(spark, monkeypatch):
+    many = "".join(chr(0x4E00 + i) for i in range(5000))
+    rows = [(1, "ab a\0b"), (1, "ab 😀ё"), (None, "ab"), (None, "cd"), (2, many), (3, None)]
+    docs = spark.createDataFrame(rows, "doc int, text string")
+    want: dict = {}
+    for doc, body in rows:
+        for word in (body or "").split():
+            for n in (3, 4, 5):
+                for i in range(len(word) + 3 - n):
+                    key = (doc, f" {word} "[i : i + n])
+                    want[key] = want.get(key, 0) + 1
+    found = char_term_counts(docs).collect()
+    assert len(found) == len(want) and {(r.doc, r.term): r.tf for r in found} == want
+
+    def counted(texts):
+        terms, tf = features._gram_counts(texts)
+        return dict(zip(terms.to_pylist(), tf.tolist()))
+
+    texts = ["да a bb ccc bb", "", "x"]
+    at_once = counted(texts)
+    monkeypatch.setattr(features, "LONG", 3)
+    assert counted(texts) == at_once
+
+
+def test_terms_are_counted_without_a_table_of_a_tasks_terms(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc int, text string")
+    for counts in (char_term_counts(docs), word_term_counts(docs), features.term_counts(docs)):
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()
+        # the texts of an id are gathered; their terms are not grouped
+        assert plan.count("Aggregate [") == 1 and "collect_list" in plan
+
+
+def test_totals_are_those_of_the_single_values(spark):
+    rows = [(d, b, f"t{(d * i) % 7}", 1 + (d + i) % 3) for d in range(6) for b in ("word", "char") for i in range(3)]
+    counts = spark.createDataFrame(rows, "doc int, block string, term string, tf long").groupBy("doc", "block", "term").agg(F.max("tf").alias("tf"))
+    vocabulary = features.doc_frequency(counts, 6)
+    want = features.tfidf(counts, vocabulary).groupBy("doc", "block").agg(F.count("*"), F.max("value"), F.sum("value"))
+    got = {(r[0], r[1]): r[2:] for r in features.tfidf_totals(counts, vocabulary).collect()}
+    assert got and {k: pytest.approx(v, abs=1e-12) for k, v in got.items()} == {(r[0], r[1]): r[2:] for r in want.collect()}
+
+
 def test_times(spark):
     assert [str(v) for v in values(spark, [0, 86399, 1704067207, -1], epoch_to_utc, "v bigint")] == [
         "1970-01-01 00:00:00",
