@@ -94,6 +94,16 @@ def test_terms_are_counted_without_a_table_of_a_tasks_terms(spark):
         assert plan.count("Aggregate [") == 1 and "collect_list" in plan
 
 
+def test_extraction_of_one_partition_runs_in_many_tasks(spark):
+    from postloom.operators.extract import extract_rules
+
+    one = spark.range(40).selectExpr("id AS post_id", "'вахта, 3000 руб.' AS text").coalesce(1)
+    found = extract_rules(one)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert one.rdd.getNumPartitions() == 1 < parts == found.rdd.getNumPartitions()
+    assert {(r.duration, r.payment) for r in found.collect()} == {("vahta", "3000 руб.")} and found.count() == 40
+
+
 def test_totals_are_those_of_the_single_values(spark):
     rows = [(d, b, f"t{(d * i) % 7}", 1 + (d + i) % 3) for d in range(6) for b in ("word", "char") for i in range(3)]
     counts = spark.createDataFrame(rows, "doc int, block string, term string, tf long").groupBy("doc", "block", "term").agg(F.max("tf").alias("tf"))
