@@ -41,6 +41,9 @@ BLOCK_ITEMS, BLOCK_TERMS = 256, 8192
 CELLS, WAVE = 4_000_000, 64
 #: Slices of tasks whose best documents are reduced before those of an item meet.
 SLICES = 32
+#: Characters of the documents of a row of the index (some three bytes each there), rows of a file of it, and rows that Spark
+#: hands to Python at once: a reader holds a file's rows and such a batch, whatever the size of the input's row groups.
+ROW_CHARS, FILE_ROWS, HANDED_ROWS = 1_000_000, 16, 8
 
 #: A term has digits, letters, or characters beyond ASCII.
 GAP = np.zeros(256, bool)
@@ -92,7 +95,7 @@ def _index(n_docs: int, n_terms: int):
         chunk = TaskContext.get().partitionId() << 32
         for pdf in batches:
             texts, ids, bare = pdf["text"].tolist(), pdf["doc_id"].to_numpy(np.int64), pdf["bare"].to_numpy(bool)
-            for start, stop in chunks(texts):
+            for start, stop in chunks(texts, ROW_CHARS):
                 words, n = word_hashes(texts[start:stop], GAP)
                 terms, place = np.unique(words, return_inverse=True)
                 doc = np.repeat(np.arange(len(n)), n)
@@ -120,7 +123,7 @@ class SketchIndex:
         totals = rows.select("text").mapInPandas(released(_count), "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
         self.n_docs, self.n_terms = totals[0] or 0, totals[1] or 0
         found = rows.mapInPandas(released(_index(self.n_docs, max(1, self.n_terms))), INDEXED)
-        self.rows = saved(found, "sketches")
+        self.rows = saved(found, "sketches", FILE_ROWS)
 
 
 class Block:
@@ -270,17 +273,22 @@ def search(index: SketchIndex, items: DataFrame, k: int = K, id_col: str = "item
     terms = terms.select("item_id", F.explode("terms").alias("term")).groupBy("item_id").agg(F.collect_set("term").alias("terms"))
     path, order = work_path(spark, "ranked"), [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     spark.createDataFrame([], RANKED).write.parquet(path)
-    for block in _blocks(saved(terms, "items")):
-        counted = index.rows.select("terms", "places").mapInPandas(_frequencies(block), "term int, df long")
-        df = np.zeros(len(block.terms), np.int64)
-        for term, n in counted.groupBy("term").agg(F.sum("df")).toLocalIterator():  # a row for each of the block's terms
-            df[term] = n
-        block.weights = weight(index.n_docs, df)
-        found = index.rows.mapInPandas(_rank(block, k), FOUND).withColumn("slice", F.spark_partition_id() % SLICES)
-        for group in (["item", "slice"], ["item"]):
-            found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
-        names = spark.createDataFrame(list(enumerate(block.names)), "item int, item_id long")
-        found.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score").write.mode("append").parquet(path)
+    blocks = saved(terms, "items")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(HANDED_ROWS))  # rows of the index are large
+    try:
+        for block in _blocks(blocks):
+            counted = index.rows.select("terms", "places").mapInPandas(_frequencies(block), "term int, df long")
+            df = np.zeros(len(block.terms), np.int64)
+            for term, n in counted.groupBy("term").agg(F.sum("df")).toLocalIterator():  # a row for each of the block's terms
+                df[term] = n
+            block.weights = weight(index.n_docs, df)
+            found = index.rows.mapInPandas(_rank(block, k), FOUND).withColumn("slice", F.spark_partition_id() % SLICES)
+            for group in (["item", "slice"], ["item"]):
+                found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
+            names = spark.createDataFrame(list(enumerate(block.names)), "item int, item_id long")
+            found.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score").write.mode("append").parquet(path)
+    finally:
+        small_batches(spark)
     return spark.read.schema(RANKED).parquet(path)
 
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postloom.llm import repair, repeats, search
 
@@ -170,6 +171,15 @@ def test_search_equals_plain_scores(spark):
     assert ranked(search.search(search.SketchIndex(d), q)) == plain_search(docs, items)
 
 
+def test_search_index_has_small_rows_in_small_files(spark):
+    text = "alpha beta gamma " * 600  # 10,200 characters
+    docs = spark.createDataFrame([(i, text) for i in range(2000)], "doc_id long, text string").coalesce(1)
+    rows = search.SketchIndex(docs).rows
+    held = rows.select(F.size("ids").alias("n"), F.input_file_name().alias("file")).collect()
+    assert sum(r.n for r in held) == 2000 and max(r.n for r in held) * len(text) <= search.ROW_CHARS + len(text)
+    assert max(Counter(r.file for r in held).values()) <= search.FILE_ROWS
+
+
 def test_search_skips_documents_but_never_a_result():
     rng = np.random.default_rng(4)
     terms = np.sort(rng.integers(0, 2**63, 500, dtype=np.int64).astype(np.uint64) * np.uint64(2))
