@@ -1,12 +1,14 @@
 """The distributed solver against MLlib, against dense algebra, and folds fitted together against folds fitted alone."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from postloom.operators import learn, solver
+from postloom.operators.features import term_counts
 
 SCHEMA = "doc long, block string, term string, tf long"
 
@@ -137,3 +139,59 @@ def test_one_class_is_certain_and_nothing_is_no_error(spark, data, name):
     assert all(r.score > 0.999 for r in learn.score_counts(ones, counts, model).collect())
     assert all(r.score < 0.001 for r in learn.score_counts(ones, counts, learn.train(name, counts, labels.where("label = 0"))).collect())
     assert learn.train(name, counts, labels.limit(0)).terms.count() == 0
+
+
+def _texts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["груз", "смена", "диван", "оплата", "x1", "y22", "ночь"], rng.integers(1, 12))), int(rng.integers(0, 2))) for i in range(60)]
+    rows += [(3, "груз груз ночь", 1), (3, "смена", 0), (4, rows[4][1], rows[4][2]), (70, None, 1), (71, "", 0)]
+    return spark.createDataFrame(rows, "doc long, text string, label int")
+
+
+def _rounded(frame):
+    return sorted(tuple(round(x, 9) if isinstance(x, float) else [round(y, 9) for y in x] if isinstance(x, list) else x for x in r) for r in frame.collect())
+
+
+def test_packed_postings_equal_rows_of_counts(spark, monkeypatch):
+    from postloom.operators import features, postings
+
+    # batches and slices of a few entries; documents with several rows, a null and an empty text
+    for name in ("PACKED", "SLICED"):
+        monkeypatch.setattr(postings, name, 40)
+    samples = _texts(spark)
+    labels, lazy = samples.select("doc", "label"), features.TextCounts(samples)
+    rows = lazy.rows().localCheckpoint()
+    packed, plain = learn.train("nb", lazy, labels), learn.train("nb", rows, labels)
+    columns = ["block", "term", "idf", "coef"]
+    assert _rounded(packed.terms.select(columns)) == _rounded(plain.terms.select(columns)) and packed.bias == plain.bias
+    folds = labels.withColumn("fold", (F.col("doc") % 3).cast("int"))
+    scores = [learn.cv_out_of_fold("nb", samples, c, folds, k=3) for c in (lazy, rows)]
+    assert _rounded(scores[0]) == _rounded(scores[1])
+    none = learn.train("nb", features.TextCounts(samples.limit(0)), labels.limit(0))
+    assert none.terms.count() == 0
+
+
+def test_scores_without_moving_a_term_equal_the_join(spark, monkeypatch):
+    samples = _texts(spark)
+    model = learn.train("nb", term_counts(samples), samples.select("doc", "label"))
+    posts = samples.select(F.col("doc").cast("string").alias("post_id"), "text").unionByName(spark.createDataFrame([(None, "груз")], "post_id string, text string"))
+
+    def scores():
+        return {r.post_id: r.score if r.score is None else round(r.score, 9) for r in learn.score_posts(posts, model).collect()}
+
+    told = scores()
+    model._told = None
+    monkeypatch.setattr(learn, "TOLD_NUMBERS", 0)
+    assert told == scores() and told["70"] is None and None in told
+    found = learn.score_posts(posts, model)._jdf.queryExecution().executedPlan().toString()
+    model._told = None
+    monkeypatch.setattr(learn, "TOLD_NUMBERS", 10**6)
+    assert "Join" in found and "Join" not in learn.score_posts(posts, model)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashes_of_slices_of_an_array():
+    from postloom.operators.postings import hashes
+
+    terms = pa.array(["", "a", "b", "ab", "ba", "жук", "a a"])
+    found = hashes(terms)
+    assert len(set(found.tolist())) == 7 and hashes(terms[3:6]).tolist() == found[3:6].tolist() and len(hashes(terms[:0])) == 0
