@@ -376,3 +376,29 @@ def test_expanded_subscribers_are_not_broadcast(spark, tmp_path):
     found = d.match_subscribers(posts, spark.read.parquet(f"{tmp_path}/people"))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 50
+
+
+def _people(spark, n):
+    flags = ["src_vk", "src_tg", "payment_required", "address_required", *(f"wt_{w}" for w in WORK_TYPES), *(f"dur_{x}" for x in DURATIONS)]
+    rows = [("tg" if i % 3 else "vk", i if i else None, "active", *[(i >> k) % 3 != 1 for k in range(len(flags))]) for i in range(n)]
+    return spark.createDataFrame(rows, "platform string, external_id long, status string, " + ", ".join(f"{f} boolean" for f in flags))
+
+
+def test_blocks_hold_the_pairs_and_few_rows_are_copied(spark):
+    attributes = [None, (DURATIONS[0], WORK_TYPES[0], "1", "x"), ("no such", WORK_TYPES[0], "1", "x")]
+    posts = [(i % 300 if i else None, ("vk", "tg", "rss")[i % 3], attributes[i % 7 // 3]) for i in range(330)]
+    posts = spark.createDataFrame(posts, "post_id long, source string, attributes struct<duration:string,work_type:string,payment:string,address:string>")
+    people = _people(spark, 200)
+    whole = sorted(map(tuple, d.match_subscribers(posts, people).collect()), key=str)
+    rows = d.match_blocks(posts, people, posts_per_salt=1).collect()
+    assert whole and sorted(((p.post_id, r.platform, x.external_id) for r in rows for p in r.posts for x in r.takers), key=str) == whole
+    assert sum(len(r.posts) + len(r.takers) for r in rows) < len(whole) / 5
+    assert len(rows) > len(d.match_blocks(posts, people).collect())
+
+
+def test_cuts_of_a_hot_class_copy_fewer_rows_than_salts():
+    cuts = d._cuts({0: 500_000, 1: 10}, {0: 800_000, 1: 10, 2: 5}, 100, 1)
+    i, j = cuts[0]
+    assert i * j >= 400 and cuts[1] == (1, 1) and set(cuts) == {0, 1}
+    # a salt for every 4096 posts copied each subscriber a hundred times
+    assert 500_000 * j + 800_000 * i < 800_000 * 100 / 2
